@@ -59,10 +59,12 @@ def weight(weights: Column, name: str, default: float) -> Column:
 
 
 def fixed(value: Column, places: int) -> Column:
-    """Text of a number with ``places`` decimals, rounded half up."""
-    return F.format_string(f"%.{places}f", F.round(value.cast("double"), places))
+    """Text of a number with ``places`` decimals, rounded half up; NULL stays NULL."""
+    text = F.format_string(f"%.{places}f", F.round(value.cast("double"), places))
+    return F.when(value.isNotNull(), text)
 
 
 def grouped(value: Column, places: int = 2) -> Column:
     """As ``fixed``, with thousands separators."""
-    return F.format_string(f"%,.{places}f", F.round(value.cast("double"), places))
+    text = F.format_string(f"%,.{places}f", F.round(value.cast("double"), places))
+    return F.when(value.isNotNull(), text)

@@ -270,7 +270,7 @@ QUERIES["q_income_volatility"] = _bank_columns(
 )
 QUERIES["q_cash_flow"] = _bank_columns(
     "days", "positive_days", "negative_days", "cash_flow_ratio", "avg_daily_flow",
-    cash_flow_variance=2,
+    cash_flow_variance=-2,
 )
 QUERIES["q_debt_service"] = _bank_columns("debt_payments", "debt_payment_count", "debt_service_ratio")
 QUERIES["q_liquidity"] = _bank_columns(
@@ -462,7 +462,7 @@ def q_bank_features(spark, d):
         "min_balance", "max_balance", "savings_rate",
         F.round("income_volatility", 4).alias("income_volatility"),
         "overdraft_frequency", "debt_service_ratio", "emergency_fund_months",
-        F.round("cash_flow_variance", 2).alias("cash_flow_variance"), "bank_anomalies",
+        F.round("cash_flow_variance", -2).alias("cash_flow_variance"), "bank_anomalies",
     )
 
 
@@ -532,7 +532,7 @@ def q_feature_vector(spark, d):
     rounded = ("income_consistency", "income_volatility")
     return _vectors(spark, d).select(
         *KEY,
-        *[F.round(c, 4).alias(c) if c in rounded else F.round(c, 2).alias(c) if c == "cash_flow_variance" else c
+        *[F.round(c, 4).alias(c) if c in rounded else F.round(c, -2).alias(c) if c == "cash_flow_variance" else c
           for c in features.FEATURE_VECTOR],
     )
 
