@@ -67,9 +67,31 @@ def prepare(
 
 
 def chunk_totals(txn: DataFrame, keys=KEY) -> DataFrame:
-    """One row per (customer, day, split) with order-free sums and running extremes."""
+    """One row per (customer, day, split) with order-free sums and running extremes.
+
+    Texts are turned into flags before the shuffle, so only numbers travel.
+    """
     inside = Window.partitionBy(*keys, "txn_date", "split").orderBy("seq")
-    rows = txn.withColumns(
+    amount, balance = F.col("amount"), F.col("balance_after")
+
+    def flag(condition: Column, name: str) -> Column:
+        return F.coalesce(condition, F.lit(False)).alias(name)
+
+    rows = txn.select(
+        *keys,
+        "txn_date",
+        "split",
+        "seq",
+        "amount",
+        "balance_after",
+        "net_change",
+        flag(F.col("type") == "credit", "is_credit"),
+        flag(F.col("type") == "debit", "is_debit"),
+        flag(F.col("category") == "income", "is_income"),
+        flag(F.col("category") == "savings", "is_savings"),
+        flag(F.col("category") == "loan_repayment", "is_loan"),
+        is_debt(F.col("description")).alias("is_debt"),
+    ).withColumns(
         {
             "run": F.sum("net_change").over(
                 inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -77,35 +99,38 @@ def chunk_totals(txn: DataFrame, keys=KEY) -> DataFrame:
             "place": F.row_number().over(inside),
         }
     )
-    credit, amount, balance = F.col("credit_amount"), F.col("amount"), F.col("balance_after")
-    is_income = F.col("category") == "income"
-    big_credit = (F.col("type") == "credit") & (amount > INCOME_FLOOR)
-    debt = is_debt(F.col("description"))
+    credit, debit, income = F.col("is_credit"), F.col("is_debit"), F.col("is_income")
+    debt, big_credit = F.col("is_debt"), credit & (amount > INCOME_FLOOR)
+    first = F.col("place") == 1
+
+    def total(condition: Column) -> Column:
+        return F.sum(F.when(condition, amount))
+
     return rows.groupBy(*keys, "txn_date", "split").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("credit_amount").alias("credit"),
-        F.sum("debit_amount").alias("debit"),
-        F.count(F.when(F.col("type") == "debit", 1)).alias("debit_n"),
-        F.sum("net_flow").alias("flow"),
-        F.sum(F.when(is_income, credit)).alias("income"),
-        F.count(F.when(is_income, 1)).alias("income_n"),
-        F.sum(F.when(F.col("category") == "savings", credit)).alias("savings"),
-        F.sum(F.when(F.col("category") == "loan_repayment", F.col("debit_amount"))).alias("loans"),
-        F.sum(F.when(big_credit, amount)).alias("big_credit"),
-        F.count(F.when(big_credit, 1)).alias("big_credit_n"),
-        F.sum(F.when(debt, amount)).alias("debt"),
-        F.count(F.when(debt, 1)).alias("debt_n"),
+        total(credit).alias("credit"),
+        total(debit).alias("debit"),
+        F.count_if(debit).alias("debit_n"),
+        F.sum(F.when(credit, amount).otherwise(-amount)).alias("flow"),
+        total(income & credit).alias("income"),
+        F.count_if(income).alias("income_n"),
+        total(F.col("is_savings") & credit).alias("savings"),
+        total(F.col("is_loan") & debit).alias("loans"),
+        total(big_credit).alias("big_credit"),
+        F.count_if(big_credit).alias("big_credit_n"),
+        total(debt).alias("debt"),
+        F.count_if(debt).alias("debt_n"),
         F.sum("balance_after").alias("balance"),
         F.count("balance_after").alias("balance_n"),
         F.min("balance_after").alias("balance_min"),
         F.max("balance_after").alias("balance_max"),
-        F.count(F.when(balance < 0, 1)).alias("overdrawn_n"),
+        F.count_if(balance < 0).alias("overdrawn_n"),
         F.sum("net_change").alias("net"),
         F.sum("run").alias("run_sum"),
         F.min("run").alias("run_min"),
         F.max("run").alias("run_max"),
-        F.max(F.when(F.col("place") == 1, balance)).alias("first_balance"),
-        F.max(F.when(F.col("place") == 1, F.col("net_change"))).alias("first_net"),
+        F.max(F.when(first, balance)).alias("first_balance"),
+        F.max(F.when(first, F.col("net_change"))).alias("first_net"),
     )
 
 

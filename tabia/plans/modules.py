@@ -1,6 +1,6 @@
 """The modules end to end: source tables in, named result tables out (all lazy)."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,14 +15,21 @@ MONEY_NAME = ["currency_preference"]
 
 @dataclass
 class Tenants:
-    """Parsed tenant settings with the size check that decides about a broadcast."""
+    """Parsed tenant settings with the size check that decides about a broadcast.
+
+    Made once per run. Settings found small are kept in memory, as every module
+    looks them up.
+    """
 
     settings: DataFrame
-    small: bool = field(default=None)
+    small: bool | None = None
 
     def __post_init__(self):
         if self.small is None:
+            self.settings = self.settings.persist()
             self.small = is_small(self.settings)
+            if not self.small:
+                self.settings.unpersist()
 
     def attach(self, rows: DataFrame, *columns: str, salt_by=("customer_id",)) -> DataFrame:
         return attach_tenant(rows, self.settings, list(columns), self.small, salt_by)

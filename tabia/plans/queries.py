@@ -41,8 +41,15 @@ def _dbl(name: str):
     return F.col(name).cast("double").alias(name)
 
 
+_TENANTS: dict[tuple[str, str], Tenants] = {}
+
+
 def _tenants(spark, d) -> Tenants:
-    return Tenants(read_tenant_config(current_settings(tables.tenant_updates(spark, d))))
+    """Tenant settings, read and size-checked once per session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TENANTS:
+        _TENANTS[key] = Tenants(read_tenant_config(current_settings(tables.tenant_updates(spark, d))))
+    return _TENANTS[key]
 
 
 def _bank(spark, d, tenants=None) -> DataFrame:
