@@ -135,7 +135,7 @@ from (select *, bool_or(balance_after is null) over k gaps,
   sum(net_change) over o as run, first_value(balance_after) over o b0, first_value(net_change) over o n0
   from {p}
   window k as (partition by company_id, customer_id),
-   o as (partition by company_id, customer_id order by txn_date, seq rows between unbounded preceding and current row))""",
+   o as (partition by company_id, customer_id order by txn_date, seq, net_change, balance_after nulls first rows between unbounded preceding and current row))""",
         f"{p}_bal": f"""
 select company_id, customer_id, sum(inferred_balance)::double/count(*)::double avg_daily_balance,
  min(inferred_balance)::double min_balance, max(inferred_balance)::double max_balance

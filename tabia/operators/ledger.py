@@ -18,6 +18,8 @@ from tabia.operators.spread import SPLIT_SPAN, attach_tenant, with_split
 from tabia.schemas import KEY
 from tabia.sources.transactions import dated
 
+# Order inside a chunk; the amounts only matter for input whose ``seq`` repeats.
+ROW_ORDER = ("seq", "net_change", "balance_after")
 INCOME_FLOOR = 1000  # a credit above this counts as income from any source
 
 
@@ -71,7 +73,7 @@ def chunk_totals(txn: DataFrame, keys=KEY) -> DataFrame:
 
     Texts are turned into flags before the shuffle, so only numbers travel.
     """
-    inside = Window.partitionBy(*keys, "txn_date", "split").orderBy("seq")
+    inside = Window.partitionBy(*keys, "txn_date", "split").orderBy(*ROW_ORDER)
     amount, balance = F.col("amount"), F.col("balance_after")
 
     def flag(condition: Column, name: str) -> Column:
@@ -192,7 +194,7 @@ def infer_balances(txn: DataFrame, keys=KEY) -> DataFrame:
     """
     keys = list(keys)
     chunk = [*keys, "txn_date", "split"]
-    inside = Window.partitionBy(*chunk).orderBy("seq")
+    inside = Window.partitionBy(*chunk).orderBy(*ROW_ORDER)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = txn.withColumn("run", F.sum("net_change").over(running))
     totals = chunk_totals(txn, keys).select(
