@@ -9,7 +9,7 @@ import re
 
 BANK_TXN = """
 select concat('T', cast(c_nationkey as varchar)) company_id, c_custkey customer_id,
- (l_orderkey*10+l_linenumber)*100000000 + l_partkey*1000 + l_suppkey seq,
+ (l_orderkey*10+l_linenumber)*1000000 + l_partkey%1000*1000 + l_suppkey%1000 seq,
  case when l_suppkey=13 and l_partkey%4=0 then 'not-a-date' else strftime(date '2023-01-01' + cast(case when c_custkey%10=0 then l_orderkey%3 when c_custkey%10=1 then l_orderkey%28 else l_orderkey%180 end as integer),'%Y-%m-%d') end date,
  case when (l_orderkey+l_linenumber)%3=0 then (['SALARY DEPOSIT','Payroll credit','Savings deposit','Investment payout','Transfer from J','Loan disbursement','Refund','Dividend'])[l_partkey%8+1] else (['RENT PAYMENT','KPLC prepaid','Uber trip','NAIVAS grocery','Loan payment','Restaurant','ATM withdrawal','Transfer to K','Insurance premium','Mortgage instalment','Fuel','Misc','Water bill','Cinema movie','Carrefour','Cash out'])[l_partkey%16+1] end description,
  cast(case when (l_orderkey+l_linenumber)%3=0 then l_extendedprice*(1+c_custkey%4) else l_extendedprice*(case when l_partkey%37=0 then 10 else 1 end)/(1+(c_custkey%3)*20) end as decimal(18,2)) amount,

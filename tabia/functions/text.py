@@ -42,13 +42,12 @@ def default_category(text: Column) -> Column:
     return case.otherwise(UNCATEGORIZED)
 
 
-def category(description: Column, rules: Column) -> Column:
-    """Category of a description under the tenant's ordered rules.
+def category(text: Column, rules: Column) -> Column:
+    """Category of a lower-cased description under the tenant's ordered rules.
 
     ``rules`` is ARRAY<STRUCT<category, keywords>> with lower-case keywords;
     NULL or empty stands for the default rules.
     """
-    text = lowered(description)
     hits = F.filter(
         rules, lambda r: F.exists(r["keywords"], lambda word: F.contains(text, word))
     )

@@ -44,16 +44,17 @@ def with_amounts(txn: DataFrame) -> DataFrame:
     )
 
 
-def is_debt(description: Column) -> Column:
-    return contains_any(lowered(description), DEBT_WORDS)
+def is_debt(text: Column) -> Column:
+    return contains_any(text, DEBT_WORDS)
 
 
 def prepare(
     txn: DataFrame, tenants: DataFrame | None, small: bool = True, span: int = SPLIT_SPAN
 ) -> DataFrame:
-    """Dated, split, categorised transactions with signed amounts.
+    """Dated, split, categorised transactions with signed amounts and a debt flag.
 
-    Without ``tenants`` every customer gets the default category rules.
+    The lower-cased description is a column of its own, so it is made once per
+    row and not once per keyword. Without ``tenants`` every customer gets the default category rules.
     """
     rows, _ = dated(with_split(txn, span))
     if tenants is None:
@@ -63,9 +64,11 @@ def prepare(
             rows, tenants, ["transaction_categorization_rules"], small, ("customer_id", "seq")
         )
         rules = F.col("transaction_categorization_rules")
-    return with_amounts(
-        rows.withColumn("category", category(F.col("description"), rules))
-    ).drop("transaction_categorization_rules")
+    text = F.col("_text")
+    tagged = rows.withColumn("_text", lowered(F.col("description"))).withColumns(
+        {"category": category(text, rules), "is_debt": is_debt(text)}
+    )
+    return with_amounts(tagged).drop("transaction_categorization_rules", "_text")
 
 
 def chunk_totals(txn: DataFrame, keys=KEY) -> DataFrame:
@@ -92,7 +95,7 @@ def chunk_totals(txn: DataFrame, keys=KEY) -> DataFrame:
         flag(F.col("category") == "income", "is_income"),
         flag(F.col("category") == "savings", "is_savings"),
         flag(F.col("category") == "loan_repayment", "is_loan"),
-        is_debt(F.col("description")).alias("is_debt"),
+        "is_debt",
     ).withColumns(
         {
             "run": F.sum("net_change").over(
@@ -197,8 +200,13 @@ def infer_balances(txn: DataFrame, keys=KEY) -> DataFrame:
     inside = Window.partitionBy(*chunk).orderBy(*ROW_ORDER)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = txn.withColumn("run", F.sum("net_change").over(running))
-    totals = chunk_totals(txn, keys).select(
-        *chunk, "n", "balance_n", "net", "first_balance", "first_net"
+    # no order needed here, so these totals combine before the shuffle
+    totals = txn.groupBy(*chunk).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("balance_after").alias("balance_n"),
+        F.sum("net_change").alias("net"),
+        F.min_by("balance_after", "seq").alias("first_balance"),
+        F.min_by("net_change", "seq").alias("first_net"),
     )
     whole = Window.partitionBy(*keys)
     first = F.col("nth") == 1

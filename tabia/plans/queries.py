@@ -4,12 +4,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabia.functions.text import lowered
 from tabia.operators import (
     anomalies, features, ledger, metrics, model, narrative, results, scoring,
 )
 from tabia.plans import modules
 from tabia.plans.modules import Tenants
 from tabia.schemas import KEY
+from tabia.session import settled
 from tabia.sources import driver_tables as tables
 from tabia.sources import statements as stm
 from tabia.sources.tenants import currency, current_settings, read_tenant_config
@@ -109,9 +111,7 @@ def q_statement_parse(spark, d):
 
 @query
 def q_failed_statements(spark, d):
-    texts = tables.statements(spark, d)
-    ids = ["statement_id", *KEY]
-    return stm.failed_statements(texts, stm.parse_statements(texts, ids), ids)
+    return stm.failed_statements(tables.statements(spark, d), ["statement_id", *KEY])
 
 
 @query
@@ -183,7 +183,7 @@ def q_txn_amounts(spark, d):
 def q_debt_rows(spark, d):
     return (
         _dated_bank(spark, d)
-        .where(ledger.is_debt(F.col("description")))
+        .where(ledger.is_debt(lowered(F.col("description"))))
         .select(*KEY, "seq", "description", _dbl("amount"))
     )
 
@@ -531,13 +531,15 @@ def q_score_components(spark, d):
 
 
 def _vectors(spark, d):
-    return features.feature_vector(_unified(spark, d, _tenants(spark, d)))
+    """Feature vectors; fitting, means and scoring each read them once."""
+    return settled(features.feature_vector(_unified(spark, d, _tenants(spark, d))))
 
 
 @query
 def q_feature_vector(spark, d):
     rounded = ("income_consistency", "income_volatility")
-    return _vectors(spark, d).select(
+    vectors = features.feature_vector(_unified(spark, d, _tenants(spark, d)))
+    return vectors.select(
         *KEY,
         *[F.round(c, 4).alias(c) if c in rounded else F.round(c, -2).alias(c) if c == "cash_flow_variance" else c
           for c in features.FEATURE_VECTOR],

@@ -1,6 +1,6 @@
-"""Session settings this engine relies on, and the shared folder for written tables."""
+"""Session settings this engine relies on, and checkpoints in the cluster's shared folder."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Correctness does not depend on these; AQE sizes and splits shuffle partitions at run time.
 SETTINGS = {
@@ -8,6 +8,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # call-site capture costs a JVM round trip per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -20,12 +22,11 @@ def build(master: str | None = None, app: str = "tabia", **extra) -> SparkSessio
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """Folder all executors see: the cluster's ``spark.checkpoint.dir``.
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame checkpointed in the cluster's shared folder, to be read several times.
 
-    ``fallback`` is for a single-machine session that has none, as in tests.
+    Where the session names no ``spark.checkpoint.dir`` the frame is left lazy.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return folder
+    if frame.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return frame.checkpoint()
+    return frame

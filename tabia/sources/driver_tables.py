@@ -6,13 +6,14 @@ miss a source follows from their market segment.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Keys below number rows sparsely, so a split covers a wider range of ``seq``.
-BANK_SPAN = 10**15
+# ``seq`` below is made of keys and numbers a customer's rows sparsely (an order
+# takes 10 million), so a split covers a wider range of it.
+BANK_SPAN = 10**14
 
 BANK_TXN = """
 select concat('T', cast(c_nationkey as string)) company_id, c_custkey customer_id,
- (l_orderkey*10+l_linenumber)*100000000 + l_partkey*1000 + l_suppkey seq,
- case when l_suppkey=13 and l_partkey%4=0 then 'not-a-date' else date_format(date_add(date'2023-01-01', cast(case when c_custkey%10=0 then l_orderkey%3 when c_custkey%10=1 then l_orderkey%28 else l_orderkey%180 end as int)),'yyyy-MM-dd') end date,
+ (l_orderkey*10+l_linenumber)*1000000 + l_partkey%1000*1000 + l_suppkey%1000 seq,
+ case when l_suppkey=13 and l_partkey%4=0 then 'not-a-date' else cast(date_add(date'2023-01-01', cast(case when c_custkey%10=0 then l_orderkey%3 when c_custkey%10=1 then l_orderkey%28 else l_orderkey%180 end as int)) as string) end date,
  case when (l_orderkey+l_linenumber)%3=0 then element_at(array('SALARY DEPOSIT','Payroll credit','Savings deposit','Investment payout','Transfer from J','Loan disbursement','Refund','Dividend'), cast(l_partkey%8 as int)+1) else element_at(array('RENT PAYMENT','KPLC prepaid','Uber trip','NAIVAS grocery','Loan payment','Restaurant','ATM withdrawal','Transfer to K','Insurance premium','Mortgage instalment','Fuel','Misc','Water bill','Cinema movie','Carrefour','Cash out'), cast(l_partkey%16 as int)+1) end description,
  cast(case when (l_orderkey+l_linenumber)%3=0 then l_extendedprice*(1+c_custkey%4) else l_extendedprice*(case when l_partkey%37=0 then 10 else 1 end)/(1+(c_custkey%3)*20) end as decimal(18,2)) amount,
  case when l_partkey%97=0 then 'unknown' when (l_orderkey+l_linenumber)%3=0 then 'credit' else 'debit' end type,
@@ -22,7 +23,7 @@ from {lineitem} join {orders} on l_orderkey=o_orderkey join {customer} on o_cust
 """
 
 MOBILE_TXN = """
-select concat('T', cast(c_nationkey as string)) company_id, user_id customer_id, event_id seq, date_format(ts,'yyyy-MM-dd') date,
+select concat('T', cast(c_nationkey as string)) company_id, user_id customer_id, event_id seq, cast(cast(ts as date) as string) date,
  case when user_id%4=3 and event_type in ('click','view') and event_id%5<>0 then 'Airtime' when user_id%4=2 and event_type='error' and event_id%9<>0 then 'Airtime' else case event_type when 'purchase' then 'M-PESA Pay Merchant' when 'click' then 'M-PESA Send Money' when 'view' then 'M-PESA Receive Money' when 'signup' then 'Agent deposit' when 'error' then 'Fuliza Loan Repayment' end end description,
  cast(value*(case when event_type in ('view','signup') then 40 else 1+(user_id%8)*60 end)*(case when event_type='error' and user_id%3=0 then 0.02D else 1.0D end) as decimal(18,2)) amount,
  case when event_type in ('view','signup') then 'credit' else 'debit' end type, cast(null as decimal(18,2)) balance_after

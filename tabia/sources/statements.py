@@ -12,44 +12,54 @@ MAX_FILE_MB = 20
 UNIT = "\u001f"
 
 
+def _lines(text: str) -> Column:
+    return F.split(F.translate(F.col(text), UNIT, " "), "\n")
+
+
 def parse_statements(statements: DataFrame, ids, text: str = "text") -> DataFrame:
     """Transactions in statement texts; ``seq`` is the line position.
 
     One regular-expression pass per line: the groups are rewritten to a
     separated string and split. Lines that do not match are left out.
     """
+    has_currency = "currency_preference" in statements.columns
     lines = statements.select(
         *ids,
-        *(c for c in ("currency_preference",) if c in statements.columns),
-        F.posexplode(F.split(F.translate(F.col(text), UNIT, " "), "\n")).alias("pos", "line"),
+        *(["currency_preference"] if has_currency else []),
+        F.posexplode(_lines(text)).alias("pos", "line"),
     )
-    marked = lines.withColumn(
-        "line",
-        F.regexp_replace("line", rf"(?s)^.*?{STATEMENT_LINE}.*$", UNIT.join(f"${i}" for i in range(1, 6))),
-    ).where(F.col("line").contains(UNIT))
-    part = F.split("line", UNIT)
-    fields = marked.withColumn("part", part)
-    amount = clean_amount(F.col("part")[2])
-    currency = (
-        F.upper(F.coalesce("currency_preference", F.lit("KES")))
-        if "currency_preference" in statements.columns
-        else F.lit("KES")
+    groups = UNIT.join(f"${i}" for i in range(1, 6))
+    fields = (
+        lines.withColumn("line", F.regexp_replace("line", rf"(?s)^.*?{STATEMENT_LINE}.*$", groups))
+        .where(F.col("line").contains(UNIT))
+        .withColumn("part", F.split("line", UNIT))
     )
+    part = F.col("part")
+    amount = clean_amount(part[2])
+    currency = F.coalesce("currency_preference", F.lit("KES")) if has_currency else F.lit("KES")
     return fields.select(
         *ids,
         F.col("pos").cast("bigint").alias("seq"),
-        clean_date(F.col("part")[0]).alias("date"),
-        F.trim(F.col("part")[1]).alias("description"),
+        clean_date(part[0]).alias("date"),
+        F.trim(part[1]).alias("description"),
         F.abs(F.coalesce(amount, F.lit(0))).cast(MONEY).alias("amount"),
-        line_type(F.col("part")[3], amount).alias("type"),
-        clean_amount(F.nullif(F.col("part")[4], F.lit(""))).alias("balance_after"),
-        currency.alias("original_currency"),
+        line_type(part[3], amount).alias("type"),
+        clean_amount(F.nullif(part[4], F.lit(""))).alias("balance_after"),
+        F.upper(currency).alias("original_currency"),
+    )
+
+
+def has_transactions(text: str = "text") -> Column:
+    """True where a line of the text is a transaction."""
+    return F.coalesce(
+        F.exists(_lines(text), lambda line: F.rlike(line, F.lit(rf"(?s){STATEMENT_LINE}"))),
+        F.lit(False),
     )
 
 
-def failed_statements(statements: DataFrame, parsed: DataFrame, ids, text: str = "text") -> DataFrame:
-    """Statements without a single transaction, with the whole text kept."""
-    return statements.join(parsed.select(*ids).distinct(), list(ids), "left_anti").select(
+def failed_statements(statements: DataFrame, ids, text: str = "text") -> DataFrame:
+    """Statements without a single transaction, with the whole text kept. No shuffle."""
+    return statements.where(~has_transactions(text)).select(
         *ids,
         F.col(text).alias("raw_text_extracted"),
         F.lit("failed").alias("status"),

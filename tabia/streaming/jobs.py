@@ -104,7 +104,7 @@ def process_batch(jobs: DataFrame, batch_id: int, tenants: Tenants, out: str, sp
     result = store("results", tables.pop("results").hint("rebalance"))
     for name, frame in tables.items():
         store(name, frame)
-    failures = store("failures", failed_statements(inbox, parsed, JOB_KEY))
+    failures = store("failures", failed_statements(inbox, JOB_KEY))
     completed = results.result_messages(result)
     failed = results.failure_messages(failures)
     store("messages", results.as_json_messages(completed).unionByName(results.as_json_messages(failed)))

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tabia.functions.text import category
+from tabia.functions.text import category, lowered
 from tabia.functions.values import clean_amount, clean_date, line_type, parse_date
 from tabia.sources import statements as stm
 from tabia.sources import transactions as src
@@ -83,7 +83,7 @@ def test_statement_separator_in_text_is_harmless(spark):
 
 def test_failed_statements(spark):
     frame = spark.createDataFrame([("a", "2023-01-01 X 1.00"), ("b", "junk"), ("c", None)], "id string, text string")
-    failed = stm.failed_statements(frame, stm.parse_statements(frame, ["id"]), ["id"]).orderBy("id").collect()
+    failed = stm.failed_statements(frame, ["id"]).orderBy("id").collect()
     assert [(r.id, r.raw_text_extracted) for r in failed] == [("b", "junk"), ("c", None)]
 
 
@@ -210,7 +210,7 @@ RULES = "array<struct<category:string,keywords:array<string>>>"
 )
 def test_default_categories(spark, text, expected):
     frame = spark.createDataFrame([(text,)], "d string")
-    assert frame.select(category(F.col("d"), F.lit(None).cast(RULES))).first()[0] == expected
+    assert frame.select(category(lowered(F.col("d")), F.lit(None).cast(RULES))).first()[0] == expected
 
 
 def test_tenant_categories_keep_rule_order(spark):
@@ -218,5 +218,5 @@ def test_tenant_categories_keep_rule_order(spark):
         [("Savings deposit", [("savings", ["savings"]), ("income", ["deposit"])]), ("zzz", [("a", ["b"])]), ("rent", [])],
         f"d string, r {RULES}",
     )
-    got = [r[0] for r in frame.select(category(F.col("d"), F.col("r"))).collect()]
+    got = [r[0] for r in frame.select(category(lowered(F.col("d")), F.col("r"))).collect()]
     assert got == ["savings", "Uncategorized", "rent"]

@@ -97,3 +97,16 @@ def test_results_are_written_by_tenant(spark, tmp_path):
     results.write_results(frame, str(tmp_path / "r"))
     assert sorted(p.name for p in (tmp_path / "r").iterdir() if p.is_dir()) == ["company_id=A", "company_id=B"]
     assert spark.read.parquet(str(tmp_path / "r")).count() == 100
+
+
+def test_settled_frames_are_read_from_the_shared_folder(spark, capsys):
+    from tabia.session import settled
+
+    frame = spark.range(3).selectExpr("id * 2 as v")
+    kept = settled(frame)
+    assert sorted(r.v for r in kept.collect()) == [0, 2, 4]
+    if spark.conf.get("spark.checkpoint.dir", None):
+        kept.explain()
+        assert "ExistingRDD" in capsys.readouterr().out
+    else:
+        assert kept is frame
