@@ -652,6 +652,16 @@ def _all(module: str, score: str, what: str) -> str:
     return f"select {K}, '{module}' as module, component, impact from {score}_parts"
 
 
+TABLES["carded"] = (
+    "select *, 500.0::double + "
+    + " + ".join(f"coalesce({c}::double,0)*{w}::double" for c, w in SCORECARD.items())
+    + " base_score from unified_in"
+)
+TABLES["carded_final"] = """
+select c.company_id company_id, c.customer_id customer_id, c.base_score, greatest(0, least(1000, c.base_score + coalesce(sum(f.adjustment),0))) score
+from carded c left join behavioral_score_fired f using (company_id, customer_id)
+group by c.company_id, c.customer_id, c.base_score"""
+
 MODULES = (("bank", "bank_score"), ("crb", "crb_score"), ("mobile", "mobile_score"), ("unified", "behavioral_score"))
 
 _BODIES: dict[str, str] = {
@@ -735,13 +745,15 @@ from (select 'J' || o_orderkey job_id from orders union select 'E' || event_id f
     "q_rule_breakdown": " union all ".join(_all(m, s, "fired") for m, s in MODULES),
     "q_score_components": " union all ".join(_all(m, s, "parts") for m, s in MODULES),
     "q_feature_vector": f"select {K}, {', '.join(_vector_column(c) for c in VECTOR)} from unified",
+    "q_scorecard_score": f"""select {K}, round(base_score,4) base_score, round(score,4) behavioral_score,
+ {UNIFIED_TIER.format('score')} risk_level, 6 factors from carded_final""",
     "q_unified_summary": f"select {K}, analysis_summary, language, currency from summaries",
     "q_narrative_context": f"""
 select {K}, 'metrics' block, section, position, '- ' || name || case when item is null then '' else ' / ' || item end || ': ' || coalesce({_fixed('value', 2)}, 'n/a') || ' ' || coalesce(unit,'') || ' (' || description || ')' line
  from (select * from bank_basemetrics union all select * from bank_bankmetrics)
 union all select {K}, 'anomalies', source, coalesce(seq,0), '- ' || type || ': ' || description || ' (Transaction: ' || coalesce(txn_description,'N/A') || ')' from bank_all_anomalies
 union all select {K}, 'rules', 'bank', position, '- ' || rule_name || ': ' || condition_met || ' (Adjustment: ' || {_fixed('adjustment', 2)} || ')' from bank_score_fired
-union all select {K}, 'tone', 'tenant', 0, coalesce(text, 'The tone should be neutral and informative.') from (select distinct {K} from bank) left join tone_text using (company_id)
+union all select {K}, 'tone', 'tenant', 0, coalesce(text, 'The tone should be professional, concise, include clear disclaimers.') from (select distinct {K} from bank) left join tone_text using (company_id)
 union all select {K}, 'anomalies', 'none', 0, 'No significant anomalies detected.' from bank_features anti join bank_all_anomalies using (company_id, customer_id)""",
 }
 

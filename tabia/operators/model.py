@@ -15,8 +15,14 @@ from tabia.operators.features import FEATURE_VECTOR
 from tabia.schemas import KEY
 
 
+def _value(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class LinearScorer:
+    """A linear model: fitted here, or a scorecard supplied by the user."""
+
     coefficients: dict[str, float]
     means: dict[str, float]
     intercept: float = 0.0
@@ -24,7 +30,7 @@ class LinearScorer:
     def prediction(self) -> Column:
         total = F.lit(float(self.intercept))
         for name, value in self.coefficients.items():
-            total = total + F.col(name) * F.lit(float(value))
+            total = total + _value(name) * F.lit(float(value))
         return total
 
     def contributions(self) -> Column:
@@ -46,7 +52,8 @@ class LinearScorer:
         )
 
     def _impact(self, name: str) -> Column:
-        return (F.col(name) - F.lit(float(self.means[name]))) * F.lit(float(self.coefficients[name]))
+        shift = _value(name) - F.lit(float(self.means[name]))
+        return shift * F.lit(float(self.coefficients[name]))
 
 
 def feature_means(vectors: DataFrame, names=FEATURE_VECTOR) -> dict[str, float]:

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabia.functions.rules import UNIFIED_TIERS, UNIFIED_WORDS, tier
 from tabia.functions.values import fixed, grouped
-from tabia.schemas import KEY
-from tabia.sources.tenants import DEFAULTS, currency
+from tabia.schemas import KEY, TONE
+from tabia.sources.tenants import DEFAULTS, JSON_DEFAULTS, currency
 
 
 def localisation() -> Column:
@@ -157,13 +157,16 @@ def rule_lines(breakdown: DataFrame, keys=KEY) -> DataFrame:
 
 
 def tone_lines(customers: DataFrame, keys=KEY) -> DataFrame:
-    """``customers`` carry the tenant's llm_tone_guidelines."""
+    """``customers`` carry the tenant's llm_tone_guidelines; no tenant row, the default tone."""
+    flags = F.coalesce(
+        "llm_tone_guidelines", F.from_json(F.lit(JSON_DEFAULTS["llm_tone_guidelines"]), TONE)
+    )
     return customers.select(
         *keys,
         F.lit("tone").alias("block"),
         F.lit("tenant").alias("section"),
         F.lit(0).cast("bigint").alias("position"),
-        tone_instruction(F.col("llm_tone_guidelines")).alias("line"),
+        tone_instruction(flags).alias("line"),
     )
 
 

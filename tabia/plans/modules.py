@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tabia.operators import anomalies, features, ledger, metrics, narrative, scoring
+from tabia.operators.model import LinearScorer
 from tabia.operators.spread import SPLIT_SPAN, attach_tenant, is_small
 from tabia.schemas import KEY
 from tabia.sources.tenants import currency
@@ -75,14 +76,27 @@ def unified_features(bank: DataFrame, records: DataFrame, mobile: DataFrame) ->
 
 
 def unified_score(
-    bank: DataFrame, records: DataFrame, mobile: DataFrame, tenants: Tenants, base=None
+    bank: DataFrame,
+    records: DataFrame,
+    mobile: DataFrame,
+    tenants: Tenants,
+    scorer: LinearScorer | None = None,
 ) -> DataFrame:
-    """Combined score with summary and localisation."""
+    """Combined score with summary and localisation.
+
+    With a ``scorer`` the rules start from its prediction, kept in ``base_score``,
+    and ``score_explanation`` holds its factors; else they start from 500.
+    """
+    rows = unified_features(bank, records, mobile)
+    if scorer is not None:
+        rows = rows.withColumns(
+            {"base_score": scorer.prediction(), "score_explanation": scorer.contributions()}
+        )
     scored = scoring.unified_score(
-        unified_features(bank, records, mobile),
+        rows,
         tenants.settings,
         tenants.small,
-        base,
+        None if scorer is None else F.col("base_score"),
         keep=("currency_preference", "language_preference", "timezone"),
     )
     return scored.withColumns(

@@ -557,6 +557,20 @@ def _fitted(spark, d):
     return vectors, model.fit(vectors.join(label, list(KEY)), "label", reg=0.1)
 
 
+@query
+def q_scorecard_score(spark, d):
+    tenants = _tenants(spark, d)
+    scorer = model.LinearScorer(SCORECARD, dict.fromkeys(SCORECARD, 0.25), 500.0)
+    scored = modules.unified_score(
+        _linked(spark, d, tenants), tables.crb(spark, d), _mobile(spark, d, tenants), tenants, scorer
+    )
+    return scored.select(
+        *KEY, F.round("base_score", 4).alias("base_score"),
+        F.round("behavioral_score", 4).alias("behavioral_score"), "risk_level",
+        F.size("score_explanation").cast("bigint").alias("factors"),
+    )
+
+
 @query
 def q_model_score(spark, d):
     vectors, scorer = _fitted(spark, d)

@@ -1,7 +1,10 @@
 """Tenant settings: an append-only log of partial updates, folded when read."""
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabia.functions.text import DEFAULT_CATEGORY_RULES
 from tabia.schemas import CATEGORY_RULE_OBJECT, CATEGORY_RULES, TONE, WEIGHTS
 
 # Settings of a tenant without a row.
@@ -18,6 +21,14 @@ JSON_DEFAULTS = {
     "supported_file_types": '["pdf", "jpg", "png"]',
     "llm_tone_guidelines": '{"professional": true, "concise": true, "avoid_jargon": false, "include_disclaimers": true}',
 }
+# Weights written for a new tenant; no scorer reads these names.
+NEW_TENANT_WEIGHTS = {
+    "income_stability_impact": 0.3,
+    "debt_ratio_impact": 0.25,
+    "savings_rate_impact": 0.2,
+    "discretionary_spending_impact": 0.15,
+    "anomaly_penalty": 0.1,
+}
 WEIGHT_COLUMNS = (
     "bank_scoring_weights",
     "crb_scoring_weights",
@@ -47,6 +58,25 @@ def append_updates(log: DataFrame, updates: DataFrame) -> DataFrame:
     return log.unionByName(encoded(updates), allowMissingColumns=True)
 
 
+def missing_tenants(log: DataFrame, companies: DataFrame) -> DataFrame:
+    """A first row with all defaults for every company the log does not have."""
+    values = {
+        **DEFAULTS,
+        **JSON_DEFAULTS,
+        "transaction_categorization_rules": json.dumps(
+            {name: list(words) for name, words in DEFAULT_CATEGORY_RULES}
+        ),
+        "behavioral_scoring_weights": json.dumps(NEW_TENANT_WEIGHTS),
+    }
+    known = log.select("company_id").distinct()
+    new = companies.select("company_id").distinct().join(known, "company_id", "left_anti")
+    return new.select(
+        "company_id",
+        F.lit(0).cast("bigint").alias("version"),
+        *[F.lit(v).alias(c) for c, v in values.items()],
+    )
+
+
 def current_settings(log: DataFrame) -> DataFrame:
     """Per tenant the last non-NULL value of each setting.
 

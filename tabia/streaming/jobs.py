@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabia.functions.values import ratio
 from tabia.operators import anomalies, features, metrics, narrative, results, scoring
+from tabia.operators.model import LinearScorer
 from tabia.operators.spread import SPLIT_SPAN
 from tabia.plans.modules import Tenants, prepared
 from tabia.schemas import KEY
 from tabia.sources.statements import failed_statements, parse_statements
 from tabia.sources.tenants import currency
+from tabia.sources.transactions import dated, scoped
 
 JOB_KEY = (*KEY, "job_id")
 # Features a bank statement alone does not have.
@@ -34,8 +36,13 @@ def parsed_jobs(jobs: DataFrame, tenants: Tenants) -> DataFrame:
     return parse_statements(texts, JOB_KEY)
 
 
-def job_results(parsed: DataFrame, tenants: Tenants, span: int = SPLIT_SPAN) -> dict[str, DataFrame]:
-    """Result tables of all jobs with transactions, keyed by tenant, customer and job."""
+def job_results(
+    parsed: DataFrame, tenants: Tenants, span: int = SPLIT_SPAN, scorer: LinearScorer | None = None
+) -> dict[str, DataFrame]:
+    """Result tables of all jobs with transactions, keyed by tenant, customer and job.
+
+    The score starts from the ``scorer``'s prediction, or from 500 without one.
+    """
     keys = JOB_KEY
     txn = prepared(parsed, tenants, span)
     # a job whose dates are all unparsable has transactions but no features
@@ -51,10 +58,18 @@ def job_results(parsed: DataFrame, tenants: Tenants, span: int = SPLIT_SPAN) ->
             "anomalies": F.coalesce("anomalies", F.lit(0)),
         }
     )
+    factors = "array<struct<feature:string,impact:double>>"
+    table = table.withColumns(
+        {
+            "base_score": F.lit(500.0) if scorer is None else scorer.prediction(),
+            "score_explanation": F.array().cast(factors) if scorer is None else scorer.contributions(),
+        }
+    )
     scored = scoring.unified_score(
         table,
         tenants.settings,
         tenants.small,
+        F.col("base_score"),
         keep=("currency_preference", "language_preference", "timezone"),
     ).withColumn("data_completeness_score", ratio(F.lit(1), F.lit(3)))
     result = scored.select(
@@ -62,6 +77,7 @@ def job_results(parsed: DataFrame, tenants: Tenants, span: int = SPLIT_SPAN) ->
         F.lit("completed").alias("status"),
         "behavioral_score",
         "risk_level",
+        "score_explanation",
         "breakdown",
         narrative.unified_summary(currency()).alias("analysis_summary"),
         narrative.localisation().alias("localization_details"),
@@ -86,7 +102,14 @@ def job_results(parsed: DataFrame, tenants: Tenants, span: int = SPLIT_SPAN) ->
     }
 
 
-def process_batch(jobs: DataFrame, batch_id: int, tenants: Tenants, out: str, span: int = SPLIT_SPAN) -> None:
+def process_batch(
+    jobs: DataFrame,
+    batch_id: int,
+    tenants: Tenants,
+    out: str,
+    span: int = SPLIT_SPAN,
+    scorer: LinearScorer | None = None,
+) -> None:
     """Parse, score, store, notify and log one micro-batch of jobs with their texts."""
     spark = jobs.sparkSession
 
@@ -98,13 +121,23 @@ def process_batch(jobs: DataFrame, batch_id: int, tenants: Tenants, out: str, sp
         return spark.read.schema(frame.schema).parquet(path(table))
 
     # written once; every later step reads these tables, not the source again
-    inbox = store("jobs", jobs.where(F.col("job_id").isNotNull()).dropDuplicates(["job_id"]))
+    usable, unusable = scoped(jobs)
+    has_id = F.col("job_id").isNotNull()
+    inbox = store("jobs", usable.where(has_id).dropDuplicates(["job_id"]))
+    store(
+        "rejected",
+        usable.where(~has_id)
+        .withColumn("reason", F.lit("no job id"))
+        .unionByName(unusable.withColumn("reason", F.lit("company or customer id missing"))),
+    )
     parsed = store("parsed", parsed_jobs(inbox, tenants))
-    tables = job_results(parsed, tenants, span)
+    store("undated", dated(parsed)[1].drop("txn_date"))
+    tables = job_results(parsed, tenants, span, scorer)
     result = store("results", tables.pop("results").hint("rebalance"))
     for name, frame in tables.items():
         store(name, frame)
-    failures = store("failures", failed_statements(inbox, JOB_KEY))
+    log = [c for c in ("filename", "file_url") if c in inbox.columns]
+    failures = store("failures", failed_statements(inbox, [*JOB_KEY, *log]))
     completed = results.result_messages(result)
     failed = results.failure_messages(failures)
     store("messages", results.as_json_messages(completed).unionByName(results.as_json_messages(failed)))
@@ -126,11 +159,21 @@ def process_batch(jobs: DataFrame, batch_id: int, tenants: Tenants, out: str, sp
     )
 
 
-def start(jobs: DataFrame, tenants: Tenants, out: str, checkpoint: str, span: int = SPLIT_SPAN, **trigger):
+def start(
+    jobs: DataFrame,
+    tenants: Tenants,
+    out: str,
+    checkpoint: str,
+    span: int = SPLIT_SPAN,
+    scorer: LinearScorer | None = None,
+    **trigger,
+):
     """Starts the stream over jobs with a ``text`` column; default trigger availableNow."""
     return (
         jobs.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(lambda batch, batch_id: process_batch(batch, batch_id, tenants, out, span))
+        .foreachBatch(
+            lambda batch, batch_id: process_batch(batch, batch_id, tenants, out, span, scorer)
+        )
         .start()
     )

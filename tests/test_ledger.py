@@ -151,3 +151,17 @@ def test_rows_are_shuffled_by_split_and_never_by_customer_alone(spark, capsys):
     assert len(exchanges) == 2, plan
     assert "split" not in exchanges[0] and "split" in exchanges[1] and "txn_date" in exchanges[1]
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_large_debits_join_on_the_split(spark, capsys):
+    """A hot customer's rows meet their facts per split, not all in one task."""
+    from tabia.operators import anomalies
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        anomalies.large_debit_rows(prepared(spark, _random_rows(8))).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    join = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
+    assert "split" in join, plan

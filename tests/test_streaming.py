@@ -79,7 +79,9 @@ def test_stream_of_files_equals_batch(spark, tenants, root):
     assert scored["c5"].behavioral_score == 500.0  # transactions, but no date to analyse
     assert scored["c1"].localization_details.currency == "UGX"
     (failure,) = _read(spark, root / "live", "failures").collect()
-    assert (failure.customer_id, failure.raw_text_extracted) == ("c3", "junk only")
+    assert (failure.customer_id, failure.raw_text_extracted, failure.filename) == ("c3", "junk only", "c.png")
+    (undated,) = _read(spark, root / "live", "undated").collect()
+    assert (undated.customer_id, undated.date) == ("c5", "31 Feb 2023")
     last = results.latest_status(_read(spark, root / "live", "statuses"))
     assert sorted(r.status for r in last.collect()) == ["COMPLETED"] * 4 + ["FAILED"]
 
@@ -115,3 +117,21 @@ def test_message_is_plain_json(spark):
     assert json.loads(job_src.job_messages(jobs).first().value) == {
         "job_id": "j", "company_id": "A", "customer_id": "1", "file_url": "u", "filename": "f",
     }
+
+
+def test_unusable_jobs_are_set_apart_and_a_scorer_gives_the_base(spark, tenants, tmp_path):
+    from tabia.operators.model import LinearScorer
+
+    text = "2023-01-01 SALARY 1,000.00 CR"
+    jobs = spark.createDataFrame(
+        [("j1", "T1", "c", text), (None, "T1", "c", text), ("j2", "", "c", text), ("j3", "T9", "c", None)],
+        "job_id string, company_id string, customer_id string, text string",
+    )
+    scorer = LinearScorer({"avg_monthly_income": 0.1, "savings_rate": 5.0}, {"avg_monthly_income": 400.0, "savings_rate": 0.0}, 300.0)
+    stream.process_batch(jobs, 0, tenants, str(tmp_path), scorer=scorer)
+    reasons = sorted(r.reason for r in _read(spark, tmp_path, "rejected").collect())
+    assert reasons == ["company or customer id missing", "no job id"]
+    (row,) = _read(spark, tmp_path, "results").collect()
+    assert (row.job_id, row.behavioral_score) == ("j1", 400.0)
+    assert [(e.feature, e.impact) for e in row.score_explanation] == [("avg_monthly_income", 60.0), ("savings_rate", 0.0)]
+    assert [r.job_id for r in _read(spark, tmp_path, "failures").collect()] == ["j3"]

@@ -49,6 +49,17 @@ def test_upsert_appends_a_version_and_checks_the_tenant(spark):
     assert a.bank_scoring_weights == {"w": 9.0} and a.currency_preference == "TZS"
 
 
+def test_new_tenants_get_a_default_row(spark):
+    companies = spark.createDataFrame([("A",), ("N",), ("N",)], "company_id string")
+    log = tn.append_updates(_log(spark), tn.missing_tenants(_log(spark), companies))
+    config = {r.company_id: r for r in tn.read_tenant_config(tn.current_settings(log)).collect()}
+    assert set(config) == {"A", "B", "N"} and config["A"].version == 3
+    new = config["N"]
+    assert (new.currency_preference, new.max_file_size_mb) == ("KES", 20)
+    assert new.transaction_categorization_rules[0].category == "income"
+    assert new.behavioral_scoring_weights["anomaly_penalty"] == 0.1
+
+
 def test_tone(spark):
     frame = spark.createDataFrame(
         [({"professional": True, "include_disclaimers": True, "avoid_jargon": False},), ({},), (None,)], "t map<string,boolean>"
