@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabia.functions.text import MOBILE_LOAN_WORDS, REMITTANCE_WORDS, contains_any, lowered
 from tabia.functions.values import ratio
-from tabia.operators.ledger import day_totals, with_months
+from tabia.operators.ledger import customer_chunks
 from tabia.schemas import KEY
 
 BASE_FEATURES = (
@@ -77,31 +77,31 @@ def _span_stats(prefix: str) -> tuple[Column, Column]:
 
 def customer_totals(txn: DataFrame, keys=KEY) -> DataFrame:
     """Everything the bank features, metrics and checks need, one row per customer."""
-    days = with_months(day_totals(txn, keys), keys)
-    sums = ("n", "credit", "debit", "debit_n", "savings", "loans", "debt", "debt_n",
-            "balance", "balance_n", "overdrawn_n", "flow", "run_sum")
-    flow = F.col("flow").cast("double")
+    chunks = customer_chunks(txn, keys)
+    sums = ("n", "credit", "debit", "savings", "loans", "debt", "debt_n",
+            "balance", "balance_n", "overdrawn_n", "flow")
+    day, first, carried = F.col("day_head"), F.col("nth") == 1, F.col("carried")
     zero = F.lit(0).cast("decimal(38,2)")
-    grouped = days.groupBy(*keys).agg(
+    grouped = chunks.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sums],
-        F.count(F.lit(1)).alias("days"),
-        F.count(F.when(F.col("month_head"), 1)).alias("months"),
+        F.count_if(day).alias("days"),
+        F.count_if(F.col("month_head")).alias("months"),
         F.min("txn_date").alias("first_date"),
         F.max("txn_date").alias("last_date"),
-        F.count(F.when(F.col("debit_n") > 0, 1)).alias("debit_days"),
-        F.count(F.when(F.col("n") > BUSY_DAY_ROWS, 1)).alias("busy_days"),
-        F.max("n").alias("max_day_rows"),
-        F.count(F.when(F.col("flow") > 0, 1)).alias("positive_days"),
-        F.count(F.when(F.col("flow") < 0, 1)).alias("negative_days"),
-        F.var_samp(flow).alias("flow_variance"),
+        F.count_if(day & (F.col("day_n") > BUSY_DAY_ROWS)).alias("busy_days"),
+        F.max("day_n").alias("max_day_rows"),
+        F.count_if(day & (F.col("day_flow") > 0)).alias("positive_days"),
+        F.count_if(day & (F.col("day_flow") < 0)).alias("negative_days"),
+        F.var_samp(F.when(day, F.col("day_flow").cast("double"))).alias("flow_variance"),
         *_month_moments("income", F.col("month_income"), F.col("month_income_n")),
         *_month_moments("big", F.col("month_big"), F.col("month_big_n")),
         F.min("balance_min").alias("balance_min"),
         F.max("balance_max").alias("balance_max"),
-        F.min("run_min").alias("run_min"),
-        F.max("run_max").alias("run_max"),
-        F.max("first_balance").alias("first_balance"),
-        F.max("first_net").alias("first_net"),
+        F.sum(carried * F.col("n") + F.col("run_sum")).alias("run_sum"),
+        F.min(carried + F.col("run_min")).alias("run_min"),
+        F.max(carried + F.col("run_max")).alias("run_max"),
+        F.max(F.when(first, F.col("first_balance"))).alias("first_balance"),
+        F.max(F.when(first, F.col("first_net"))).alias("first_net"),
     )
     return grouped.withColumns(
         {c: F.coalesce(c, zero) for c in ("credit", "debit", "savings", "loans", "debt")}

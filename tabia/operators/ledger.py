@@ -1,4 +1,4 @@
-"""Transactions -> chunk totals -> day totals of every customer.
+"""Transactions -> chunk totals -> chained chunks of every customer.
 
 The rows are shuffled once, by (customer, day, split): a group holds at most
 ``span`` rows, also for a customer that owns a third of the table. Everything
@@ -115,7 +115,6 @@ def chunk_totals(txn: DataFrame, keys=KEY) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         total(credit).alias("credit"),
         total(debit).alias("debit"),
-        F.count_if(debit).alias("debit_n"),
         F.sum(F.when(credit, amount).otherwise(-amount)).alias("flow"),
         total(income & credit).alias("income"),
         F.count_if(income).alias("income_n"),
@@ -139,51 +138,43 @@ def chunk_totals(txn: DataFrame, keys=KEY) -> DataFrame:
     )
 
 
+def in_order(keys=KEY):
+    """A customer's chunks in time order. The month leads, so that the windows over
+    customer, month and day below all run on one sort."""
+    return Window.partitionBy(*keys).orderBy("month", "txn_date", "split")
+
+
 def chained(chunks: DataFrame, keys=KEY) -> DataFrame:
-    """Chunks in customer order with the net change carried into each."""
-    order = Window.partitionBy(*keys).orderBy("txn_date", "split")
+    """Chunks with the net change carried into each and their place in the customer.
+
+    ``day_head`` and ``month_head`` mark one chunk per day and month, so that an
+    aggregation by customer counts each day and month once.
+    """
+    order = in_order(keys)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumns(
+    return chunks.withColumn("month", month_of(F.col("txn_date"))).withColumns(
         {
             "carried": F.coalesce(F.sum("net").over(before), F.lit(0).cast("decimal(38,2)")),
             "nth": F.row_number().over(order),
+            "day_head": ~F.lag("txn_date").over(order).eqNullSafe(F.col("txn_date")),
+            "month_head": ~F.lag("month").over(order).eqNullSafe(F.col("month")),
         }
     )
 
 
-SUMMED = (
-    "n", "credit", "debit", "debit_n", "flow", "income", "income_n", "savings", "loans",
-    "big_credit", "big_credit_n", "debt", "debt_n", "balance", "balance_n", "overdrawn_n",
-)
-
-
-def day_totals(txn: DataFrame, keys=KEY) -> DataFrame:
-    """One row per (customer, day), hash-partitioned by customer."""
-    chunks = chained(chunk_totals(txn, keys).repartition(*keys), keys)
-    lifted = F.col("carried")
-    first = F.col("nth") == 1
-    return chunks.groupBy(*keys, "txn_date").agg(
-        *[F.sum(c).alias(c) for c in SUMMED],
-        F.min("balance_min").alias("balance_min"),
-        F.max("balance_max").alias("balance_max"),
-        F.sum(lifted * F.col("n") + F.col("run_sum")).alias("run_sum"),
-        F.min(lifted + F.col("run_min")).alias("run_min"),
-        F.max(lifted + F.col("run_max")).alias("run_max"),
-        F.max(F.when(first, F.col("first_balance"))).alias("first_balance"),
-        F.max(F.when(first, F.col("first_net"))).alias("first_net"),
-    )
-
-
-def with_months(days: DataFrame, keys=KEY) -> DataFrame:
-    """Day totals with their month's income sums; ``month_head`` marks one day per month."""
+def customer_chunks(txn: DataFrame, keys=KEY) -> DataFrame:
+    """Chained chunks with the sums of their day and month, hash-partitioned by customer."""
+    day = Window.partitionBy(*keys, "month", "txn_date")
     month = Window.partitionBy(*keys, "month")
-    return days.withColumn("month", month_of(F.col("txn_date"))).withColumns(
+    chunks = chained(chunk_totals(txn, keys).repartition(*keys), keys)
+    return chunks.withColumns(
         {
-            "month_head": F.row_number().over(month.orderBy("txn_date")) == 1,
             "month_income": F.sum("income").over(month),
             "month_income_n": F.sum("income_n").over(month),
             "month_big": F.sum("big_credit").over(month),
             "month_big_n": F.sum("big_credit_n").over(month),
+            "day_n": F.sum("n").over(day),
+            "day_flow": F.sum("flow").over(day),
         }
     )
 
