@@ -25,7 +25,10 @@ def read_jobs(spark: SparkSession, fmt: str = "kafka", streaming: bool = True, p
 
 
 def jobs_from_files(files: DataFrame) -> DataFrame:
-    """A job per accepted file; the id follows from the file, so a replay keeps it."""
+    """A job per accepted file, with its text; works on a stream of files as well.
+
+    The id follows from the file, so a replay keeps it.
+    """
     return files.select(
         F.sha2(F.concat_ws("|", "file_url", F.col("modificationTime").cast("string")), 256).alias("job_id"),
         "company_id",
@@ -33,6 +36,7 @@ def jobs_from_files(files: DataFrame) -> DataFrame:
         "file_url",
         "filename",
         F.lit(None).cast("string").alias("callback_url"),
+        decode_statement(F.col("content")).alias("text"),
     )
 
 

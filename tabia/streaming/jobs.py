@@ -4,6 +4,8 @@ Tables are written under ``out/<table>/batch_id=<n>`` and replaced when a batch
 is replayed, so a restart after a lost driver or executor leaves no duplicates.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from tabia.functions.values import ratio
@@ -161,19 +163,30 @@ def process_batch(
 
 def start(
     jobs: DataFrame,
-    tenants: Tenants,
+    tenants: Tenants | Callable[[], Tenants],
     out: str,
     checkpoint: str,
     span: int = SPLIT_SPAN,
     scorer: LinearScorer | None = None,
     **trigger,
 ):
-    """Starts the stream over jobs with a ``text`` column; default trigger availableNow."""
+    """Starts the stream over jobs with a ``text`` column; default trigger availableNow.
+
+    ``tenants`` may be a function returning them: it is called for every batch, so
+    that changed settings take effect without a restart.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if not callable(tenants):
+            process_batch(batch, batch_id, tenants, out, span, scorer)
+            return
+        current = tenants()
+        process_batch(batch, batch_id, current, out, span, scorer)
+        current.settings.unpersist()
+
     return (
         jobs.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(
-            lambda batch, batch_id: process_batch(batch, batch_id, tenants, out, span, scorer)
-        )
+        .foreachBatch(run)
         .start()
     )

@@ -52,22 +52,11 @@ def _comparable(frame):
 def test_stream_of_files_equals_batch(spark, tenants, root):
     files = read_statement_files(spark, str(root / "files"))
     accepted, _ = gate_files(files)
-    batch_jobs = job_src.with_text(job_src.jobs_from_files(accepted), accepted)
-    stream.process_batch(batch_jobs, 0, tenants, str(root / "batch"))
+    stream.process_batch(job_src.jobs_from_files(accepted), 0, tenants, str(root / "batch"))
 
     live = read_statement_files(spark, str(root / "files"), streaming=True, maxFilesPerTrigger=2)
-    live, _ = gate_files(live)
-    texts = job_src.jobs_from_files(live)
-    from pyspark.sql import functions as F
-
-    from tabia.sources.statements import decode_statement
-
-    texts = live.select(
-        F.sha2(F.concat_ws("|", "file_url", F.col("modificationTime").cast("string")), 256).alias("job_id"),
-        "company_id", "customer_id", "file_url", "filename",
-        F.lit(None).cast("string").alias("callback_url"), decode_statement(F.col("content")).alias("text"),
-    )
-    query = stream.start(texts, tenants, str(root / "live"), str(root / "checkpoint"))
+    texts = job_src.jobs_from_files(gate_files(live)[0])
+    query = stream.start(texts, lambda: tenants, str(root / "live"), str(root / "checkpoint"))
     query.awaitTermination(240)
     assert query.exception() is None
     assert query.lastProgress["batchId"] >= 2  # several micro-batches
@@ -88,7 +77,7 @@ def test_stream_of_files_equals_batch(spark, tenants, root):
 
 def test_replayed_batch_leaves_no_duplicates(spark, tenants, root):
     files = read_statement_files(spark, str(root / "files"))
-    jobs = job_src.with_text(job_src.jobs_from_files(files), files)
+    jobs = job_src.jobs_from_files(files)
     out = str(root / "replay")
     stream.process_batch(jobs.unionByName(jobs), 3, tenants, out)
     first = _comparable(_read(spark, out, "statuses"))
@@ -98,7 +87,7 @@ def test_replayed_batch_leaves_no_duplicates(spark, tenants, root):
 
 def test_job_messages_round_trip(spark, root):
     files = read_statement_files(spark, str(root / "files"))
-    jobs = job_src.jobs_from_files(files)
+    jobs = job_src.jobs_from_files(files).drop("text")
     job_src.write_messages(job_src.job_messages(jobs).select("value"), "text", str(root / "topic"), "overwrite")
     (root / "topic" / "bad.txt").write_text("not a job\n")
     live = job_src.read_jobs(spark, "text", path=str(root / "topic"))
@@ -108,6 +97,8 @@ def test_job_messages_round_trip(spark, root):
     assert got.where("job_id is not null").count() == len(TEXTS)
     assert [r.message for r in got.where("job_id is null").collect()] == ["not a job"]
     assert _comparable(got.where("job_id is not null").select(*JOB.fieldNames())) == _comparable(jobs)
+    found = job_src.with_text(jobs, files)
+    assert sorted(r.text for r in found.collect()) == sorted(TEXTS.values())
     missing = jobs.withColumn("file_url", jobs.job_id)
     assert job_src.with_text(missing, files).where("text is null").count() == len(TEXTS)
 
