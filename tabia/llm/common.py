@@ -27,16 +27,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, GAP, -1), lambda w: w != "")
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """The frame written to the cluster's shared checkpoint folder, its lineage cut.
-
-    Only a session without ``spark.checkpoint.dir`` (a local one) gets a folder of its own.
-    """
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a session without one (a local one) gets a folder of its own."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame written to the shared folder, its lineage cut."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
@@ -49,3 +51,14 @@ def unboxed(frame: DataFrame, names, **replaced: Column) -> DataFrame:
     return frame.select(
         *(replaced[n].alias(n) if n in replaced else F.col(f"row.`{n}`").alias(n) for n in names)
     )
+
+
+def slices(batch, column: str, limit: int):
+    """An Arrow batch in runs of rows with about ``limit`` bytes of text, one row at least."""
+    low, size = 0, 0
+    lengths = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()]
+    for k, n in enumerate(lengths):
+        size += n
+        if size >= limit or k == len(lengths) - 1:
+            yield batch.slice(low, k + 1 - low)
+            low, size = k + 1, 0

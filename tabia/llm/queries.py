@@ -1,13 +1,30 @@
 """The queries of the operators, by name, and SQL where SQL can express one."""
 
+from tabia.llm.chosen_path import op8_chosen_path_join
+from tabia.llm.context_tree import op5_context_tree
 from tabia.llm.feistel_shards import op4_feistel_shards
+from tabia.llm.gru_toxicity import op7_gru_toxicity
+from tabia.llm.html_extract import op2_html_extraction
 from tabia.llm.importance_rules import op9_importance_quality
+from tabia.llm.latent_retrieval import op6_latent_decontamination
 from tabia.llm.line_runs import ORACLE_OP10, op10_line_runs
+from tabia.llm.nbest_pieces import op3_nbest_pieces
+from tabia.llm.token_counts import op1_token_attribution
 
 QUERIES = {
-    "op4_feistel_shards": op4_feistel_shards,
-    "op9_importance_quality": op9_importance_quality,
-    "op10_line_runs": op10_line_runs,
+    query.__name__: query
+    for query in (
+        op1_token_attribution,
+        op2_html_extraction,
+        op3_nbest_pieces,
+        op4_feistel_shards,
+        op5_context_tree,
+        op6_latent_decontamination,
+        op7_gru_toxicity,
+        op8_chosen_path_join,
+        op9_importance_quality,
+        op10_line_runs,
+    )
 }
 
 ORACLES = {"op10_line_runs": ORACLE_OP10}
