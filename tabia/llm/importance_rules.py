@@ -156,8 +156,10 @@ def judged(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD) ->
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words")
     )
+    kept = ~F.col("base_failed") & (F.col("mean_ratio") >= threshold)
+    # the id keeps a later filter above the counts: pushed below, it would evaluate their arrays for every element
     return step.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("mean_ratio") >= threshold)
+        "kept", F.when(F.monotonically_increasing_id() >= 0, kept)
     )
 
 
