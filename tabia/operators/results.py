@@ -7,9 +7,14 @@ RESULT_URL = "/api/v1/analytics/results/"
 
 
 def latest_status(statuses: DataFrame) -> DataFrame:
-    """Last status row per job; ``max_by`` combines before the shuffle."""
+    """Latest status row per job; ``max_by`` combines before the shuffle.
+
+    Rows with a time ``at`` are ordered by it, then by step, so a job that runs
+    again shows its last run. A log without times is ordered by step.
+    """
+    order = F.struct("at", "step") if "at" in statuses.columns else F.col("step")
     return statuses.groupBy("job_id").agg(
-        F.max_by(F.struct("status", "message"), "step").alias("last")
+        F.max_by(F.struct("status", "message"), order).alias("last")
     ).select("job_id", "last.status", "last.message")
 
 

@@ -1,5 +1,7 @@
 """Session settings this engine relies on, and checkpoints in the cluster's shared folder."""
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Correctness does not depend on these; AQE sizes and splits shuffle partitions at run time.
@@ -22,11 +24,16 @@ def build(master: str | None = None, app: str = "tabia", **extra) -> SparkSessio
     return builder.getOrCreate()
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """The frame checkpointed in the cluster's shared folder, to be read several times.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a session without one (a local one) gets a folder of its own."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
-    Where the session names no ``spark.checkpoint.dir`` the frame is left lazy.
-    """
-    if frame.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return frame.checkpoint()
-    return frame
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame written to the shared folder, its lineage cut, to be read several times."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()

@@ -9,11 +9,12 @@ from tabia.schemas import MONEY
 FILE_ENDINGS = ("pdf", "jpg", "jpeg", "png")
 MAX_FILE_MB = 20
 
-UNIT = "\u001f"
+# Separates the groups of a matched line: the one character that no line holds.
+UNIT = "\n"
 
 
 def _lines(text: str) -> Column:
-    return F.split(F.translate(F.col(text), UNIT, " "), "\n")
+    return F.split(F.col(text), "\n")
 
 
 def parse_statements(statements: DataFrame, ids, text: str = "text") -> DataFrame:

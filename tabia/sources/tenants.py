@@ -78,7 +78,7 @@ def missing_tenants(log: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def current_settings(log: DataFrame) -> DataFrame:
-    """Per tenant the last non-NULL value of each setting.
+    """Per tenant the last non-NULL value of each setting; of equal versions the larger value.
 
     ``max_by`` combines on the map side, so a tenant with a long log is no
     hot task.
@@ -87,7 +87,7 @@ def current_settings(log: DataFrame) -> DataFrame:
     return log.groupBy("company_id").agg(
         F.max("version").alias("version"),
         *[
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("version"))).alias(c)
+            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("version", c))).alias(c)
             for c in names
         ],
     )

@@ -1,12 +1,12 @@
 """Statement jobs as a stream: every micro-batch runs the batch operators.
 
-Tables are written under ``out/<table>/batch_id=<n>`` and replaced when a batch
+Tables are written under ``out/<table>/run_id=<id>/batch_id=<n>`` and replaced when a batch
 is replayed, so a restart after a lost driver or executor leaves no duplicates.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabia.functions.values import ratio
 from tabia.operators import anomalies, features, metrics, narrative, results, scoring
@@ -29,7 +29,11 @@ ABSENT = (
 
 def status_rows(jobs: DataFrame, step: int, status: str, message) -> DataFrame:
     return jobs.select(
-        "job_id", F.lit(step).alias("step"), F.lit(status).alias("status"), message.alias("message")
+        "job_id",
+        F.lit(step).alias("step"),
+        F.lit(status).alias("status"),
+        message.alias("message"),
+        F.current_timestamp().alias("at"),
     )
 
 
@@ -111,12 +115,18 @@ def process_batch(
     out: str,
     span: int = SPLIT_SPAN,
     scorer: LinearScorer | None = None,
+    run_id: str = "batch",
 ) -> None:
-    """Parse, score, store, notify and log one micro-batch of jobs with their texts."""
+    """Parse, score, store, notify and log one micro-batch of jobs with their texts.
+
+    A batch is stored under its run and batch id and replaced on replay. Of
+    several messages with one job id the first in the order of their columns is
+    run; the others are listed as rejected.
+    """
     spark = jobs.sparkSession
 
     def path(table: str) -> str:
-        return f"{out}/{table}/batch_id={batch_id}"
+        return f"{out}/{table}/run_id={run_id}/batch_id={batch_id}"
 
     def store(table: str, frame: DataFrame) -> DataFrame:
         frame.write.mode("overwrite").parquet(path(table))
@@ -125,12 +135,15 @@ def process_batch(
     # written once; every later step reads these tables, not the source again
     usable, unusable = scoped(jobs)
     has_id = F.col("job_id").isNotNull()
-    inbox = store("jobs", usable.where(has_id).dropDuplicates(["job_id"]))
+    turn = Window.partitionBy("job_id").orderBy(*sorted(usable.columns))
+    turns = store("received", usable.where(has_id).withColumn("turn", F.row_number().over(turn)))
+    inbox = store("jobs", turns.where("turn = 1").drop("turn"))
     store(
         "rejected",
         usable.where(~has_id)
         .withColumn("reason", F.lit("no job id"))
-        .unionByName(unusable.withColumn("reason", F.lit("company or customer id missing"))),
+        .unionByName(unusable.withColumn("reason", F.lit("company or customer id missing")))
+        .unionByName(turns.where("turn > 1").drop("turn").withColumn("reason", F.lit("job id repeated"))),
     )
     parsed = store("parsed", parsed_jobs(inbox, tenants))
     store("undated", dated(parsed)[1].drop("txn_date"))
@@ -174,14 +187,19 @@ def start(
 
     ``tenants`` may be a function returning them: it is called for every batch, so
     that changed settings take effect without a restart.
+    Tables are stored under the id that Spark keeps in the checkpoint, so a new
+    checkpoint never replaces the results of an earlier run.
     """
 
+    def run_id(spark) -> str:
+        return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
     def run(batch: DataFrame, batch_id: int) -> None:
         if not callable(tenants):
-            process_batch(batch, batch_id, tenants, out, span, scorer)
+            process_batch(batch, batch_id, tenants, out, span, scorer, run_id(batch.sparkSession))
             return
         current = tenants()
-        process_batch(batch, batch_id, current, out, span, scorer)
+        process_batch(batch, batch_id, current, out, span, scorer, run_id(batch.sparkSession))
         current.settings.unpersist()
 
     return (

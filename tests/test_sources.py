@@ -78,7 +78,7 @@ def test_parse_statements(spark):
 def test_statement_separator_in_text_is_harmless(spark):
     frame = spark.createDataFrame([("s", "a\u001fb\u001fc\n2023-01-01 X\u001fY 1.00")], "id string, text string")
     (row,) = stm.parse_statements(frame, ["id"]).collect()
-    assert (row.description, row.amount) == ("X Y", money(1))
+    assert (row.description, row.amount) == ("X\u001fY", money(1))
 
 
 def test_failed_statements(spark):

@@ -46,7 +46,7 @@ def _read(spark, out, table):
 
 
 def _comparable(frame):
-    return sorted(str(sorted(r.asDict(recursive=True).items())) for r in frame.drop("batch_id").collect())
+    return sorted(str(sorted(r.asDict(recursive=True).items())) for r in frame.drop("batch_id", "run_id", "at").collect())
 
 
 def test_stream_of_files_equals_batch(spark, tenants, root):
@@ -126,3 +126,32 @@ def test_unusable_jobs_are_set_apart_and_a_scorer_gives_the_base(spark, tenants,
     assert (row.job_id, row.behavioral_score) == ("j1", 400.0)
     assert [(e.feature, e.impact) for e in row.score_explanation] == [("avg_monthly_income", 60.0), ("savings_rate", 0.0)]
     assert [r.job_id for r in _read(spark, tmp_path, "failures").collect()] == ["j3"]
+
+
+def test_a_new_checkpoint_keeps_earlier_results(spark, tenants, tmp_path):
+    schema = "job_id string, company_id string, customer_id string, text string"
+    for run in ("one", "two"):
+        source = tmp_path / run
+        rows = [(run, "T1", run, "2023-01-01 SALARY 1,000.00 CR")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(source))
+        jobs = spark.readStream.schema(schema).json(str(source))
+        query = stream.start(jobs, tenants, str(tmp_path / "out"), str(tmp_path / f"checkpoint_{run}"))
+        query.awaitTermination(240)
+        assert query.exception() is None
+    assert {r.job_id for r in _read(spark, tmp_path / "out", "results").collect()} == {"one", "two"}
+
+
+def test_repeated_job_ids_are_listed(spark, tenants, tmp_path):
+    rows = [("j", "T1", "b", "2023-01-01 Rent 5.00 DR"), ("j", "T1", "a", "2023-01-01 SALARY 1,000.00 CR")]
+    jobs = spark.createDataFrame(rows, "job_id string, company_id string, customer_id string, text string")
+    stream.process_batch(jobs, 0, tenants, str(tmp_path))
+    (row,) = _read(spark, tmp_path, "results").collect()
+    assert row.customer_id == "a"
+    (other,) = _read(spark, tmp_path, "rejected").collect()
+    assert (other.customer_id, other.reason) == ("b", "job id repeated")
+
+
+def test_status_of_a_job_that_runs_again(spark):
+    rows = [("j", 3, "FAILED", "m", 1), ("j", 1, "QUEUED", "m", 2), ("j", 2, "PROCESSING", "m", 2)]
+    log = spark.createDataFrame(rows, "job_id string, step int, status string, message string, at int")
+    assert results.latest_status(log).first().status == "PROCESSING"
