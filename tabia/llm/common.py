@@ -1,9 +1,9 @@
 """What several operators share: tables, words, stored intermediate frames."""
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tabia.session import settled as stored, shared_folder  # noqa: F401
+
 # fixed values of the contracts
 SPACE = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
@@ -27,21 +27,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, GAP, -1), lambda w: w != "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only a session without one (a local one) gets a folder of its own."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def stored(frame: DataFrame) -> DataFrame:
-    """The frame written to the shared folder, its lineage cut."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
-
-
 def boxed(frame: DataFrame) -> DataFrame:
     """The columns of a table as one column ``row``, so that no name of theirs can clash."""
     return frame.select(F.struct("*").alias("row"))
