@@ -1,5 +1,7 @@
 """What several operators share: tables, words, stored intermediate frames."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabia.session import settled as stored, shared_folder  # noqa: F401
@@ -14,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as compressed Parquet in the shared folder, for large tables; the folder's owner clears it."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def whole(text) -> Column:
     """A text, where null counts as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabia.llm.common import stored, table, whole
+from tabia.llm.common import table, whole, written
 
 DEPTH = 5
 LOW_BITS, HIGH_BITS = 5, 3
@@ -248,7 +248,7 @@ def subtree(frame: pd.DataFrame) -> pd.DataFrame:
 
 def context_table(counts: DataFrame) -> DataFrame:
     rows = counts.where("kind = 'l'").select(F.conv(F.hex("key"), 16, 10).cast("long").alias("key"), "n")
-    return stored(
+    return written(
         rows.groupBy(F.shiftright("key", DEPTH * LOW_BITS).alias("top"))
         .applyInPandas(lambda frame: subtree(frame), "kind string, key binary, ones binary")
     )
@@ -428,7 +428,7 @@ def context_tree_scores(docs: DataFrame, broadcast_contexts: int = BROADCAST_CON
         "held_out",
         whole("text").alias("text"),
     )
-    counts = stored(
+    counts = written(
         rows.where(~F.col("held_out"))
         .select("text")
         .mapInArrow(lambda batches: count(batches), "kind string, key binary, n long")
