@@ -277,6 +277,13 @@ def encoded(texts: list[str], vocabulary: Vocabulary, n: int = BEST):
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids)), scores
 
 
+def id_lists(ids: pa.ListArray):
+    """The lists of an Arrow array, by way of numpy; a null list counts as empty."""
+    flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    for low, high in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield flat[low:high].tolist()
+
+
 def decoded(ids: list[int], raw: dict) -> str:
     """The text of a list of ids; the leading blank that encoding adds is dropped."""
     return b"".join(map(raw.__getitem__, ids))[1:].decode()
@@ -290,7 +297,7 @@ def encode_batches(batches, vocabulary: Vocabulary, n: int):
         for part in slices(batch, "text", SLICE):
             texts = part.column("text").to_pylist()
             ids, scores = encoded(texts, vocabulary, n)
-            exact = [decoded(own, vocabulary.raw) == x for own, x in zip(ids.to_pylist(), texts)]
+            exact = [decoded(own, vocabulary.raw) == x for own, x in zip(id_lists(ids), texts)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), ids, pa.array(scores, pa.list_(pa.float64())), pa.array(exact)],
                 names=["doc_id", "ids", "scores", "exact"],
@@ -316,7 +323,8 @@ def decode(pieces: DataFrame, path: str = MODEL) -> DataFrame:
 
     def texts(batches):
         for batch in batches:
-            found = [None if own is None else decoded(own, raw) for own in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            found = [decoded(own, raw) if there else None for own, there in zip(id_lists(ids), ids.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "text"]
             )
