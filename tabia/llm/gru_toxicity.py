@@ -9,6 +9,7 @@ sample of labelled rows; scoring is a Spark pass over every document.
 """
 
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -229,24 +230,26 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def train(rows: list[tuple[int, list[list[str]]]], seed: int = SEED):
+def train(rows: Iterable[tuple[int, list[list[str]]]], seed: int = SEED):
     """The network and its calibration from (label, windows) of documents.
 
-    Without both classes there is nothing to learn: every score is then 0.
+    The rows are read once and kept as word codes. Without both classes there
+    is nothing to learn: every score is then 0.
     """
-    labels = np.array([r[0] for r in rows], np.float32)
-    if len(set(labels.tolist())) < 2:
-        return None
-    rng = np.random.default_rng(seed)
     names: dict = {}
-    codes, lengths, owner = [], [], []
-    for k, (_, windows) in enumerate(rows):
+    labels, codes, lengths, owner = [], [], [], []
+    for k, (label, windows) in enumerate(rows):
+        labels.append(label)
         for w in windows:
-            line = np.zeros(WINDOW, np.int64)
+            line = np.zeros(WINDOW, np.int32)
             line[: len(w)] = [names.setdefault(x, len(names)) for x in w]
             codes.append(line)
             lengths.append(len(w))
             owner.append(k)
+    if len(set(labels)) < 2:
+        return None
+    labels = np.array(labels, np.float32)
+    rng = np.random.default_rng(seed)
     vocabulary = features(list(names) or [""])
     codes, lengths, owner = np.array(codes), np.array(lengths), np.array(owner)
     net = initial(rng)
@@ -280,6 +283,7 @@ def train(rows: list[tuple[int, list[list[str]]]], seed: int = SEED):
 
 
 def training_windows(batches):
+    """The windows of each text, a bounded number; a window's words are joined by blanks, which no word holds."""
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
@@ -287,9 +291,10 @@ def training_windows(batches):
             starts = window_starts(len(found)) if found else []
             if len(starts) > TRAIN_WINDOWS:
                 starts = [starts[i] for i in np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(int)]
-            out.append([found[s : s + WINDOW] for s in starts])
+            out.append([" ".join(found[s : s + WINDOW]) for s in starts])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("toxic"), pa.array(out, pa.list_(pa.list_(pa.string())))], names=["toxic", "windows"]
+            [*(batch.column(c) for c in ("toxic", "turn", "doc_id")), pa.array(out, pa.list_(pa.string()))],
+            names=["toxic", "turn", "doc_id", "windows"],
         )
 
 
@@ -305,17 +310,21 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS):
     for y in (0, 1):
         part = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(documents)
         picked = part if picked is None else picked.unionByName(part)
+    # windows are bounded, whole texts are not: only windows are sorted and sent to the driver
     rows = (
-        docs.select("doc_id", whole("text").alias("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
         .join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
-        .select("toxic", "text", F.xxhash64("doc_id").alias("turn"), "doc_id")
-        .orderBy("turn", "doc_id", "text")
+        .select("toxic", F.xxhash64("doc_id").alias("turn"), "doc_id", "text")
+        .mapInArrow(
+            lambda batches: training_windows(batches), "toxic int, turn long, doc_id long, windows array<string>"
+        )
+        .orderBy("turn", "doc_id", "windows")
         .limit(2 * documents)
-        .select("toxic", "text")
-        .mapInArrow(lambda batches: training_windows(batches), "toxic int, windows array<array<string>>")
-        .collect()
+        .select("toxic", "windows")
+    )
+    return train(
+        (r["toxic"], [w.split(" ") for w in r["windows"]]) for r in rows.toLocalIterator() if r["windows"]
     )
-    return train([(r["toxic"], r["windows"]) for r in rows if r["windows"]])
 
 
 def scores(texts: list[str], model) -> np.ndarray:
