@@ -688,8 +688,12 @@ _BODIES: dict[str, str] = {
     "q_debt_rows": f"""select {K}, seq, description, amount::double amount from bank_raw where try_cast(date as date) is not null
  and regexp_matches(lower(description), 'loan|installment|repayment|emi|mortgage')""",
     "q_categorize": f"select {K}, seq, description, category from bank",
-    "q_scope": """select case when segment<>'BUILDING' then company_id else ' ' end company_id, case when segment<>'BUILDING' then 'scoped' else 'quarantine' end verdict,
- count(*) n from bank_raw group by 1, 2""",
+    "q_scope": """select case when segment<>'BUILDING' then company_id else ' ' end company_id, customer_id, seq,
+ case when segment<>'BUILDING' then 'scoped' else 'quarantine' end verdict from bank_raw""",
+    "q_quarantine": f"""select 'bank' source, {K}, seq, 'unparsable date' reason from bank_raw where try_cast(date as date) is null
+union all select 'mobile', {K}, seq, 'unparsable date' from mobile_raw where try_cast(date as date) is null
+union all select 'crb', {K}, null::bigint, 'missing or out of range' from crb_raw
+ where not (payment_performance_score between 0 and 100 and credit_utilization_ratio between 0 and 100)""",
     "q_result_lookup": """
 select a.job_id, case when o.o_orderstatus='F' then 200 when l.status='FAILED' then 400 when l.status<>'COMPLETED' then 202 else 404 end reply_code,
  case when o.o_orderstatus='F' then least(1000.0::double, o.o_totalprice/500) end behavioral_score,

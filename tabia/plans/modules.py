@@ -9,7 +9,7 @@ from tabia.operators.model import LinearScorer
 from tabia.operators.spread import SPLIT_SPAN, attach_tenant, is_small
 from tabia.schemas import KEY
 from tabia.sources.tenants import currency
-from tabia.sources.transactions import read_crb
+from tabia.sources.transactions import dated, read_crb
 
 MONEY_NAME = ["currency_preference"]
 
@@ -40,6 +40,24 @@ def prepared(txn: DataFrame, tenants: Tenants, span: int = SPLIT_SPAN) -> DataFr
     return ledger.prepare(txn, tenants.settings, tenants.small, span)
 
 
+def quarantined(bank: DataFrame, records: DataFrame, mobile: DataFrame) -> DataFrame:
+    """The input rows that the modules leave out, with the reason, for the caller to store."""
+    keys = [F.col(k) for k in KEY]
+
+    def undated(txn, source):
+        return dated(txn)[1].select(
+            F.lit(source).alias("source"), *keys, "seq", F.lit("unparsable date").alias("reason")
+        )
+
+    refused = read_crb(records)[1].select(
+        F.lit("crb").alias("source"),
+        *keys,
+        F.lit(None).cast("bigint").alias("seq"),
+        F.lit("missing or out of range").alias("reason"),
+    )
+    return undated(bank, "bank").unionByName(undated(mobile, "mobile")).unionByName(refused)
+
+
 def bank_features(txn: DataFrame) -> DataFrame:
     """Bank features with the module's own anomaly count."""
     return anomalies.with_bank_count(features.bank_features(txn), txn)

@@ -15,7 +15,7 @@ from tabia.session import settled
 from tabia.sources import driver_tables as tables
 from tabia.sources import statements as stm
 from tabia.sources.tenants import currency, current_settings, read_tenant_config
-from tabia.sources.transactions import bureau_defaults, dated, read_crb, scoped, valid_bureau
+from tabia.sources.transactions import bureau_defaults, dated, has_ids, read_crb, valid_bureau
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -198,12 +198,14 @@ def q_scope(spark, d):
     rows = tables.bank_txn(spark, d).withColumn(
         "company_id", F.when(F.col("segment") != "BUILDING", F.col("company_id")).otherwise(" ")
     )
-    inside, outside = scoped(rows)
-    return (
-        inside.withColumn("verdict", F.lit("scoped"))
-        .unionByName(outside.withColumn("verdict", F.lit("quarantine")))
-        .groupBy("company_id", "verdict")
-        .agg(F.count(F.lit(1)).alias("n"))
+    verdict = F.when(has_ids(), "scoped").otherwise("quarantine")
+    return rows.select(*KEY, "seq", verdict.alias("verdict"))
+
+
+@query
+def q_quarantine(spark, d):
+    return modules.quarantined(
+        tables.bank_txn(spark, d), tables.crb(spark, d), tables.mobile_txn(spark, d)
     )
 
 

@@ -36,13 +36,18 @@ def split_unified(requests: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def scoped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with both ids, rows without)."""
-    has_ids = F.lit(True)
+def has_ids() -> Column:
+    """Both ids are there and not blank."""
+    there = F.lit(True)
     for name in KEY:
         text = F.trim(F.col(name).cast("string"))
-        has_ids = has_ids & text.isNotNull() & (text != "")
-    return rows.where(has_ids), rows.where(~has_ids)
+        there = there & text.isNotNull() & (text != "")
+    return there
+
+
+def scoped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with both ids, rows without)."""
+    return rows.where(has_ids()), rows.where(~has_ids())
 
 
 def dated(txn: DataFrame) -> tuple[DataFrame, DataFrame]:
