@@ -22,6 +22,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tabia.llm.common import table, whole, written
@@ -35,6 +36,7 @@ BROADCAST_CONTEXTS = 600_000
 FOLDS = 10
 BLOCK_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
+SCORE_BYTES = 1 << 20
 FLUSH_WORDS = 400_000
 FLUSH_KEYS = 4_000_000
 PAD = b" " * DEPTH
@@ -60,14 +62,14 @@ def keys(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, (side << HIGH_BITS) | high
 
 
-def chunks(streams):
-    """Padded streams joined to arrays of about CHUNK_BYTES, with the start of each stream."""
+def chunks(streams, limit=CHUNK_BYTES):
+    """Padded streams joined to arrays of about ``limit`` bytes, with the start of each stream."""
     parts, starts, size = [], [], 0
     for s in streams:
         parts += (PAD, s)
         starts.append(size)
         size += len(PAD) + len(s)
-        if size >= CHUNK_BYTES:
+        if size >= limit:
             yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts)
             parts, starts, size = [], [], 0
     if parts:
@@ -267,6 +269,14 @@ def root_of(contexts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return weight, p, weight * p + (1 - weight) / 2
 
 
+def flat(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
+    """The numbers in a column of byte strings of ``width`` bytes."""
+    parts = (c.cast(pa.binary(width)) for c in column.chunks)
+    return np.concatenate(
+        [np.frombuffer(c.buffers()[1], np.uint8, width * len(c), width * c.offset).view(kind) for c in parts if len(c)]
+    )
+
+
 class Contexts:
     """log10 P(low bits | contexts) of the contexts that occur, by depth."""
 
@@ -276,7 +286,7 @@ class Contexts:
 
     @classmethod
     def read(cls, rows, root):
-        weight, p, alone = root
+        """From rows (kind, key, ones)."""
         parts: dict = {}
         for kind, key, ones in rows:
             depth = int(kind)
@@ -284,17 +294,39 @@ class Contexts:
                 parts.setdefault(depth, ([], []))
                 parts[depth][0].append(key)
                 parts[depth][1].append(ones)
+        return cls.of(
+            {
+                depth: (np.frombuffer(b"".join(names), ">u4"), np.frombuffer(b"".join(ones), "<f4"))
+                for depth, (names, ones) in parts.items()
+            },
+            root,
+        )
+
+    @classmethod
+    def read_arrow(cls, found: pa.Table, root):
+        """From an Arrow table with kind, key, ones; contexts without an answer are not in the tree."""
+        parts = {}
+        for depth in range(1, DEPTH + 1):
+            own = found.filter((pc.field("kind") == str(depth)) & pc.field("ones").is_valid())
+            if len(own):
+                parts[depth] = (
+                    flat(own.column("key"), ">u4", 4),
+                    flat(own.column("ones"), "<f4", 4 * ((1 << LOW_BITS) - 1)),
+                )
+        return cls.of(parts, root)
+
+    @classmethod
+    def of(cls, parts, root):
+        weight, p, alone = root
         levels = {}
         for depth, (names, ones) in parts.items():
-            at = np.frombuffer(b"".join(names), ">u4").astype(np.int32)
+            at = names.astype(np.int32)
             order = np.argsort(at)
-            deep = np.frombuffer(b"".join(ones), "<f4").reshape(len(at), -1)[order].astype(np.float64)
-            logs = np.concatenate(
-                [
-                    symbol_logs(weight * p + (1 - weight) * deep[i : i + 20_000]).astype(np.float32)
-                    for i in range(0, len(at), 20_000)
-                ]
-            )
+            deep = ones.reshape(len(at), -1)
+            logs = np.empty((len(at), 1 << LOW_BITS), np.float32)
+            for i in range(0, len(at), 20_000):
+                part = deep[order[i : i + 20_000]].astype(np.float64)
+                logs[i : i + 20_000] = symbol_logs(weight * p + (1 - weight) * part)
             levels[depth] = (at[order], logs)
         return cls(symbol_logs(alone).astype(np.float32), levels)
 
@@ -344,7 +376,7 @@ def high_table(counts: DataFrame) -> np.ndarray:
 def code_logs(streams, contexts: Contexts, high: np.ndarray) -> np.ndarray:
     """log10 probability of each stream."""
     out = [np.zeros(0)]
-    for data, starts in chunks(streams):
+    for data, starts in chunks(streams, SCORE_BYTES):
         a, b = keys(data)
         logs = contexts.logs(a).astype(np.float64)
         logs += high[b]
@@ -467,12 +499,9 @@ def context_tree_scores(docs: DataFrame, broadcast_contexts: int = BROADCAST_CON
 
     def scored(docs_table: pa.Table, known_table: pa.Table) -> pa.Table:
         shared, root, high = model.value
-        kinds, names, numbers, ones = (known_table.column(c).to_pylist() for c in ("kind", "key", "n", "ones"))
-        own = {k: c or 0 for kind, k, c in zip(kinds, names, numbers) if kind == "w"}
-        if shared:
-            tree_of = Contexts(*shared)
-        else:
-            tree_of = Contexts.read(((a, b, c) for a, b, c in zip(kinds, names, ones) if c is not None), root)
+        tree_of = Contexts(*shared) if shared else Contexts.read_arrow(known_table, root)
+        asked = known_table.filter(pc.field("kind") == "w")
+        own = {k: c or 0 for k, c in zip(asked.column("key").to_pylist(), asked.column("n").to_pylist())}
         logs = {w: math.log10(c + 0.1) - floor for w, c in own.items()}
         unknown = {w for w, c in own.items() if not c}
         base, tokens, seen, sizes, streams = [], [], [], [], []
