@@ -38,7 +38,7 @@ BLOCK_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
 SCORE_BYTES = 1 << 20
 FLUSH_WORDS = 400_000
-FLUSH_KEYS = 4_000_000
+FLUSH_KEYS = 2_000_000
 PAD = b" " * DEPTH
 
 
@@ -95,9 +95,13 @@ def packed(numbers: np.ndarray) -> list[bytes]:
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    at, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n = np.bincount(back, np.concatenate([p[1] for p in parts]), len(at))
-    return at, n.astype(np.int64)
+    at = np.concatenate([p[0] for p in parts])
+    order = np.argsort(at)
+    at, n = at[order], np.concatenate([p[1] for p in parts])[order]
+    if not len(at):
+        return at, n
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[starts], np.add.reduceat(n, starts)
 
 
 def count(batches):
@@ -269,12 +273,33 @@ def root_of(contexts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return weight, p, weight * p + (1 - weight) / 2
 
 
-def flat(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
+def flat(column: pa.Array, kind: str, width: int) -> np.ndarray:
     """The numbers in a column of byte strings of ``width`` bytes."""
-    parts = (c.cast(pa.binary(width)) for c in column.chunks)
-    return np.concatenate(
-        [np.frombuffer(c.buffers()[1], np.uint8, width * len(c), width * c.offset).view(kind) for c in parts if len(c)]
-    )
+    c = column.cast(pa.binary(width))
+    return np.frombuffer(c.buffers()[1], np.uint8, width * len(c), width * c.offset).view(kind)
+
+
+def answered(found: pa.Table, depth: int):
+    """The contexts of one depth that are in the tree, in batches."""
+    for batch in found.to_batches():
+        own = batch.filter(pc.and_(pc.equal(batch.column("kind"), str(depth)), batch.column("ones").is_valid()))
+        if len(own):
+            yield own
+
+
+def level(names: np.ndarray, parts, root) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted contexts and the logs of their symbols; ``parts`` hold P(bit = 1) in the order of ``names``."""
+    weight, p, _ = root
+    at = names.astype(np.int32)
+    order = np.argsort(at)
+    place = np.empty(len(at), np.int64)
+    place[order] = np.arange(len(at))
+    logs = np.empty((len(at), 1 << LOW_BITS), np.float32)
+    done = 0
+    for deep in parts:
+        logs[place[done : done + len(deep)]] = symbol_logs(weight * p + (1 - weight) * deep.astype(np.float64))
+        done += len(deep)
+    return at[order], logs
 
 
 class Contexts:
@@ -294,41 +319,24 @@ class Contexts:
                 parts.setdefault(depth, ([], []))
                 parts[depth][0].append(key)
                 parts[depth][1].append(ones)
-        return cls.of(
-            {
-                depth: (np.frombuffer(b"".join(names), ">u4"), np.frombuffer(b"".join(ones), "<f4"))
-                for depth, (names, ones) in parts.items()
-            },
-            root,
-        )
+        levels = {}
+        for depth, (names, ones) in parts.items():
+            at = np.frombuffer(b"".join(names), ">u4")
+            deep = np.frombuffer(b"".join(ones), "<f4").reshape(len(at), -1)
+            levels[depth] = level(at, (deep[i : i + 20_000] for i in range(0, len(at), 20_000)), root)
+        return cls(symbol_logs(root[2]).astype(np.float32), levels)
 
     @classmethod
     def read_arrow(cls, found: pa.Table, root):
-        """From an Arrow table with kind, key, ones; contexts without an answer are not in the tree."""
-        parts = {}
-        for depth in range(1, DEPTH + 1):
-            own = found.filter((pc.field("kind") == str(depth)) & pc.field("ones").is_valid())
-            if len(own):
-                parts[depth] = (
-                    flat(own.column("key"), ">u4", 4),
-                    flat(own.column("ones"), "<f4", 4 * ((1 << LOW_BITS) - 1)),
-                )
-        return cls.of(parts, root)
-
-    @classmethod
-    def of(cls, parts, root):
-        weight, p, alone = root
+        """From an Arrow table with kind, key, ones; only the logs are held for the whole table."""
+        width = (1 << LOW_BITS) - 1
         levels = {}
-        for depth, (names, ones) in parts.items():
-            at = names.astype(np.int32)
-            order = np.argsort(at)
-            deep = ones.reshape(len(at), -1)
-            logs = np.empty((len(at), 1 << LOW_BITS), np.float32)
-            for i in range(0, len(at), 20_000):
-                part = deep[order[i : i + 20_000]].astype(np.float64)
-                logs[i : i + 20_000] = symbol_logs(weight * p + (1 - weight) * part)
-            levels[depth] = (at[order], logs)
-        return cls(symbol_logs(alone).astype(np.float32), levels)
+        for depth in range(1, DEPTH + 1):
+            names = [flat(own.column("key"), ">u4", 4) for own in answered(found, depth)]
+            if names:
+                deep = (flat(own.column("ones"), "<f4", 4 * width).reshape(-1, width) for own in answered(found, depth))
+                levels[depth] = level(np.concatenate(names), deep, root)
+        return cls(symbol_logs(root[2]).astype(np.float32), levels)
 
     def index(self) -> None:
         """A bit for each deepest context that occurs, and the rows before each word of bits."""
@@ -499,19 +507,24 @@ def context_tree_scores(docs: DataFrame, broadcast_contexts: int = BROADCAST_CON
 
     def scored(docs_table: pa.Table, known_table: pa.Table) -> pa.Table:
         shared, root, high = model.value
-        tree_of = Contexts(*shared) if shared else Contexts.read_arrow(known_table, root)
-        asked = known_table.filter(pc.field("kind") == "w")
-        own = {k: c or 0 for k, c in zip(asked.column("key").to_pylist(), asked.column("n").to_pylist())}
-        logs = {w: math.log10(c + 0.1) - floor for w, c in own.items()}
-        unknown = {w for w, c in own.items() if not c}
+        asked = known_table.filter(pc.field("kind") == "w").select(["key", "n"])
+        logs = {}
+        for batch in asked.to_batches():
+            for w, c in zip(*(column.to_pylist() for column in batch.columns)):
+                logs[w] = math.log10((c or 0) + 0.1) - floor
+        del asked
+        unknown = math.log10(0.1) - floor
         base, tokens, seen, sizes, streams = [], [], [], [], []
         for text in docs_table.column("text").to_pylist():
             found, data = stream(text)
-            base.append(math.fsum(map(logs.__getitem__, found)) + end)
+            own = list(map(logs.__getitem__, found))
+            base.append(math.fsum(own) + end)
             tokens.append(len(found) + 1)
-            seen.append(len(found) - sum(map(unknown.__contains__, found)) + (ends > 0))
+            seen.append(len(found) - own.count(unknown) + (ends > 0))
             sizes.append(len(data))
             streams.append(data)
+        del logs
+        tree_of = Contexts(*shared) if shared else Contexts.read_arrow(known_table, root)
         score = code_logs(streams, tree_of, high)
         return pa.table(
             {
