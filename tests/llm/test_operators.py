@@ -331,6 +331,32 @@ def test_latent_retrieval_finds_leaks(spark, odd, empty):
     assert latent_retrieval.contaminated(frame, benchmark.where("item_id = 99")).count() == 0
 
 
+def test_latent_retrieval_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    items = [[f"w{x}" for x in rng.integers(0, 9000, (24, 60, 400)[k % 3])] for k in range(400)]
+    texts = []
+    for k, item in enumerate(items):
+        own = list(item)
+        if k % 2:  # a paraphrase that keeps the order and the answer
+            for at in rng.choice(len(own) * 3 // 4, int(0.4 * len(own)), replace=False):
+                own[at] = f"w{rng.integers(0, 9000)}"
+        texts.append([f"w{x}" for x in rng.integers(0, 9000, 70)] + own + [f"w{x}" for x in rng.integers(0, 9000, 90)])
+    want = set()
+    for k, words in enumerate(texts):
+        for i, item in enumerate(items):
+            if len(set(item) & set(words)) < 0.3 * len(item):
+                continue
+            for low in range(0, len(words), latent_retrieval.STRIDE):
+                share, answer = latent_retrieval.verified(words, item, low)
+                if share >= latent_retrieval.SURE or share >= latent_retrieval.LIKELY and answer >= latent_retrieval.ANSWER:
+                    want.add((k, i))
+    assert {(k, k) for k in range(400)} <= want
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent_retrieval.contaminated(docs, benchmark).collect()}
+    assert got == want
+
+
 def test_lcs_equals_the_table():
     rng = np.random.default_rng(1)
     for _ in range(50):
