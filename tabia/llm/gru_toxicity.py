@@ -33,13 +33,25 @@ DECAY, HIDDEN_WORDS = 0.05, 0.5
 SEED = 5
 CHUNK_WORDS = 400_000
 LANES = 2048
+#: Longer words are cut into runs of so many characters, which overlap by the longest n-gram less one.
+RUN, OVERLAP = 32, GRAMS[-1] - 1
 EDGE = ".,;:!?\"'()[]{}|*#$%&<>-_"
 
 
 def words_of(text: str) -> list[str]:
-    """Words without white space, in lower case, edges cleared of punctuation; pure punctuation stays."""
-    found = text.encode("utf-8", "surrogatepass").split()
-    return [w.strip(EDGE) or w for w in (x.decode("utf-8", "surrogatepass").lower() for x in found)]
+    """Words without white space of any script, in lower case, edges cleared of punctuation; pure punctuation stays.
+
+    A long word becomes overlapping runs, so that every character n-gram of it is
+    in one of them: a text may have no blanks at all.
+    """
+    out = []
+    for w in text.lower().split():
+        w = w.strip(EDGE) or w
+        if len(w) <= RUN:
+            out.append(w)
+        else:
+            out += [w[at : at + RUN] for at in range(0, len(w) - OVERLAP, RUN - OVERLAP)]
+    return out
 
 
 def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +59,7 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     bins = np.empty(len(vocabulary), np.int64)
     grams, starts = [], np.empty(len(vocabulary), np.int64)
     for k, w in enumerate(vocabulary):
-        w = w[:200].encode("utf-8", "surrogatepass")  # only the spelling of one word, never of a text
+        w = w.encode("utf-8", "surrogatepass")
         bins[k] = zlib.crc32(w) % WORD_BINS
         starts[k] = len(grams)
         edged = b"^" + w + b"$"

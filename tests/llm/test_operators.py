@@ -401,6 +401,22 @@ def test_gradients_are_those_of_the_loss():
             assert grad[name].reshape(-1)[k] == pytest.approx((up - down) / 2e-2, abs=2e-3)
 
 
+@pytest.mark.parametrize("joint", ["_", ",", "\u00a0", "\u3000", "語"])
+def test_every_character_reaches_a_window(joint):
+    text = joint.join(prose(77, 400).split()) + joint + "nastyword" + joint + joint.join(prose(78, 300).split())
+    found = gru_toxicity.words_of(text)
+    assert max(map(len, found)) <= gru_toxicity.RUN
+    data = [w.encode() for w in found]
+    for part in text.replace("\u00a0", " ").replace("\u3000", " ").split():
+        raw = part.encode()
+        for n in gru_toxicity.GRAMS:
+            grams = {x[i : i + n] for x in data for i in range(len(x) - n + 1)}
+            assert {raw[i : i + n] for i in range(len(raw) - n + 1)} <= grams
+    _, codes, _ = gru_toxicity.features(found)
+    wanted = {zlib.crc32(b"nastyword"[i : i + n]) % gru_toxicity.CHAR_BINS for n in gru_toxicity.GRAMS for i in range(10 - n)}
+    assert wanted <= set(codes.tolist())
+
+
 def test_toxicity_on_held_out_documents(spark, odd):
     rng = np.random.default_rng(3)
     rows, labels = [], []
