@@ -5,28 +5,34 @@ n-gram vectors. A window of words runs through a GRU in both directions, its
 states are pooled by attention, and the pooled state gives the window's logit. A
 document is scored by all its overlapping windows: the largest logit and the
 number of windows go through a calibration. Training is plain numpy on a bounded
-sample of labelled rows; scoring is a Spark pass over every document.
+sample of labelled rows; their strongest windows, largest logits and window
+counts come from Spark passes over all their windows, and scoring is a Spark pass
+over every document.
 """
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabia.llm.common import table, whole
+from tabia.llm.common import stored, table, whole
 
 WINDOW, STRIDE = 32, 16
 WORD_BINS, CHAR_BINS = 1 << 12, 1 << 13
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 12, 8
 GRAMS = (3, 4, 5)
-#: Labelled documents of each class, and evenly spread windows of each, that training sees at most.
+#: Labelled documents of each class, and evenly spread windows of each that training starts with; later
+#: steps take the strongest of all windows.
 TRAIN_DOCUMENTS, TRAIN_WINDOWS = 1500, 64
 FOLDS = 5
 BATCH = 192
 #: Passes with every window carrying its document's label, then passes over each document's strongest windows.
 NOISY_STEPS, STRONG_ROUNDS, STRONG_STEPS = 150, 4, 60
+#: Strongest windows taken of a toxic and of a clean document; files the sample is dealt into.
+STRONGEST = {1: 1, 0: 4}
+SAMPLE_FILES = 24
 RATE = 0.01
 #: Decay of the word and character vectors, and the share of word vectors that a training step hides.
 DECAY, HIDDEN_WORDS = 0.05, 0.5
@@ -242,56 +248,54 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def train(rows: Iterable[tuple[int, list[list[str]]]], seed: int = SEED):
+def train(rows: Iterable[tuple[int, list[list[str]]]], strongest: Callable, seed: int = SEED):
     """The network and its calibration from (label, windows) of documents.
 
-    The rows are read once and kept as word codes. Without both classes there
-    is nothing to learn: every score is then 0.
+    The rows are read once and kept as word codes. ``strongest`` gives for a
+    network (label, number of windows, largest logit, strongest windows) of each
+    document, from all its windows. Without both classes there is nothing to
+    learn: every score is then 0.
     """
     names: dict = {}
-    labels, codes, lengths, owner = [], [], [], []
-    for k, (label, windows) in enumerate(rows):
-        labels.append(label)
-        for w in windows:
-            line = np.zeros(WINDOW, np.int32)
-            line[: len(w)] = [names.setdefault(x, len(names)) for x in w]
-            codes.append(line)
-            lengths.append(len(w))
-            owner.append(k)
-    if len(set(labels)) < 2:
-        return None
-    labels = np.array(labels, np.float32)
+    vocabulary = features([])
     rng = np.random.default_rng(seed)
-    vocabulary = features(list(names) or [""])
-    codes, lengths, owner = np.array(codes), np.array(lengths), np.array(owner)
+
+    def coded(found):
+        """Labels, word codes and lengths of windows; the vocabulary grows by their words."""
+        nonlocal vocabulary
+        labels, codes, lengths, known = [], [], [], len(names)
+        for label, windows in found:
+            for w in windows:
+                line = np.zeros(WINDOW, np.int32)
+                line[: len(w)] = [names.setdefault(x, len(names)) for x in w]
+                labels.append(label)
+                codes.append(line)
+                lengths.append(len(w))
+        bins, grams, starts = features(list(names)[known:])
+        old = vocabulary
+        vocabulary = tuple(np.concatenate(x) for x in zip(old, (bins, grams, starts + len(old[1]))))
+        return np.array(labels, np.float32), np.array(codes), np.array(lengths)
+
+    pool = coded(rows)
+    if len(set(pool[0].tolist())) < 2:
+        return None
     net = initial(rng)
     adam = Adam(net)
 
     def steps(pool, n):
-        sides = [pool[labels[owner[pool]] == y] for y in (0, 1)]
+        labels, codes, lengths = pool
+        sides = [np.flatnonzero(labels == y) for y in (0, 1)]
         for _ in range(n):
             pick = np.concatenate([rng.choice(s, BATCH // 2) for s in sides])
             shown = (rng.random(WORD_BINS) >= HIDDEN_WORDS).astype(np.float32) / (1 - HIDDEN_WORDS)
-            adam.update(gradients(net, vocabulary, codes[pick], lengths[pick], labels[owner[pick]], shown))
-
-    def strongest():
-        """The largest logit of each document and the windows in falling order."""
-        score = logits(net, project(net, inputs(net, *vocabulary)), codes, lengths)
-        order = np.lexsort((-score, owner))
-        first = np.r_[True, owner[order][1:] != owner[order][:-1]]
-        return score, order, np.flatnonzero(first)
+            adam.update(gradients(net, vocabulary, codes[pick], lengths[pick], labels[pick], shown))
 
-    steps(np.arange(len(codes)), NOISY_STEPS)
+    steps(pool, NOISY_STEPS)
     for _ in range(STRONG_ROUNDS):
-        _, order, first = strongest()
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-        y = labels[owner[order]]
-        steps(order[(rank < 1) | ((y == 0) & (rank < 4))], STRONG_STEPS)
-    score, order, first = strongest()
-    present = owner[order][first]
-    count = np.bincount(owner, minlength=len(labels))[present]
-    beta = calibrated(np.c_[score[order][first], np.log(count)], labels[present])
-    return net, beta
+        pool = coded((label, windows) for label, _, _, windows in strongest(net))
+        steps(pool, STRONG_STEPS)
+    facts = np.array([x[:3] for x in strongest(net)])
+    return net, calibrated(np.c_[facts[:, 2], np.log(facts[:, 1])], facts[:, 0])
 
 
 def training_windows(batches):
@@ -305,8 +309,39 @@ def training_windows(batches):
                 starts = [starts[i] for i in np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(int)]
             out.append([" ".join(found[s : s + WINDOW]) for s in starts])
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("toxic", "turn", "doc_id")), pa.array(out, pa.list_(pa.string()))],
-            names=["toxic", "turn", "doc_id", "windows"],
+            [*(batch.column(c) for c in ("toxic", "turn", "doc_id", "row")), pa.array(out, pa.list_(pa.string()))],
+            names=["toxic", "turn", "doc_id", "row", "windows"],
+        )
+
+
+STRONG = "toxic int, turn long, doc_id long, row long, n int, logit double, windows array<string>"
+
+
+def strongest_windows(batches, net):
+    """Number of windows, largest logit and strongest windows of each text with words, from all its windows."""
+    for batch in batches:
+        at, out = [], []
+        toxic = batch.column("toxic").to_pylist()
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            found = words_of(text)
+            if not found:
+                continue
+            own = window_logits([found], net)[0]
+            top = np.argsort(-own, kind="stable")[: STRONGEST[toxic[k]]]
+            starts = window_starts(len(found))
+            windows = [" ".join(found[starts[i] : starts[i] + WINDOW]) for i in top]
+            at.append(k)
+            out.append((len(own), float(own[top[0]]), windows))
+        part = batch.take(pa.array(at, pa.int64()))
+        n, logit, windows = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(part.column(c) for c in ("toxic", "turn", "doc_id", "row")),
+                pa.array(n, pa.int32()),
+                pa.array(logit, pa.float64()),
+                pa.array(windows, pa.list_(pa.string())),
+            ],
+            names=["toxic", "turn", "doc_id", "row", "n", "logit", "windows"],
         )
 
 
@@ -322,47 +357,64 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS):
     for y in (0, 1):
         part = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(documents)
         picked = part if picked is None else picked.unionByName(part)
-    # windows are bounded, whole texts are not: only windows are sorted and sent to the driver
-    rows = (
+    sample = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
         .join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
-        .select("toxic", F.xxhash64("doc_id").alias("turn"), "doc_id", "text")
-        .mapInArrow(
-            lambda batches: training_windows(batches), "toxic int, turn long, doc_id long, windows array<string>"
-        )
-        .orderBy("turn", "doc_id", "windows")
-        .limit(2 * documents)
-        .select("toxic", "windows")
+        .select("toxic", F.xxhash64("doc_id").alias("turn"), "doc_id", "text", F.xxhash64("text").alias("row"))
     )
-    return train(
-        (r["toxic"], [w.split(" ") for w in r["windows"]]) for r in rows.toLocalIterator() if r["windows"]
+    # repeated rows can make the sample larger than the number of labels
+    first = sample.select("turn", "doc_id", "row").distinct().orderBy("turn", "doc_id", "row").limit(2 * documents)
+    sample = stored(
+        sample.join(F.broadcast(first), ["turn", "doc_id", "row"], "left_semi")
+        .dropDuplicates(["turn", "doc_id", "row"])
+        .repartition(SAMPLE_FILES)
     )
+    spark = docs.sparkSession
 
+    # windows are bounded, whole texts are not: only windows are sorted and sent to the driver
+    def in_order(frame):
+        return frame.orderBy("turn", "doc_id", "row").toLocalIterator()
 
-def scores(texts: list[str], model) -> np.ndarray:
-    net, beta = model
-    found = [words_of(x) for x in texts]
+    def strongest(net):
+        shared = spark.sparkContext.broadcast({k: v.copy() for k, v in net.items()})
+        for r in in_order(sample.mapInArrow(lambda batches: strongest_windows(batches, shared.value), STRONG)):
+            yield r["toxic"], r["n"], r["logit"], [w.split(" ") for w in r["windows"]]
+
+    rows = sample.mapInArrow(
+        lambda batches: training_windows(batches),
+        "toxic int, turn long, doc_id long, row long, windows array<string>",
+    )
+    return train(((r["toxic"], [w.split(" ") for w in r["windows"]]) for r in in_order(rows)), strongest)
+
+
+def window_logits(found: list[list[str]], net) -> list[np.ndarray]:
+    """The logits of all windows of lists of words, in order; an empty list has none."""
     names: dict = {}
     codes = [np.array([names.setdefault(w, len(names)) for w in f], np.int64) for f in found]
-    lines, lengths, owner = [], [], []
+    lines, lengths, counts = [], [], []
     steps = np.arange(WINDOW)
-    for k, own in enumerate(codes):
-        if not len(own):
-            continue
-        starts = np.array(window_starts(len(own)))
-        at = starts[:, None] + steps
-        lines.append(own[np.minimum(at, len(own) - 1)])
-        lengths.append(np.minimum(len(own) - starts, WINDOW))
-        owner.append(np.full(len(starts), k))
-    out = np.full(len(texts), -np.inf)
-    count = np.ones(len(texts))
-    if lines:
-        lines, lengths, owner = np.concatenate(lines), np.concatenate(lengths), np.concatenate(owner)
-        order = np.argsort(lengths, kind="stable")  # short windows together: only they need a mask
-        projected = project(net, inputs(net, *features(list(names))))
-        own = logits(net, projected, lines[order], lengths[order])
-        np.maximum.at(out, owner[order], own)
-        count = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+    for own in codes:
+        starts = np.array(window_starts(len(own)) if len(own) else [], np.int64)
+        counts.append(len(starts))
+        if len(own):
+            at = starts[:, None] + steps
+            lines.append(own[np.minimum(at, len(own) - 1)])
+            lengths.append(np.minimum(len(own) - starts, WINDOW))
+    if not lines:
+        return [np.empty(0, np.float32) for _ in found]
+    lines, lengths = np.concatenate(lines), np.concatenate(lengths)
+    order = np.argsort(lengths, kind="stable")  # short windows together: only they need a mask
+    projected = project(net, inputs(net, *features(list(names))))
+    out = np.empty(len(lines), np.float32)
+    out[order] = logits(net, projected, lines[order], lengths[order])
+    return np.split(out, np.cumsum(counts)[:-1])
+
+
+def scores(texts: list[str], model) -> np.ndarray:
+    net, beta = model
+    found = window_logits([words_of(x) for x in texts], net)
+    out = np.array([x.max() if len(x) else -np.inf for x in found], np.float64)
+    count = np.array([max(len(x), 1) for x in found])
     z = np.where(np.isfinite(out), beta[0] * np.where(np.isfinite(out), out, 0) + beta[1] * np.log(count) + beta[2], -30)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 

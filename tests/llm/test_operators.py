@@ -439,6 +439,33 @@ def test_toxicity_on_held_out_documents(spark, odd):
     assert gru_toxicity.fit(docs.where("doc_id < 0"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")) is None
 
 
+def test_toxicity_is_fitted_on_all_windows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for k in range(200):
+        words = prose(8000 + k, 2500 if k % 4 < 2 else 60).split()
+        if k % 2:  # between the evenly spread windows of a long text
+            at = 16 * 5 + int(rng.integers(8)) if len(words) > 1000 else int(rng.integers(40))
+            words[at : at + 3] = ["nasty" + w for w in words[at : at + 3]]
+        rows.append((k, " ".join(words)))
+        labels.append((k, k % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = {}
+
+    def kept(x, y, own=gru_toxicity.calibrated):
+        fitted.update(x=x, y=y)
+        return own(x, y)
+
+    monkeypatch.setattr(gru_toxicity, "calibrated", kept)
+    model = gru_toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    sizes = {len(gru_toxicity.window_starts(len(t.split()))) for _, t in rows}
+    assert {round(math.exp(x)) for x in fitted["x"][:, 1]} == sizes and max(sizes) > gru_toxicity.TRAIN_WINDOWS
+    got = {r["doc_id"]: r["score"] for r in gru_toxicity.toxicity(docs, model).collect()}
+    for long in (True, False):
+        own = [k for k, t in rows if (len(t.split()) > 1000) == long and zlib.crc32(str(k).encode()) % 5 == 0]
+        assert sum((got[k] >= 0.5) == k % 2 for k in own) >= 0.8 * len(own)
+
+
 def all_segmentations(chunk, vocabulary):
     out = []
 
