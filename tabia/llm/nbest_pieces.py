@@ -240,41 +240,68 @@ def segmented(chunks: list[str], vocabulary: Vocabulary):
     return score, loss, ids[order], np.r_[0, np.cumsum(counts)]
 
 
-def best_scores(codes: np.ndarray, chunks, score, loss, vocabulary, n: int, memo: dict) -> list[float]:
-    """The n best scores of a text from those of its chunks."""
+def best_paths(codes: np.ndarray, chunks, score, loss, flat, offsets, vocabulary, n: int, memo: dict) -> list:
+    """The n best segmentations of a text from those of its chunks: score, and (place, ids) of chunks not cut the best way."""
     total = float(score[codes].sum())
     if n == 1 or not len(codes):
-        return [total]
-    near = codes[np.argsort(loss[codes], kind="stable")[: n - 1]]
-    sums = [0.0]
-    for k in near.tolist():
+        return [(total, ())]
+    found = [(0.0, ())]
+    for place in np.argsort(loss[codes], kind="stable")[: n - 1].tolist():
+        k = int(codes[place])
         if k not in memo:
-            memo[k] = [s for s, _ in n_best(chunks[k], vocabulary, n)]
-        own = memo[k]
-        sums = sorted((a + s - own[0] for a in sums for s in own), reverse=True)[:n]
-    return [total + s for s in sums]
+            first = flat[offsets[k] : offsets[k + 1]].tolist()
+            paths = [
+                (s, [i for piece in pieces for i in vocabulary.spelled(piece)])
+                for s, pieces in n_best(chunks[k], vocabulary, n)
+            ]
+            others = [(s - paths[0][0], ids) for s, ids in paths if ids != first]  # of equal scores, any can be first
+            memo[k] = [(0.0, None), *others[: n - 1]]
+        sums = [(a + s, e if ids is None else (*e, (place, ids))) for a, e in found for s, ids in memo[k]]
+        found = sorted(sums, key=lambda x: -x[0])[:n]
+    return [(total + s, e) for s, e in found]
+
+
+def replaced(own: np.ndarray, ends: np.ndarray, edits) -> np.ndarray:
+    """The ids of a text with those of some chunks replaced; ``ends`` are the chunks' ends in ``own``."""
+    parts, low = [], 0
+    for place, ids in sorted(edits):
+        parts += [own[low : ends[place - 1] if place else 0], np.array(ids, np.int32)]
+        low = ends[place]
+    return np.concatenate([*parts, own[low:]])
+
+
+def listed(parts: list, kind) -> pa.ListArray:
+    """Arrays as an Arrow list array."""
+    ends = np.cumsum([0, *map(len, parts)])
+    flat = np.concatenate([np.empty(0, np.int32), *parts])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
 def encoded(texts: list[str], vocabulary: Vocabulary, n: int = BEST):
-    """Ids as an Arrow list array, and for each text its n best scores."""
+    """Best ids as an Arrow list array, for each text its n best scores, and the ids of these n as nested lists."""
     names: dict = {}
     lines = [
         np.array([names.setdefault(c, len(names)) for c in chunks_of(x, vocabulary)], np.int64) for x in texts
     ]
     chunks = list(names)
-    if not chunks:
-        empty = pa.ListArray.from_arrays(pa.array([0] * (len(texts) + 1), pa.int32()), pa.array([], pa.int32()))
-        return empty, [[0.0] for _ in texts]
-    score, loss, flat, offsets = segmented(chunks, vocabulary)
+    score = loss = np.zeros(0)
+    flat, offsets = np.zeros(0, np.int64), np.zeros(1, np.int64)
+    if chunks:
+        score, loss, flat, offsets = segmented(chunks, vocabulary)
     memo: dict = {}
-    scores = [best_scores(codes, chunks, score, loss, vocabulary, n, memo) for codes in lines]
-    codes = np.concatenate(lines)
-    sizes = np.diff(offsets)[codes]
-    ends = np.cumsum(sizes)
-    at = np.repeat(offsets[codes] - (ends - sizes), sizes) + np.arange(ends[-1])
-    ids = flat[at].astype(np.int32)
-    cuts = np.r_[0, ends][np.r_[0, np.cumsum([len(x) for x in lines])]]
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids)), scores
+    best, scores, every = [], [], []
+    for codes in lines:
+        sizes = np.diff(offsets)[codes]
+        ends = np.cumsum(sizes)
+        at = np.repeat(offsets[codes] - (ends - sizes), sizes) + np.arange(sizes.sum())
+        own = flat[at].astype(np.int32)
+        paths = best_paths(codes, chunks, score, loss, flat, offsets, vocabulary, n, memo)
+        best.append(own)
+        scores.append([s for s, _ in paths])
+        every += [replaced(own, ends, edits) for _, edits in paths]
+    cuts = np.cumsum([0, *map(len, scores)])
+    nested = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), listed(every, pa.int32()))
+    return listed(best, pa.int32()), scores, nested
 
 
 def id_lists(ids: pa.ListArray):
@@ -289,23 +316,24 @@ def decoded(ids: list[int], raw: dict) -> str:
     return b"".join(map(raw.__getitem__, ids))[1:].decode()
 
 
-ENCODED = "doc_id long, ids array<int>, scores array<double>, exact boolean"
+ENCODED = "doc_id long, ids array<int>, scores array<double>, exact boolean, segmentations array<array<int>>"
 
 
 def encode_batches(batches, vocabulary: Vocabulary, n: int):
     for batch in batches:
         for part in slices(batch, "text", SLICE):
             texts = part.column("text").to_pylist()
-            ids, scores = encoded(texts, vocabulary, n)
+            ids, scores, every = encoded(texts, vocabulary, n)
             exact = [decoded(own, vocabulary.raw) == x for own, x in zip(id_lists(ids), texts)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), ids, pa.array(scores, pa.list_(pa.float64())), pa.array(exact)],
-                names=["doc_id", "ids", "scores", "exact"],
+                [part.column("doc_id"), ids, pa.array(scores, pa.list_(pa.float64())), pa.array(exact), every],
+                names=["doc_id", "ids", "scores", "exact", "segmentations"],
             )
 
 
 def encode(docs: DataFrame, path: str = MODEL, n: int = BEST) -> DataFrame:
-    """doc_id, ids of the best segmentation, its n best scores in falling order, and whether decoding gives the text.
+    """doc_id, ids of the best segmentation, the n best scores in falling order, whether decoding gives the text,
+    and the ids of all n segmentations.
 
     A null text counts as empty and has no ids and the score 0. Fewer than n
     scores mean that the lattice has no more paths. Repeated rows are encoded
@@ -341,4 +369,7 @@ def op3_nbest_pieces(spark, sf_dir):
         "scores",
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         "exact",
+        F.transform(
+            "segmentations", lambda x: F.sha2(F.concat_ws(" ", x.cast("array<string>")).cast("binary"), 256)
+        ).alias("segmentations_sha256"),
     )

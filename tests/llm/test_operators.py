@@ -494,6 +494,18 @@ def test_n_best_equals_all_segmentations():
     assert nbest_pieces.encoded([text], vocabulary, 5)[1][0] == pytest.approx(want[:5])
 
 
+def test_ids_of_all_n_segmentations():
+    vocabulary = nbest_pieces.load()
+    score = {i: vocabulary.score[t] for t, i in vocabulary.ids.items()}
+    texts = ["the cat on it", "", "naïve 日本語 ▁ \U0001f600 x", "hello hello hello", "y" * 50 + " ends"]
+    ids, scores, every = nbest_pieces.encoded(texts, vocabulary, 5)
+    for text, own, best, found in zip(texts, scores, ids.to_pylist(), every.to_pylist()):
+        assert found[0] == best and len(found) == len(own) == len({tuple(x) for x in found})
+        for total, x in zip(own, found):
+            assert nbest_pieces.decoded(x, vocabulary.raw) == text if text else x == []
+            assert sum(score.get(i, vocabulary.byte_score) for i in x) == pytest.approx(total)
+
+
 def test_pieces_round_trip(odd, empty):
     rows = nbest_pieces.encode(odd).collect()
     assert len(rows) == len(odd_rows()) and all(r["exact"] for r in rows)
