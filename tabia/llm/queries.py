@@ -8,7 +8,9 @@ from tabia.llm.html_extract import op2_html_extraction
 from tabia.llm.importance_rules import op9_importance_quality
 from tabia.llm.latent_retrieval import op6_latent_decontamination
 from tabia.llm.line_runs import ORACLE_OP10, op10_line_runs
+from tabia.llm.merkle_manifest import ORACLE_OP11, op11_merkle_manifest
 from tabia.llm.nbest_pieces import op3_nbest_pieces
+from tabia.llm.source_mixing import ORACLE_OP12, op12_source_mixing
 from tabia.llm.token_counts import op1_token_attribution
 
 QUERIES = {
@@ -24,7 +26,13 @@ QUERIES = {
         op8_chosen_path_join,
         op9_importance_quality,
         op10_line_runs,
+        op11_merkle_manifest,
+        op12_source_mixing,
     )
 }
 
-ORACLES = {"op10_line_runs": ORACLE_OP10}
+ORACLES = {
+    "op10_line_runs": ORACLE_OP10,
+    "op11_merkle_manifest": ORACLE_OP11,
+    "op12_source_mixing": ORACLE_OP12,
+}
