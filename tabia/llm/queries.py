@@ -1,6 +1,7 @@
 """The queries of the operators, by name, and SQL where SQL can express one."""
 
 from tabia.llm.chosen_path import op8_chosen_path_join
+from tabia.llm.collocations import ORACLE_OP13, op13_phrase_collocations
 from tabia.llm.context_tree import op5_context_tree
 from tabia.llm.feistel_shards import op4_feistel_shards
 from tabia.llm.gru_toxicity import op7_gru_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
         op10_line_runs,
         op11_merkle_manifest,
         op12_source_mixing,
+        op13_phrase_collocations,
     )
 }
 
@@ -35,4 +37,5 @@ ORACLES = {
     "op10_line_runs": ORACLE_OP10,
     "op11_merkle_manifest": ORACLE_OP11,
     "op12_source_mixing": ORACLE_OP12,
+    "op13_phrase_collocations": ORACLE_OP13,
 }
