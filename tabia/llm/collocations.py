@@ -35,7 +35,7 @@ TOP = 2000
 UNKNOWN = "und"
 
 #: Bytes of text that are hashed at once; n-grams that a task reduces at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 FLUSH = 2 << 20
 #: Size of the bitmap of what may be frequent: 8 MB.
 FILTER_BITS = 26
@@ -260,8 +260,12 @@ def counter(n: int, bits: int, bitmap=None, block: int = BLOCK):
 
 
 def frequent(texts: DataFrame, n: int, least: int, bits: int, bitmap=None) -> DataFrame:
-    """Stored rows (fp, check, a, pointer) of the n-grams found ``least`` times; for words the languages' sums too."""
-    rows = texts.mapInArrow(counter(n, bits, bitmap), GRAMS)
+    """Stored rows (fp, check, a, pointer) of the n-grams found ``least`` times; for words the languages' sums too.
+
+    The tasks have reduced their n-grams already, so they are dealt as they come
+    and summed after the shuffle only.
+    """
+    rows = texts.mapInArrow(counter(n, bits, bitmap), GRAMS).repartition("fp", "check")
     counts = rows.groupBy("fp", "check").agg(F.sum("a").alias("a"), F.min("pointer").alias("pointer"))
     return written(counts.where((F.col("a") >= least) | (F.col("check") == WORDS_OF_LANG)))
 
@@ -284,71 +288,91 @@ PHRASES = (
     "lang string, lang_fp long, n int, phrase string, a long, fp long, check int,"
     " cuts array<struct<k:int,lfp:long,lcheck:int,rfp:long,rcheck:int>>"
 )
+_CUT = pa.struct([("k", pa.int32()), ("lfp", pa.int64()), ("lcheck", pa.int32()), ("rfp", pa.int64()), ("rcheck", pa.int32())])
+_CUT_NAMES = [f.name for f in _CUT]
+_FOUND = pa.schema(
+    [("lang", pa.string()), ("lang_fp", pa.int64()), ("n", pa.int32()), ("phrase", pa.string()), ("a", pa.int64()),
+     ("fp", pa.int64()), ("check", pa.int32()), ("cuts", pa.list_(_CUT))]
+)
+
+
+class Wanted:
+    """The wanted fingerprints of a batch of rows, found by search in sorted arrays."""
+
+    def __init__(self, column, n: int):
+        flat = column.flatten()
+        pick = pc.equal(flat.field("n"), n)
+        rows = pa.table(
+            [*(flat.field(c).filter(pick) for c in ("fp", "check", "a")), pc.list_parent_indices(column).filter(pick)],
+            names=["fp", "check", "a", "row"],
+        ).sort_by("fp")
+        self.fp, self.check, self.a, self.row = (rows.column(c).to_numpy() for c in rows.column_names)
+        alike = np.unique(self.fp, return_counts=True)[1]
+        self.most = int(alike.max()) if len(alike) else 0
+
+    def hits(self, fp, check, row):
+        """(position among the given n-grams, index of the wanted one) wherever all three agree."""
+        low = np.searchsorted(self.fp, fp)
+        for step in range(self.most):
+            k = np.minimum(low + step, len(self.fp) - 1)
+            same = (low + step < len(self.fp)) & (self.fp[k] == fp) & (self.check[k] == check) & (self.row[k] == row)
+            yield from zip(np.flatnonzero(same).tolist(), k[same].tolist())
 
 
 def reader(bits: int):
     """Rows (texts: [(lang, text)], wanted: [(n, fp, check, a)]) to the wanted phrases, read from the texts.
 
-    Every occurrence of a wanted fingerprint in its text is compared with the
+    Every occurrence of a wanted fingerprint in its texts is compared with the
     first; unlike ones would be two phrases with both fingerprints equal, which
     ends the job instead of giving a wrong count.
     """
 
-    def found_in(hasher, lang, text, wanted):
-        number = lang_number(lang)
-        buffer, starts = buffer_of(pa.array([text]))
-        known = {}
+    def found_in(hasher, texts, rows, wanted, known):
+        langs = texts.column("lang").to_pylist()
+        numbers = np.array([lang_number(x) for x in langs], np.uint64)
+        buffer, starts = buffer_of(texts.column("text"))
         for words in blocks(buffer, starts):
             sums = hasher.words(words.bytes, words.start, words.end)
-
-            def keys(at, n):
-                h, p = hasher.grams(sums, at, n, np.full(len(at), number, np.uint64))
-                return h.tolist(), p.tolist()
-
-            for n in sorted({w[0] for w in wanted}):
-                asked = {(w[1], w[2]): w[3] for w in wanted if w[0] == n}
+            for n, asked in wanted.items():
                 at = words.at(n)
+                if not len(at) or not asked.most:
+                    continue
+                h, p = hasher.grams(sums, at, n, numbers[words.doc[at]])
                 fresh = []
-                for place, fp, check in zip(at.tolist(), *keys(at, n)):
-                    a = asked.get((fp, check))
-                    if a is None:
-                        continue
-                    phrase = words.phrase(place, n)
-                    first = known.setdefault((n, fp, check), phrase)
+                for k, i in asked.hits(h, p, rows[words.doc[at]]):
+                    phrase = words.phrase(at[k], n)
+                    first = known.setdefault((n, i), phrase)
                     if first is phrase:
-                        fresh.append((place, phrase, a, fp, check))
+                        fresh.append((at[k], i, phrase))
                     elif first != phrase:
                         raise ValueError(f"both fingerprints of {phrase!r} and {first!r} are equal")
                 places = np.array([x[0] for x in fresh], np.int64)
-                parts = [(k, *keys(places, k), *keys(places + k, n - k)) for k in range(1, n)]
-                for i, (_, phrase, a, fp, check) in enumerate(fresh):
-                    cuts = [
-                        {"k": k, "lfp": lf[i], "lcheck": lc[i], "rfp": rf[i], "rcheck": rc[i]}
-                        for k, lf, lc, rf, rc in parts
-                    ]
-                    yield lang, signed(number), n, phrase, a, fp, check, cuts
+                lang = numbers[words.doc[places]]
+                parts = [
+                    [x.tolist() for x in (*hasher.grams(sums, places, k, lang), *hasher.grams(sums, places + k, n - k, lang))]
+                    for k in range(1, n)
+                ]
+                for j, (at_word, i, phrase) in enumerate(fresh):
+                    cuts = [dict(zip(_CUT_NAMES, (k, *(x[j] for x in part)))) for k, part in enumerate(parts, 1)]
+                    doc = words.doc[at_word]
+                    yield (
+                        langs[doc], signed(int(numbers[doc])), n, phrase,
+                        int(asked.a[i]), int(asked.fp[i]), int(asked.check[i]), cuts,
+                    )
 
     def run(batches):
         hasher = Hasher(bits)
-        schema = pa.schema(
-            [
-                ("lang", pa.string()), ("lang_fp", pa.int64()), ("n", pa.int32()), ("phrase", pa.string()),
-                ("a", pa.int64()), ("fp", pa.int64()), ("check", pa.int32()),
-                ("cuts", pa.list_(pa.struct([("k", pa.int32()), ("lfp", pa.int64()), ("lcheck", pa.int32()),
-                                             ("rfp", pa.int64()), ("rcheck", pa.int32())]))),
-            ]
-        )
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                wanted = [tuple(w.values()) for w in row.column("wanted")[0].as_py()]
-                rows = []
-                for entry in row.column("texts")[0].as_py():
-                    rows.extend(found_in(hasher, entry["lang"], entry["text"], wanted))
-                for low in range(0, len(rows), 1 << 14):
-                    part = rows[low : low + (1 << 14)]
+            wanted = {n: Wanted(batch.column("wanted"), n) for n in range(2, MOST_WORDS + 1)}
+            texts = batch.column("texts")
+            flat = pa.RecordBatch.from_struct_array(texts.flatten())
+            rows, known, done = pc.list_parent_indices(texts).to_numpy(zero_copy_only=False), {}, 0
+            for part in byte_slices(flat):
+                found = list(found_in(hasher, part, rows[done : done + part.num_rows], wanted, known))
+                done += part.num_rows
+                if found:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(col, f.type) for col, f in zip(zip(*part), schema)], schema=schema
+                        [pa.array(col, f.type) for col, f in zip(zip(*found), _FOUND)], schema=_FOUND
                     )
 
     return run
