@@ -125,12 +125,23 @@ def forward(chunk: str, vocabulary: Vocabulary) -> list[float]:
 
 
 def n_best(chunk: str, vocabulary: Vocabulary, n: int = BEST) -> list[tuple[float, list[str]]]:
-    """The n best segmentations of a chunk, in falling order: backward A* on exact forward scores."""
+    """The n best segmentations of a chunk, in falling order: backward A* on exact forward scores.
+
+    Of equal paths the one whose last piece starts first is walked to its end
+    first, as the back pointers of ``short_segments`` do. A position is left n
+    times at most: its first n paths to the end are its best ones, and each of
+    them makes a segmentation with the same best start, so no later one is among
+    the n best. The search ends after n * length steps on any text.
+    """
     best = forward(chunk, vocabulary)
-    queue = [(-best[-1], 0, len(chunk), 0.0, None)]
+    queue = [(-best[-1], len(chunk), 0, 0.0, None)]
+    left = [0] * (len(chunk) + 1)
     out, turn = [], 0
     while queue and len(out) < n:
-        _, _, end, after, path = heapq.heappop(queue)
+        _, end, _, after, path = heapq.heappop(queue)
+        if left[end] == n:
+            continue
+        left[end] += 1
         if end == 0:
             pieces = []
             while path is not None:
@@ -140,11 +151,11 @@ def n_best(chunk: str, vocabulary: Vocabulary, n: int = BEST) -> list[tuple[floa
             continue
         for start in range(max(0, end - vocabulary.longest), end):
             piece = chunk[start:end]
-            score = vocabulary.edge(piece)
+            score = vocabulary.edge(piece) if left[start] < n else None
             if score is not None:
-                turn += 1
+                turn -= 1
                 total = after + score
-                heapq.heappush(queue, (-(best[start] + total), turn, start, total, (piece, path)))
+                heapq.heappush(queue, (-(best[start] + total), start, turn, total, (piece, path)))
     return out
 
 
