@@ -182,17 +182,71 @@ def empty_block_lines(customers: DataFrame, lines: DataFrame, block: str, text:
     )
 
 
+def score_lines(scored: DataFrame, score: str, keys=KEY) -> DataFrame:
+    """The overall score that the other blocks explain."""
+    return scored.select(
+        *keys,
+        F.lit("score").alias("block"),
+        F.lit("overall").alias("section"),
+        F.lit(0).cast("bigint").alias("position"),
+        F.concat(F.lit("Overall behavioral score: "), fixed(F.col(score), 2)).alias("line"),
+    )
+
+
+def factor_lines(scored: DataFrame, keys=KEY) -> DataFrame:
+    """The drivers of a score, its components in their order and the model's factors by rank.
+
+    A scored row carries ``score_explanation`` (feature, impact), ``components``
+    or both.
+    """
+    columns = scored.columns
+    parts = []
+    if "score_explanation" in columns:
+        parts.append(("model", F.transform("score_explanation", lambda e: F.struct(
+            e["feature"].alias("name"), e["impact"].alias("impact")))))
+    if "components" in columns:
+        names = scored.schema["components"].dataType.names
+        parts.append(("components", F.array(*[
+            F.struct(F.lit(n).alias("name"), F.col(f"components.{n}").cast("double").alias("impact")) for n in names])))
+
+    def placed(section, items):
+        return F.transform(
+            items,
+            lambda e, i: F.struct(
+                F.lit(section).alias("section"), i.cast("bigint").alias("position"),
+                e["name"].alias("name"), e["impact"].alias("impact"),
+            ),
+        )
+
+    tagged = [placed(section, items) for section, items in parts]
+    rows = scored.select(*keys, F.explode(F.concat(*tagged)).alias("e"))
+    return rows.select(
+        *keys,
+        F.lit("factors").alias("block"),
+        F.col("e.section").alias("section"),
+        F.col("e.position").alias("position"),
+        F.concat(F.lit("- "), "e.name", F.lit(": "), fixed(F.col("e.impact"), 2)).alias("line"),
+    )
+
+
 def narrative_context(
-    customers: DataFrame, metrics: DataFrame, anomalies: DataFrame, breakdown: DataFrame, keys=KEY
+    customers: DataFrame,
+    metrics: DataFrame,
+    anomalies: DataFrame,
+    breakdown: DataFrame,
+    keys=KEY,
+    scored: DataFrame | None = None,
+    score: str = "behavioral_score",
 ) -> DataFrame:
     """All context lines of all customers, one line per row.
 
-    Kept long, not joined into one text per customer: a customer's anomaly list
-    has no bound. A reader orders by (block, section, position, line).
+    With ``scored`` also the score and the factors behind it. Kept long, not
+    joined into one text per customer: a customer's anomaly list has no bound. A
+    reader orders by (block, section, position, line).
     """
     found = anomaly_lines(anomalies, keys)
     fired = rule_lines(breakdown, keys)
-    return (
+    lines = (
         metric_lines(metrics, keys)
         .unionByName(found)
         .unionByName(fired)
@@ -204,3 +258,6 @@ def narrative_context(
             empty_block_lines(customers, fired, "rules", "No specific tenant rules applied.", keys)
         )
     )
+    if scored is None:
+        return lines
+    return lines.unionByName(score_lines(scored, score, keys)).unionByName(factor_lines(scored, keys))

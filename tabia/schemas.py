@@ -70,30 +70,27 @@ UNIFIED_REQUEST = T.StructType(
     ]
 )
 
+ENTITY = T.StructType(
+    [
+        T.StructField("type_", T.StringType()),
+        T.StructField(
+            "properties",
+            T.StructType(
+                [
+                    T.StructField(name, T.StringType())
+                    for name in ("date", "description", "amount", "type", "balance")
+                ]
+            ),
+        ),
+    ]
+)
+
 OCR_ENTITIES = T.StructType(
     [
         T.StructField("document_id", T.StringType()),
         T.StructField("company_id", T.StringType()),
         T.StructField("customer_id", T.StringType()),
-        T.StructField(
-            "entities",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("type_", T.StringType()),
-                        T.StructField(
-                            "properties",
-                            T.StructType(
-                                [
-                                    T.StructField(name, T.StringType())
-                                    for name in ("date", "description", "amount", "type", "balance")
-                                ]
-                            ),
-                        ),
-                    ]
-                )
-            ),
-        ),
+        T.StructField("entities", T.ArrayType(ENTITY)),
     ]
 )
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabia.functions.values import STATEMENT_LINE, clean_amount, clean_date, line_type
-from tabia.schemas import MONEY
+from tabia.schemas import ENTITY, MONEY, OCR_BLOCKS
 
 # Accepted file endings and the declared size limit.
 FILE_ENDINGS = ("pdf", "jpg", "jpeg", "png")
@@ -29,24 +29,64 @@ def parse_statements(statements: DataFrame, ids, text: str = "text") -> DataFram
         *(["currency_preference"] if has_currency else []),
         F.posexplode(_lines(text)).alias("pos", "line"),
     )
-    groups = UNIT.join(f"${i}" for i in range(1, 6))
-    fields = (
-        lines.withColumn("line", F.regexp_replace("line", rf"(?s)^.*?{STATEMENT_LINE}.*$", groups))
-        .where(F.col("line").contains(UNIT))
-        .withColumn("part", F.split("line", UNIT))
-    )
-    part = F.col("part")
-    amount = clean_amount(part[2])
+    fields = with_line_parts(lines).where(F.col("line").contains(UNIT))
     currency = F.coalesce("currency_preference", F.lit("KES")) if has_currency else F.lit("KES")
     return fields.select(
         *ids,
         F.col("pos").cast("bigint").alias("seq"),
-        clean_date(part[0]).alias("date"),
-        F.trim(part[1]).alias("description"),
-        F.abs(F.coalesce(amount, F.lit(0))).cast(MONEY).alias("amount"),
-        line_type(part[3], amount).alias("type"),
-        clean_amount(F.nullif(part[4], F.lit(""))).alias("balance_after"),
-        F.upper(currency).alias("original_currency"),
+        *_named(line_columns(F.col("part"), F.upper(currency))),
+    )
+
+
+def with_line_parts(lines: DataFrame) -> DataFrame:
+    """``line`` rewritten to its matched groups, and the groups as ``part``."""
+    groups = UNIT.join(f"${i}" for i in range(1, 6))
+    return lines.withColumn("line", F.regexp_replace("line", rf"(?s)^.*?{STATEMENT_LINE}.*$", groups)).withColumn(
+        "part", F.split("line", UNIT)
+    )
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [value.alias(name) for name, value in columns.items()]
+
+
+def line_columns(part: Column, currency: Column) -> dict[str, Column]:
+    """Transaction columns of the groups of a statement line."""
+    amount = clean_amount(F.get(part, F.lit(2)))
+    return {
+        "date": clean_date(F.get(part, F.lit(0))),
+        "description": F.trim(F.get(part, F.lit(1))),
+        "amount": F.abs(F.coalesce(amount, F.lit(0))).cast(MONEY),
+        "type": line_type(F.get(part, F.lit(3)), amount),
+        "balance_after": clean_amount(F.nullif(F.get(part, F.lit(4)), F.lit(""))),
+        "original_currency": currency,
+    }
+
+
+def entity_columns(p: Column, currency: Column) -> dict[str, Column]:
+    """Transaction columns of the properties of an OCR entity."""
+    has_amount = F.coalesce(F.length(p["amount"]) > 0, F.lit(False))
+    has_balance = F.coalesce(F.length(p["balance"]) > 0, F.lit(False))
+    return {
+        "date": p["date"],
+        "description": p["description"],
+        "amount": F.when(has_amount, F.abs(clean_amount(p["amount"]))).otherwise(F.lit(0)).cast(MONEY),
+        "type": F.lower(F.coalesce(p["type"], F.lit("unknown"))),
+        "balance_after": F.when(has_balance, clean_amount(p["balance"])),
+        "original_currency": currency,
+    }
+
+
+def malformed_entity(p: Column) -> Column:
+    """Properties without a date, a description or a readable amount or balance."""
+    columns = entity_columns(p, F.lit(None).cast("string"))
+    has_balance = F.coalesce(F.length(p["balance"]) > 0, F.lit(False))
+    return (
+        p.isNull()
+        | columns["amount"].isNull()
+        | columns["date"].isNull()
+        | columns["description"].isNull()
+        | (has_balance & columns["balance_after"].isNull())
     )
 
 
@@ -74,28 +114,15 @@ def flatten_ocr_entities(documents: DataFrame, currency: Column | None = None) -
         "document_id", "company_id", "customer_id", F.posexplode("entities").alias("pos", "entity")
     ).where(F.col("entity.type_") == "transaction_line")
     p = F.col("entity.properties")
-    has_amount = F.coalesce(F.length(p["amount"]) > 0, F.lit(False))
-    has_balance = F.coalesce(F.length(p["balance"]) > 0, F.lit(False))
     rows = lines.select(
         "document_id",
         "company_id",
         "customer_id",
         F.col("pos").cast("bigint").alias("seq"),
-        p["date"].alias("date"),
-        p["description"].alias("description"),
-        F.when(has_amount, F.abs(clean_amount(p["amount"]))).otherwise(F.lit(0)).cast(MONEY).alias("amount"),
-        F.lower(F.coalesce(p["type"], F.lit("unknown"))).alias("type"),
-        F.when(has_balance, clean_amount(p["balance"])).alias("balance_after"),
-        (currency if currency is not None else F.lit(None).cast("string")).alias("original_currency"),
-        (p.isNull() | (has_balance & clean_amount(p["balance"]).isNull())).alias("_bad_balance"),
+        *_named(entity_columns(p, currency if currency is not None else F.lit(None).cast("string"))),
+        malformed_entity(p).alias("_malformed"),
     )
-    malformed = (
-        F.col("amount").isNull()
-        | F.col("date").isNull()
-        | F.col("description").isNull()
-        | F.col("_bad_balance")
-    )
-    return rows.where(~malformed).drop("_bad_balance"), rows.where(malformed).drop("_bad_balance")
+    return rows.where("not _malformed").drop("_malformed"), rows.where("_malformed").drop("_malformed")
 
 
 def ocr_blocks_to_text(blocks: Column) -> Column:
@@ -111,6 +138,93 @@ def decode_statement(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
+# Forms of a document, in the order in which they are tried.
+FORMS = ("entities", "lines", "bytes")
+
+
+def with_form(documents: DataFrame) -> DataFrame:
+    """Documents with their ``form``, the ``entities`` of an OCR answer and the ``text`` to read otherwise.
+
+    ``answer`` is the JSON of an OCR service, of any shape; ``content`` the
+    file's bytes. An answer with entities is read by them, one with blocks (and
+    no failed ``JobStatus``) by its LINE blocks, and any other document, also one
+    whose answer is missing or no JSON, by its bytes, or its text where it has no
+    bytes. A tenant's ``bank_statement_formats`` that name forms are tried first.
+    """
+    names = documents.columns
+    answer = F.try_parse_json("answer") if "answer" in names else F.lit(None).cast("variant")
+    content = decode_statement(F.col("content")) if "content" in names else F.lit(None).cast("string")
+    given = F.col("text") if "text" in names else F.lit(None).cast("string")
+    read = documents.withColumn("_answer", answer).withColumns(
+        {
+            "entities": F.try_variant_get("_answer", "$.entities", f"array<{ENTITY.simpleString()}>"),
+            "_blocks": F.try_variant_get("_answer", "$.Blocks", OCR_BLOCKS.simpleString()),
+            "_status": F.try_variant_get("_answer", "$.JobStatus", "string"),
+            "_full": F.try_variant_get("_answer", "$.text", "string"),
+        }
+    )
+    there = {
+        "entities": F.col("entities").isNotNull(),
+        "lines": F.col("_blocks").isNotNull() & (F.coalesce("_status", F.lit("SUCCEEDED")) == "SUCCEEDED"),
+        "bytes": F.lit(True),
+    }
+    wanted = F.coalesce("bank_statement_formats", F.array()) if "bank_statement_formats" in names else F.array()
+    wanted = F.concat(wanted.cast("array<string>"), F.array(*[F.lit(f) for f in FORMS]))
+    having = F.array_compact(F.array(*[F.when(there[f], f) for f in FORMS]))
+    text = (
+        F.when(F.col("form") == "lines", ocr_blocks_to_text(F.col("_blocks")))
+        .when(F.col("form") == "entities", F.col("_full"))
+        .otherwise(F.coalesce(content, given))
+    )
+    return (
+        read.withColumn("form", F.get(F.filter(wanted, lambda f: F.array_contains(having, f)), F.lit(0)))
+        .withColumns({"text": text, "entities": F.when(F.col("form") == "entities", F.col("entities"))})
+        .drop("_answer", "_blocks", "_status", "_full")
+    )
+
+
+def document_transactions(documents: DataFrame, ids) -> DataFrame:
+    """Transactions of documents of any form, with ``form`` and the verdict ``kept`` or ``malformed``.
+
+    ``documents`` come from ``with_form``. One pass: a document becomes its
+    transaction entities or its lines, and every item is read by its own form.
+    ``seq`` is the place of the entity or line in its document.
+    """
+    has_currency = "currency_preference" in documents.columns
+    currency = F.coalesce("currency_preference", F.lit("KES")) if has_currency else F.lit("KES")
+    nothing = F.lit(None).cast(ENTITY)
+    items = F.when(
+        F.col("form") == "entities",
+        F.transform("entities", lambda e: F.struct(e.alias("entity"), F.lit(None).cast("string").alias("line"))),
+    ).otherwise(F.transform(_lines("text"), lambda x: F.struct(nothing.alias("entity"), x.alias("line"))))
+    rows = documents.select(
+        *ids, "form", F.upper(currency).alias("_currency"), F.posexplode(items).alias("pos", "item")
+    ).select(*ids, "form", "_currency", "pos", "item.entity", "item.line")
+    found = with_line_parts(rows).where(
+        F.when(F.col("form") == "entities", F.col("entity.type_") == "transaction_line").otherwise(
+            F.col("line").contains(UNIT)
+        )
+    )
+    p, by_entity = F.col("entity.properties"), F.col("form") == "entities"
+    entity, line = entity_columns(p, F.col("_currency")), line_columns(F.col("part"), F.col("_currency"))
+    return found.select(
+        *ids,
+        F.col("pos").cast("bigint").alias("seq"),
+        *[F.when(by_entity, entity[c]).otherwise(line[c]).alias(c) for c in entity],
+        "form",
+        F.when(by_entity & malformed_entity(p), "malformed").otherwise("kept").alias("verdict"),
+    )
+
+
+def without_transactions(documents: DataFrame) -> Column:
+    """True for a document of ``with_form`` in which no transaction can be read."""
+    readable = F.exists(
+        "entities",
+        lambda e: F.coalesce(e["type_"] == "transaction_line", F.lit(False)) & ~malformed_entity(e["properties"]),
+    )
+    return ~F.when(F.col("form") == "entities", F.coalesce(readable, F.lit(False))).otherwise(has_transactions("text"))
+
+
 def read_statement_files(spark: SparkSession, root: str, streaming: bool = False, **options) -> DataFrame:
     """Files under root/company/customer/bank_statements/<time>_<name>."""
     reader = spark.readStream if streaming else spark.read
