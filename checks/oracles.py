@@ -34,7 +34,7 @@ select concat('T', cast(c_nationkey as varchar)) company_id, c_custkey customer_
  cast(c_custkey*17%103 as double) credit_utilization_ratio,
  coalesce(nullif(c_custkey%9, 8), 0) credit_inquiries,
  least(c_custkey%5, 4) num_credit_types, least(c_custkey%4, 3) num_accounts
-from customer where c_mktsegment <> 'MACHINERY' and (c_mktsegment <> 'FURNITURE' or c_acctbal >= 0)
+from customer
 """
 
 TENANT_LOG = """
@@ -147,7 +147,8 @@ from {p} group by all""",
         f"{p}_daily": f"""
 select company_id, customer_id, count(*) as days, sum(case when flow>0 then 1 else 0 end) positive_days,
  sum(case when flow<0 then 1 else 0 end) negative_days, sum(flow)::double/count(*)::double avg_daily_flow,
- var_samp(flow::double) flow_var, max(n) max_day_rows, sum(n)::double/count(*)::double avg_day_rows,
+ case when count(*)>1 then (count(*)::hugeint*sum((flow*100)::hugeint*(flow*100)::hugeint)::hugeint - sum((flow*100)::hugeint)::hugeint*sum((flow*100)::hugeint)::hugeint)::varchar::double
+  / (count(*)*(count(*)-1)*10000)::double end flow_var, max(n) max_day_rows, sum(n)::double/count(*)::double avg_day_rows,
  sum(case when n>10 then 1 else 0 end) busy_days,
  sum(debit) filter (debit_n>0)::double / nullif(count(*) filter (debit_n>0),0)::double avg_daily_debit
 from {p}_days group by all""",
@@ -451,7 +452,7 @@ LINE = (
 
 TABLES: dict[str, str] = {
     "bank_raw": BANK_TXN,
-    "linked_raw": "select * from bank_raw where segment <> 'FURNITURE'",
+    "linked_raw": "select * from bank_raw",
     "mobile_raw": MOBILE_TXN,
     "crb_raw": CRB,
     "crb_ok": """select * from crb_raw where payment_performance_score between 0 and 100
@@ -556,20 +557,29 @@ select job_id, s.status status, s.message message from events_log qualify row_nu
 }
 
 
-def _sql(body: str) -> str:
+# Customers of some segments have no bank or no bureau record in the queries about absent sources.
+PARTLY_LINKED = {
+    "linked_raw": "select * from bank_raw where segment <> 'FURNITURE'",
+    "crb_raw": CRB + " where c_mktsegment <> 'MACHINERY' and (c_mktsegment <> 'FURNITURE' or c_acctbal >= 0)",
+}
+ABSENT_SOURCES = ("q_data_completeness", "q_source_coverage", "q_cross_source", "q_unified_features")
+
+
+def _sql(body: str, replaced: dict[str, str] | None = None) -> str:
     """The query with the common tables it needs, in order."""
+    tables = {**TABLES, **(replaced or {})}
     needed: list[str] = []
 
     def add(text: str):
         for name in re.findall(r"(?:from|join)\s+([a-z_]+)", text):
-            if name in TABLES and name not in needed:
-                add(TABLES[name])
+            if name in tables and name not in needed:
+                add(tables[name])
                 needed.append(name)
 
     add(body)
     if not needed:
         return body
-    return "with " + ",\n".join(f"{n} as materialized ({TABLES[n]})" for n in needed) + "\n" + body
+    return "with " + ",\n".join(f"{n} as materialized ({tables[n]})" for n in needed) + "\n" + body
 
 
 K = "company_id, customer_id"
@@ -582,33 +592,53 @@ VECTOR = (
     "emergency_fund_months", "cash_flow_variance",
 )
 SCORECARD = {
-    "income_consistency": 120.0, "spending_to_income_ratio": -40.0, "savings_rate": 90.0,
-    "debt_service_ratio": -75.0, "overdraft_frequency": -110.0, "emergency_fund_months": 0.5,
-}
+    "avg_monthly_income": 0.0004,
+    "income_consistency": 120.0,
+    "total_spending": -0.00002,
+    "spending_to_income_ratio": -40.0,
+    "loan_repayments": -0.00005,
+    "avg_daily_balance": 0.0003,
+    "min_balance": 0.0001,
+    "max_balance": 0.00002,
+    "savings_rate": 90.0,
+    "crb_credit_history_length": 0.8,
+    "crb_payment_performance": 0.6,
+    "crb_credit_utilization": -0.5,
+    "crb_num_credit_types": 3.0,
+    "daily_spending_mean": -0.0007,
+    "loan_repayment_ratio": -35.0,
+    "remittance_frequency": 1.5,
+    "data_completeness_score": 25.0,
+    "spending_consistency": 15.0,
+    "risk_diversification_score": 12.0,
+    "income_volatility": -20.0,
+    "overdraft_frequency": -110.0,
+    "debt_service_ratio": -75.0,
+    "emergency_fund_months": 0.5,
+    "cash_flow_variance": -0.000000001,
+}
 
 
 def _vector_column(c: str) -> str:
     value = f"coalesce({c}::double, 0)"
-    places = {"income_consistency": 4, "income_volatility": 4, "cash_flow_variance": -2}.get(c)
+    places = {"income_consistency": 4, "income_volatility": 4}.get(c)
     return f"{value if places is None else f'round({value}, {places})'} {c}"
 
 
 def _unified_columns() -> str:
     out = []
     for c in VECTOR:
-        if c == "cash_flow_variance":
-            continue
         out.append(f"round({c},4) {c}" if c in ("income_consistency", "income_volatility") else f"{c}::double {c}")
     return ", ".join(out)
 
 
 def _factor_rows() -> str:
     parts = " union all ".join(
-        f"select {K}, '{c}' feature, (cast(round(cast(coalesce({c}::double,0) as decimal(38,12)),4) as double) - 0.25::double) * {w}::double impact from unified"
+        f"select {K}, '{c}' feature, (cast(round(cast(cast(coalesce({c}::double,0) as varchar) as decimal(38,12)),4) as double) - 0.25::double) * {w}::double impact from unified"
         for c, w in SCORECARD.items()
     )
     return (
-        f"select {K}, row_number() over (partition by {K} order by abs(impact) desc, feature) as rank, feature, round(impact,6) impact from ({parts})"
+        f"select {K}, row_number() over (partition by {K} order by abs(impact) desc, feature) as rank, feature, impact from ({parts})"
     )
 
 
@@ -662,6 +692,7 @@ select c.company_id company_id, c.customer_id customer_id, c.base_score, greates
 from carded c left join behavioral_score_fired f using (company_id, customer_id)
 group by c.company_id, c.customer_id, c.base_score"""
 
+BANK_PARTS = list(dict.fromkeys(r[1] for r in _bank_rules()))
 MODULES = (("bank", "bank_score"), ("crb", "crb_score"), ("mobile", "mobile_score"), ("unified", "behavioral_score"))
 
 _BODIES: dict[str, str] = {
@@ -674,6 +705,12 @@ _BODIES: dict[str, str] = {
     "q_ocr_entities": f"""select 'S' || seq document_id, company_id, customer_id::varchar customer_id, 1 as seq, date, description, amount::double amount,
  case when type='unknown' then 'unknown' else type end as type, case when balance_after>=0 then balance_after::double end balance_after,
  'KES' original_currency, case when balance_after<0 then 'malformed' else 'kept' end verdict from bank_raw""",
+    "q_document_forms": f"""
+select 'S' || seq document_id, company_id, customer_id::varchar customer_id, 'entities' form, case when balance_after<0 then 'malformed' else 'kept' end verdict,
+ 1 as seq, date, description, amount::double amount, type, case when balance_after>=0 then balance_after::double end balance_after, 'KES' original_currency
+ from bank_raw where seq%3=0
+union all select statement_id, {K}, case when substr(statement_id,2)::bigint%3=1 then 'lines' else 'bytes' end, 'kept', seq, date, description, amount, type, balance_after, original_currency
+ from parsed where statement_id like 'S%' and substr(case when statement_id like 'S%' then statement_id else 'S0' end,2)::bigint%3<>0""",
     "q_result_messages": f"""select company_id || '-' || customer_id job_id, {K}, 'COMPLETED' status,
  '/api/v1/analytics/results/' || company_id || '-' || customer_id result_url, substring(analysis_summary,1,200) || '...' brief_summary from summaries""",
     "q_tenant_config": """select company_id, "version", coalesce(language_preference,'en') language_preference, coalesce(currency_preference,'KES') currency_preference,
@@ -710,7 +747,7 @@ from (select 'J' || o_orderkey job_id from orders union select 'E' || event_id f
     "q_spending_profile": f"select {K}, total_spending, total_credit, spending_to_income_ratio, loan_repayments, savings_rate from bank_features",
     "q_balance_profile": f"select {K}, avg_daily_balance, min_balance, max_balance from bank_bal",
     "q_income_volatility": f"select {K}, has_big_income, income_mean, round(income_std,4) income_std, round(income_volatility,4) income_volatility from bank_features",
-    "q_cash_flow": f"select {K}, days, positive_days, negative_days, cash_flow_ratio, avg_daily_flow, round(cash_flow_variance,-2) cash_flow_variance from bank_features",
+    "q_cash_flow": f"select {K}, days, positive_days, negative_days, cash_flow_ratio, avg_daily_flow, cash_flow_variance from bank_features",
     "q_debt_service": f"select {K}, debt_payments, debt_payment_count, debt_service_ratio from bank_features",
     "q_liquidity": f"select {K}, has_balance, avg_raw_balance, min_raw_balance, expense_months, emergency_fund_months from bank_features",
     "q_account_behavior": f"select {K}, transactions, overdraft_rows, overdraft_frequency, avg_day_rows, max_day_rows from bank_features",
@@ -726,6 +763,8 @@ from (select 'J' || o_orderkey job_id from orders union select 'E' || event_id f
     "q_data_completeness": f"select {K}, bank_present, crb_present, mobile_present, available_sources, data_completeness_score from crossed",
     "q_cross_source": f"select {K}, spending_consistency, risk_diversification_score from crossed",
     "q_anomaly_counts": f"select {K}, bank_anomalies, crb_anomalies, mobile_anomalies, anomalies from unified",
+    "q_infer_balance_splits": f"select {K}, seq, strftime(txn_date,'%Y-%m-%d') txn_date, inferred_balance::double inferred_balance from bank_inferred",
+    "q_balance_profile_splits": f"select {K}, avg_daily_balance, min_balance, max_balance, has_balance, max_day_rows, cash_flow_variance from bank_features",
     "q_infer_balance": f"select {K}, seq, strftime(txn_date,'%Y-%m-%d') txn_date, inferred_balance::double inferred_balance from bank_inferred",
     "q_job_status": "select job_id, status, message from last_status",
     "q_top_factors": _factor_rows(),
@@ -741,7 +780,7 @@ from (select 'J' || o_orderkey job_id from orders union select 'E' || event_id f
     "q_crb_anomalies": f"select {K}, type, description, reason from crb_flags",
     "q_cross_source_anomalies": f"select {K}, type, description, reason from cross_found",
     "q_bank_features": f"""select {K}, avg_monthly_income, round(income_consistency,4) income_consistency, total_spending, spending_to_income_ratio, loan_repayments, avg_daily_balance, min_balance, max_balance,
- savings_rate, round(income_volatility,4) income_volatility, overdraft_frequency, debt_service_ratio, emergency_fund_months, round(cash_flow_variance,-2) cash_flow_variance, bank_anomalies from bank_counted""",
+ savings_rate, round(income_volatility,4) income_volatility, overdraft_frequency, debt_service_ratio, emergency_fund_months, cash_flow_variance, bank_anomalies from bank_counted""",
     "q_bank_score": f"select {K}, bank_score, risk_level, rules_fired from bank_score_out",
     "q_crb_score": f"select {K}, crb_score, risk_level, rules_fired from crb_score_out",
     "q_mobile_score": f"select {K}, mobile_score, risk_level, rules_fired from mobile_score_out",
@@ -750,7 +789,7 @@ from (select 'J' || o_orderkey job_id from orders union select 'E' || event_id f
     "q_score_components": " union all ".join(_all(m, s, "parts") for m, s in MODULES),
     "q_feature_vector": f"select {K}, {', '.join(_vector_column(c) for c in VECTOR)} from unified",
     "q_scorecard_score": f"""select {K}, round(base_score,4) base_score, round(score,4) behavioral_score,
- {UNIFIED_TIER.format('score')} risk_level, 6 factors from carded_final""",
+ {UNIFIED_TIER.format('score')} risk_level, {len(SCORECARD)} factors from carded_final""",
     "q_unified_summary": f"select {K}, analysis_summary, language, currency from summaries",
     "q_narrative_context": f"""
 select {K}, 'metrics' block, section, position, '- ' || name || case when item is null then '' else ' / ' || item end || ': ' || coalesce({_fixed('value', 2)}, 'n/a') || ' ' || coalesce(unit,'') || ' (' || description || ')' line
@@ -758,7 +797,13 @@ select {K}, 'metrics' block, section, position, '- ' || name || case when item i
 union all select {K}, 'anomalies', source, coalesce(seq,0), '- ' || type || ': ' || description || ' (Transaction: ' || coalesce(txn_description,'N/A') || ')' from bank_all_anomalies
 union all select {K}, 'rules', 'bank', position, '- ' || rule_name || ': ' || condition_met || ' (Adjustment: ' || {_fixed('adjustment', 2)} || ')' from bank_score_fired
 union all select {K}, 'tone', 'tenant', 0, coalesce(text, 'The tone should be professional, concise, include clear disclaimers.') from (select distinct {K} from bank) left join tone_text using (company_id)
-union all select {K}, 'anomalies', 'none', 0, 'No significant anomalies detected.' from bank_features anti join bank_all_anomalies using (company_id, customer_id)""",
+union all select {K}, 'anomalies', 'none', 0, 'No significant anomalies detected.' from bank_features anti join bank_all_anomalies using (company_id, customer_id)
+union all select {K}, 'score', 'overall', 0, 'Overall behavioral score: ' || {_fixed('bank_score', 2)} from bank_score_final
+union all select {K}, 'factors', 'components', list_position({BANK_PARTS}, component)-1, '- ' || component || ': ' || {_fixed('impact', 2)} from (select k.company_id, k.customer_id, p.component, coalesce(sum(f.adjustment),0) impact
+ from bank_features k cross join (select unnest({BANK_PARTS}) component) p left join bank_score_fired f
+  on f.company_id=k.company_id and f.customer_id=k.customer_id and f.component=p.component group by all)""",
 }
 
-ORACLES: dict[str, str] = {name: _sql(body) for name, body in _BODIES.items()}
+ORACLES: dict[str, str] = {
+    name: _sql(body, PARTLY_LINKED if name in ABSENT_SOURCES else None) for name, body in _BODIES.items()
+}

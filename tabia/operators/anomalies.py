@@ -3,28 +3,32 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabia.functions.values import fixed
-from tabia.operators.features import BUSY_DAY_ROWS, daily_debit
-from tabia.operators.spread import attach_customer
+from tabia.operators.base import LARGE_DEBIT_FLOOR, Base, debit_days, is_large, split_facts
+from tabia.operators.features import BUSY_DAY_ROWS
 from tabia.schemas import KEY
 
 ANOMALY_COLUMNS = (
     "source", "type", "txn_date", "seq", "description", "reason", "txn_description", "amount",
 )
-LARGE_DEBIT_FACTOR = 3
-LARGE_DEBIT_FLOOR = 1000
 
 
-def large_debit_rows(txn: DataFrame, keys=KEY) -> DataFrame:
+def large_debit_rows(source: DataFrame | Base, keys=KEY) -> DataFrame:
     """Debits above 3 x the customer's mean daily debit and above 1000."""
-    big = txn.where((F.col("type") == "debit") & (F.col("amount") > LARGE_DEBIT_FLOOR))
-    return attach_customer(big, daily_debit(txn, keys), keys).where(
-        (F.col("debit") > 0)
-        & (F.col("amount").cast("double") > F.col("avg_daily_debit") * LARGE_DEBIT_FACTOR)
+    if isinstance(source, Base):
+        return source.groups.select(*keys, "category", "avg_daily_debit", "debit", F.inline("large"))
+    big = source.where((F.col("type") == "debit") & (F.col("amount") > LARGE_DEBIT_FLOOR))
+    facts = split_facts(debit_days(source, keys), keys)
+    return big.join(facts, [*keys, "split"]).where(
+        is_large(F.col("amount"), F.col("avg_daily_debit"), F.col("debit"))
     )
 
 
 def large_debits(txn: DataFrame, source: str, currency: Column, keys=KEY) -> DataFrame:
-    rows = large_debit_rows(txn, keys)
+    """The large debits of a table of transactions, which may carry the tenant's currency."""
+    return large_debit_lines(large_debit_rows(txn, keys), source, currency, keys)
+
+
+def large_debit_lines(rows: DataFrame, source: str, currency: Column, keys=KEY) -> DataFrame:
     return rows.select(
         *keys,
         F.lit(source).alias("source"),
@@ -44,9 +48,12 @@ def large_debits(txn: DataFrame, source: str, currency: Column, keys=KEY) -> Dat
     )
 
 
-def busy_days(txn: DataFrame, source: str, keys=KEY) -> DataFrame:
+def busy_days(txn: DataFrame | Base, source: str, keys=KEY) -> DataFrame:
     """Days with more than 10 transactions."""
-    per_day = txn.groupBy(*keys, "txn_date").agg(F.count(F.lit(1)).alias("n"))
+    if isinstance(txn, Base):
+        per_day = txn.days
+    else:
+        per_day = txn.groupBy(*keys, "txn_date").agg(F.count(F.lit(1)).alias("n"))
     day = F.date_format("txn_date", "yyyy-MM-dd")
     return per_day.where(F.col("n") > BUSY_DAY_ROWS).select(
         *keys,
@@ -230,27 +237,28 @@ def cross_anomalies(unified: DataFrame) -> DataFrame:
     return _exploded(unified, "cross", cross_flags())
 
 
-def with_bank_count(features: DataFrame, txn: DataFrame) -> DataFrame:
+def with_bank_count(features: DataFrame, txn: DataFrame | Base) -> DataFrame:
     """Bank features with ``bank_anomalies``: flags, busy days and large debits."""
     return _with_large_debits(
         features.withColumn("_flags", _count(bank_flags(F.lit("")))), txn, "bank_anomalies"
     )
 
 
-def with_mobile_count(features: DataFrame, txn: DataFrame) -> DataFrame:
+def with_mobile_count(features: DataFrame, txn: DataFrame | Base) -> DataFrame:
     return _with_large_debits(features.withColumn("_flags", F.lit(0)), txn, "mobile_anomalies")
 
 
-def with_base_count(features: DataFrame, txn: DataFrame, keys=KEY) -> DataFrame:
+def with_base_count(features: DataFrame, txn: DataFrame | Base, keys=KEY) -> DataFrame:
     """Busy days and large debits only, as for a single statement job."""
     return _with_large_debits(features.withColumn("_flags", F.lit(0)), txn, "anomalies", keys)
 
 
-def _with_large_debits(features: DataFrame, txn: DataFrame, name: str, keys=KEY) -> DataFrame:
+def _with_large_debits(features: DataFrame, txn: DataFrame | Base, name: str, keys=KEY) -> DataFrame:
     # counted per split first: a hot customer's rows are never one task
-    counts = (
-        large_debit_rows(txn, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_large"))
-    )
+    if isinstance(txn, Base):
+        counts = txn.groups.groupBy(*keys).agg(F.sum(F.size("large")).alias("_large"))
+    else:
+        counts = large_debit_rows(txn, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_large"))
     total = F.col("_flags") + F.col("busy_days") + F.coalesce("_large", F.lit(0))
     return (
         features.join(counts, list(keys), "left")

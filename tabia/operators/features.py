@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabia.functions.text import MOBILE_LOAN_WORDS, REMITTANCE_WORDS, contains_any, lowered
 from tabia.functions.values import ratio
-from tabia.operators.ledger import customer_chunks
+from tabia.operators.base import Base, days_of
+from tabia.operators.ledger import customer_days
 from tabia.schemas import KEY
 
 BASE_FEATURES = (
@@ -75,24 +76,39 @@ def _span_stats(prefix: str) -> tuple[Column, Column]:
     return mean, F.when(months > 1, F.sqrt(squares / (months - 1)))
 
 
-def customer_totals(txn: DataFrame, keys=KEY) -> DataFrame:
+def _exact_variance(prefix: str) -> Column:
+    """Sample variance from count, sum and sum of squares of whole cents: exact up to one division at the end.
+
+    Beyond 38 digits the floating value takes over.
+    """
+    n, total, squares = (F.col(f"{prefix}_{c}") for c in ("n", "cents", "squares"))
+    top = F.try_subtract(F.try_multiply(n.cast("decimal(12,0)"), squares), F.try_multiply(total, total))
+    bottom = (n * (n - 1) * 10000).cast("double")
+    return F.when(n > 1, F.coalesce(top.cast("double") / bottom, F.col(f"{prefix}_variance")))
+
+
+def customer_totals(source: DataFrame | Base, keys=KEY) -> DataFrame:
     """Everything the bank features, metrics and checks need, one row per customer."""
-    chunks = customer_chunks(txn, keys)
+    days = customer_days(days_of(source, keys), keys)
     sums = ("n", "credit", "debit", "savings", "loans", "debt", "debt_n",
             "balance", "balance_n", "overdrawn_n", "flow")
-    day, first, carried = F.col("day_head"), F.col("nth") == 1, F.col("carried")
+    first, carried = F.col("nth") == 1, F.col("carried")
     zero = F.lit(0).cast("decimal(38,2)")
-    grouped = chunks.groupBy(*keys).agg(
+    cents = (F.col("flow") * 100).cast("decimal(18,0)")
+    grouped = days.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sums],
-        F.count_if(day).alias("days"),
+        F.count(F.lit(1)).alias("days"),
         F.count_if(F.col("month_head")).alias("months"),
         F.min("txn_date").alias("first_date"),
         F.max("txn_date").alias("last_date"),
-        F.count_if(day & (F.col("day_n") > BUSY_DAY_ROWS)).alias("busy_days"),
-        F.max("day_n").alias("max_day_rows"),
-        F.count_if(day & (F.col("day_flow") > 0)).alias("positive_days"),
-        F.count_if(day & (F.col("day_flow") < 0)).alias("negative_days"),
-        F.var_samp(F.when(day, F.col("day_flow").cast("double"))).alias("flow_variance"),
+        F.count_if(F.col("n") > BUSY_DAY_ROWS).alias("busy_days"),
+        F.max("n").alias("max_day_rows"),
+        F.count_if(F.col("flow") > 0).alias("positive_days"),
+        F.count_if(F.col("flow") < 0).alias("negative_days"),
+        F.count("flow").alias("flow_n"),
+        F.sum(cents).alias("flow_cents"),
+        F.sum(cents * cents).alias("flow_squares"),
+        F.var_samp(F.col("flow").cast("double")).alias("flow_variance"),
         *_month_moments("income", F.col("month_income"), F.col("month_income_n")),
         *_month_moments("big", F.col("month_big"), F.col("month_big_n")),
         F.min("balance_min").alias("balance_min"),
@@ -108,9 +124,9 @@ def customer_totals(txn: DataFrame, keys=KEY) -> DataFrame:
     )
 
 
-def bank_features(txn: DataFrame, keys=KEY) -> DataFrame:
+def bank_features(source: DataFrame | Base, keys=KEY) -> DataFrame:
     """Features of the bank module plus the values its metrics and checks report."""
-    t = customer_totals(txn, keys)
+    t = customer_totals(source, keys)
     income_mean, income_dev = _span_stats("income")
     big_mean, big_dev = _span_stats("big")
     no_gaps = F.col("balance_n") == F.col("n")
@@ -157,7 +173,7 @@ def bank_features(txn: DataFrame, keys=KEY) -> DataFrame:
         "negative_days",
         ratio(F.col("positive_days"), F.col("days")).alias("cash_flow_ratio"),
         ratio(F.col("flow"), F.col("days")).alias("avg_daily_flow"),
-        or_zero(F.col("flow_variance")).alias("cash_flow_variance"),
+        or_zero(_exact_variance("flow")).alias("cash_flow_variance"),
         F.col("debt").cast("double").alias("debt_payments"),
         F.col("debt_n").alias("debt_payment_count"),
         or_zero(F.when(F.col("credit") > 0, ratio(F.col("debt"), F.col("credit")))).alias(
@@ -178,41 +194,37 @@ def bank_features(txn: DataFrame, keys=KEY) -> DataFrame:
     )
 
 
-def daily_debit(txn: DataFrame, keys=KEY) -> DataFrame:
-    """Mean over days with a debit of that day's debit sum, one row per customer."""
-    per_day = (
-        txn.where(F.col("type") == "debit")
-        .groupBy(*keys, "txn_date")
-        .agg(F.sum("amount").alias("debit"))
-    )
-    return per_day.groupBy(*keys).agg(
-        ratio(F.sum("debit"), F.count(F.lit(1))).alias("avg_daily_debit"),
-        F.sum("debit").alias("debit"),
-    )
-
-
-def spending_by_category(txn: DataFrame, keys=KEY) -> DataFrame:
-    return txn.groupBy(*keys, "category").agg(F.sum("debit_amount").alias("spending"))
+def spending_by_category(source: DataFrame | Base, keys=KEY) -> DataFrame:
+    if isinstance(source, Base):
+        return source.groups.groupBy(*keys, "category").agg(F.sum("spending").alias("spending"))
+    return source.groupBy(*keys, "category").agg(F.sum("debit_amount").alias("spending"))
 
 
-def mobile_features(txn: DataFrame, keys=KEY) -> DataFrame:
-    """Mobile-money features; the three definitions are this engine's own."""
+def mobile_day_rows(txn: DataFrame, keys=KEY) -> DataFrame:
+    """One row per (customer, day) with what the mobile features and checks need."""
     text = lowered(F.col("description"))
-    per_day = txn.groupBy(*keys, "txn_date").agg(
+    is_debit = F.col("type") == "debit"
+    return txn.groupBy(*keys, "txn_date").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("credit_amount").alias("credit"),
-        F.sum("debit_amount").alias("debit"),
-        F.count(F.when(F.col("type") == "debit", 1)).alias("debit_n"),
+        F.sum(F.when(is_debit, F.col("amount"))).alias("debit"),
+        F.count(F.when(is_debit, 1)).alias("debit_rows"),
         F.sum(F.when(contains_any(text, MOBILE_LOAN_WORDS), F.col("debit_amount"))).alias("loans"),
         F.count(F.when(contains_any(text, REMITTANCE_WORDS), 1)).alias("remittances"),
+        F.collect_set("split").alias("splits"),
     )
+
+
+def mobile_features(source: DataFrame | Base, keys=KEY) -> DataFrame:
+    """Mobile-money features; the three definitions are this engine's own."""
+    per_day = source.days if isinstance(source, Base) else mobile_day_rows(source, keys)
     totals = per_day.groupBy(*keys).agg(
         F.sum("n").alias("transactions"),
         F.min("txn_date").alias("first_date"),
         F.max("txn_date").alias("last_date"),
         F.sum("credit").alias("credit"),
-        F.sum("debit").alias("debit"),
-        F.count(F.when(F.col("debit_n") > 0, 1)).alias("debit_days"),
+        F.coalesce(F.sum("debit"), F.lit(0)).alias("debit"),
+        F.count(F.when(F.col("debit_rows") > 0, 1)).alias("debit_days"),
         F.sum("loans").alias("loans"),
         F.sum("remittances").alias("remittance_frequency"),
         F.count(F.when(F.col("n") > BUSY_DAY_ROWS, 1)).alias("busy_days"),

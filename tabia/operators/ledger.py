@@ -3,8 +3,9 @@
 The rows are shuffled once, by (customer, day, split): a group holds at most
 ``span`` rows, also for a customer that owns a third of the table. Everything
 that needs the order of a customer's rows (running balances) is solved inside
-the chunk and chained over chunk totals, which are shuffled by customer and
-number at most days + rows/span per customer.
+the chunk and chained in two levels over chunk totals, which are shuffled by
+customer: first the splits of a day, then the days of the customer. No window
+is longer than the splits of one day or the days of one customer.
 
 Which columns are computed depends on what a caller selects: unused sums and
 the running-balance window are pruned from the plan.
@@ -115,6 +116,7 @@ def chunk_totals(txn: DataFrame, keys=KEY) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         total(credit).alias("credit"),
         total(debit).alias("debit"),
+        F.count_if(debit).alias("debit_rows"),
         F.sum(F.when(credit, amount).otherwise(-amount)).alias("flow"),
         total(income & credit).alias("income"),
         F.count_if(income).alias("income_n"),
@@ -138,43 +140,64 @@ def chunk_totals(txn: DataFrame, keys=KEY) -> DataFrame:
     )
 
 
-def in_order(keys=KEY):
-    """A customer's chunks in time order. The month leads, so that the windows over
-    customer, month and day below all run on one sort."""
-    return Window.partitionBy(*keys).orderBy("month", "txn_date", "split")
+def carried_in_day(chunks: DataFrame, keys=KEY) -> DataFrame:
+    """Chunk totals, dealt by customer, with ``before``: the net change of the day's earlier splits."""
+    earlier = Window.partitionBy(*keys, "txn_date").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("decimal(38,2)")
+    return chunks.repartition(*keys).withColumn("before", F.coalesce(F.sum("net").over(earlier), zero))
+
+
+# What adds up over the chunks of a day.
+SUMS = (
+    "n", "credit", "debit", "debit_rows", "flow", "income", "income_n", "savings", "loans", "big_credit",
+    "big_credit_n", "debt", "debt_n", "balance", "balance_n", "overdrawn_n", "net",
+)
 
 
-def chained(chunks: DataFrame, keys=KEY) -> DataFrame:
-    """Chunks with the net change carried into each and their place in the customer.
+def day_rows(txn: DataFrame, keys=KEY) -> DataFrame:
+    """One row per (customer, day): sums, running extremes from the day's start, and its splits.
 
-    ``day_head`` and ``month_head`` mark one chunk per day and month, so that an
-    aggregation by customer counts each day and month once.
+    The splits of a day are chained here, so that what follows knows days only.
+    Dealt by customer; the chunk totals are exchanged once.
     """
+    before = F.col("before")
+    return (
+        carried_in_day(chunk_totals(txn, keys), keys)
+        .groupBy(*keys, "txn_date")
+        .agg(
+            *[F.sum(c).alias(c) for c in SUMS],
+            F.min("balance_min").alias("balance_min"),
+            F.max("balance_max").alias("balance_max"),
+            F.sum(before * F.col("n") + F.col("run_sum")).alias("run_sum"),
+            F.min(before + F.col("run_min")).alias("run_min"),
+            F.max(before + F.col("run_max")).alias("run_max"),
+            F.min_by("first_balance", "split").alias("first_balance"),
+            F.min_by("first_net", "split").alias("first_net"),
+            F.collect_set("split").alias("splits"),
+        )
+    )
+
+
+def in_order(keys=KEY):
+    """A customer's days in time order. The month leads, so that the windows over
+    customer and month below run on one sort."""
+    return Window.partitionBy(*keys).orderBy("month", "txn_date")
+
+
+def customer_days(days: DataFrame, keys=KEY) -> DataFrame:
+    """Day rows chained over the customer: net change carried into each, its place, sums of its month."""
     order = in_order(keys)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("month", month_of(F.col("txn_date"))).withColumns(
+    month = Window.partitionBy(*keys, "month")
+    return days.withColumn("month", month_of(F.col("txn_date"))).withColumns(
         {
             "carried": F.coalesce(F.sum("net").over(before), F.lit(0).cast("decimal(38,2)")),
             "nth": F.row_number().over(order),
-            "day_head": ~F.lag("txn_date").over(order).eqNullSafe(F.col("txn_date")),
             "month_head": ~F.lag("month").over(order).eqNullSafe(F.col("month")),
-        }
-    )
-
-
-def customer_chunks(txn: DataFrame, keys=KEY) -> DataFrame:
-    """Chained chunks with the sums of their day and month, hash-partitioned by customer."""
-    day = Window.partitionBy(*keys, "month", "txn_date")
-    month = Window.partitionBy(*keys, "month")
-    chunks = chained(chunk_totals(txn, keys).repartition(*keys), keys)
-    return chunks.withColumns(
-        {
             "month_income": F.sum("income").over(month),
             "month_income_n": F.sum("income_n").over(month),
             "month_big": F.sum("big_credit").over(month),
             "month_big_n": F.sum("big_credit_n").over(month),
-            "day_n": F.sum("n").over(day),
-            "day_flow": F.sum("flow").over(day),
         }
     )
 
@@ -199,20 +222,26 @@ def infer_balances(txn: DataFrame, keys=KEY) -> DataFrame:
         F.min_by("balance_after", "seq").alias("first_balance"),
         F.min_by("net_change", "seq").alias("first_net"),
     )
+    splits = carried_in_day(totals, keys)
+    days = splits.groupBy(*keys, "txn_date").agg(
+        F.sum("net").alias("net"),
+        F.sum(F.col("n") - F.col("balance_n")).alias("missing"),
+        F.min_by("first_balance", "split").alias("first_balance"),
+        F.min_by("first_net", "split").alias("first_net"),
+    )
+    order = Window.partitionBy(*keys).orderBy("txn_date")
     whole = Window.partitionBy(*keys)
-    first = F.col("nth") == 1
-    openings = (
-        chained(totals, keys)
-        .withColumns(
-            {
-                "gaps": F.sum(F.col("n") - F.col("balance_n")).over(whole),
-                "opening": F.coalesce(
-                    F.max(F.when(first, F.col("first_balance") - F.col("first_net"))).over(whole),
-                    F.lit(0).cast("decimal(18,2)"),
-                ),
-            }
-        )
-        .select(*chunk, "gaps", (F.col("opening") + F.col("carried")).alias("opening"))
+    zero = F.lit(0).cast("decimal(38,2)")
+    first = F.when(F.col("nth") == 1, F.col("first_balance") - F.col("first_net"))
+    chained = days.withColumns(
+        {
+            "carried": F.coalesce(F.sum("net").over(order.rowsBetween(Window.unboundedPreceding, -1)), zero),
+            "nth": F.row_number().over(order),
+            "gaps": F.sum("missing").over(whole),
+        }
+    ).withColumn("opening", F.coalesce(F.max(first).over(whole), zero))
+    openings = splits.join(chained.select(*keys, "txn_date", "gaps", "opening", "carried"), [*keys, "txn_date"]).select(
+        *chunk, "gaps", (F.col("opening") + F.col("carried") + F.col("before")).alias("opening")
     )
     return (
         rows.join(openings, chunk)

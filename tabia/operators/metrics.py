@@ -6,6 +6,7 @@ one metric that has a value per category.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabia.operators.base import Base
 from tabia.operators.features import spending_by_category
 from tabia.schemas import KEY
 
@@ -58,7 +59,7 @@ def base_metrics(features: DataFrame, currency: Column, keys=KEY) -> DataFrame:
     return _long(features, "base", metrics, keys)
 
 
-def spending_metrics(txn: DataFrame, keys=KEY) -> DataFrame:
+def spending_metrics(txn: DataFrame | Base, keys=KEY) -> DataFrame:
     """The spending-by-category metric, one row per category."""
     return spending_by_category(txn, keys).select(
         *keys,

@@ -8,8 +8,6 @@ pieces of one day can be summed apart and chained afterwards.
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabia.schemas import KEY
-
 SPLIT_SPAN = 1 << 20
 
 # A side is broadcast only when it was counted and is below both limits.
@@ -22,16 +20,6 @@ def with_split(txn: DataFrame, span: int = SPLIT_SPAN) -> DataFrame:
     return txn.withColumn("split", F.expr(f"seq div {int(span)}"))
 
 
-def attach_customer(rows: DataFrame, facts: DataFrame, keys=KEY) -> DataFrame:
-    """Inner join of rows to one-row-per-customer facts, on (customer, split).
-
-    The facts are first copied to the splits that occur, so the join key of the
-    large side never has more than ``span`` rows.
-    """
-    splits = rows.select(*keys, "split").distinct()
-    return rows.join(splits.join(facts, list(keys)), [*keys, "split"])
-
-
 def is_small(side: DataFrame) -> bool:
     """Counts rows and characters of a candidate broadcast side, stopping early."""
     sample = side.limit(BROADCAST_ROWS + 1)

@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tabia.operators import anomalies, features, ledger, metrics, narrative, scoring
+from tabia.operators.base import Base
 from tabia.operators.model import LinearScorer
 from tabia.operators.spread import SPLIT_SPAN, attach_tenant, is_small
 from tabia.schemas import KEY
@@ -40,6 +41,15 @@ def prepared(txn: DataFrame, tenants: Tenants, span: int = SPLIT_SPAN) -> DataFr
     return ledger.prepare(txn, tenants.settings, tenants.small, span)
 
 
+def bank_base(txn: DataFrame) -> Base:
+    """A prepared bank source for several modules: they share its two stored tables."""
+    return Base(txn)
+
+
+def mobile_base(txn: DataFrame) -> Base:
+    return Base(txn, day_rows=features.mobile_day_rows)
+
+
 def quarantined(bank: DataFrame, records: DataFrame, mobile: DataFrame) -> DataFrame:
     """The input rows that the modules leave out, with the reason, for the caller to store."""
     keys = [F.col(k) for k in KEY]
@@ -58,12 +68,12 @@ def quarantined(bank: DataFrame, records: DataFrame, mobile: DataFrame) -> DataF
     return undated(bank, "bank").unionByName(undated(mobile, "mobile")).unionByName(refused)
 
 
-def bank_features(txn: DataFrame) -> DataFrame:
+def bank_features(txn: DataFrame | Base) -> DataFrame:
     """Bank features with the module's own anomaly count."""
     return anomalies.with_bank_count(features.bank_features(txn), txn)
 
 
-def mobile_features(txn: DataFrame) -> DataFrame:
+def mobile_features(txn: DataFrame | Base) -> DataFrame:
     return anomalies.with_mobile_count(features.mobile_features(txn), txn)
 
 
@@ -72,7 +82,7 @@ def bureau_features(records: DataFrame) -> DataFrame:
     return anomalies.with_bureau_count(features.bureau_features(valid))
 
 
-def bank_score(txn: DataFrame, tenants: Tenants) -> DataFrame:
+def bank_score(txn: DataFrame | Base, tenants: Tenants) -> DataFrame:
     return scoring.bank_score(bank_features(txn), tenants.settings, tenants.small)
 
 
@@ -80,11 +90,11 @@ def bureau_score(records: DataFrame, tenants: Tenants) -> DataFrame:
     return scoring.bureau_score(bureau_features(records), tenants.settings, tenants.small)
 
 
-def mobile_score(txn: DataFrame, tenants: Tenants) -> DataFrame:
+def mobile_score(txn: DataFrame | Base, tenants: Tenants) -> DataFrame:
     return scoring.mobile_score(mobile_features(txn), tenants.settings, tenants.small)
 
 
-def unified_features(bank: DataFrame, records: DataFrame, mobile: DataFrame) -> DataFrame:
+def unified_features(bank: DataFrame | Base, records: DataFrame, mobile: DataFrame | Base) -> DataFrame:
     """Combined features with all anomaly counts, from prepared transactions."""
     return anomalies.with_cross_count(
         features.unified_features(
@@ -94,9 +104,9 @@ def unified_features(bank: DataFrame, records: DataFrame, mobile: DataFrame) ->
 
 
 def unified_score(
-    bank: DataFrame,
+    bank: DataFrame | Base,
     records: DataFrame,
-    mobile: DataFrame,
+    mobile: DataFrame | Base,
     tenants: Tenants,
     scorer: LinearScorer | None = None,
 ) -> DataFrame:
@@ -125,7 +135,7 @@ def unified_score(
     ).drop("currency_preference", "language_preference", "timezone")
 
 
-def bank_metrics(txn: DataFrame, tenants: Tenants) -> DataFrame:
+def bank_metrics(txn: DataFrame | Base, tenants: Tenants) -> DataFrame:
     table = tenants.attach(features.bank_features(txn), *MONEY_NAME)
     return (
         metrics.base_metrics(table, currency())
@@ -134,15 +144,15 @@ def bank_metrics(txn: DataFrame, tenants: Tenants) -> DataFrame:
     )
 
 
-def transaction_anomalies(txn: DataFrame, tenants: Tenants, source: str) -> DataFrame:
+def transaction_anomalies(txn: DataFrame | Base, tenants: Tenants, source: str) -> DataFrame:
     """Row- and day-level anomalies of one transaction source."""
-    rows = tenants.attach(txn, *MONEY_NAME, salt_by=("customer_id", "seq"))
-    return anomalies.large_debits(rows, source, currency()).unionByName(
+    rows = tenants.attach(anomalies.large_debit_rows(txn), *MONEY_NAME, salt_by=("customer_id", "seq"))
+    return anomalies.large_debit_lines(rows, source, currency()).unionByName(
         anomalies.busy_days(txn, source)
     )
 
 
-def bank_anomalies(txn: DataFrame, tenants: Tenants) -> DataFrame:
+def bank_anomalies(txn: DataFrame | Base, tenants: Tenants) -> DataFrame:
     table = tenants.attach(features.bank_features(txn), *MONEY_NAME)
     return transaction_anomalies(txn, tenants, "bank").unionByName(
         anomalies.bank_anomalies(table, currency())
@@ -155,7 +165,7 @@ def bureau_anomalies(records: DataFrame) -> DataFrame:
 
 
 def all_anomalies(
-    bank: DataFrame, records: DataFrame, mobile: DataFrame, tenants: Tenants
+    bank: DataFrame | Base, records: DataFrame, mobile: DataFrame | Base, tenants: Tenants
 ) -> DataFrame:
     return (
         bank_anomalies(bank, tenants)
@@ -166,7 +176,7 @@ def all_anomalies(
 
 
 def all_metrics(
-    bank: DataFrame, records: DataFrame, mobile: DataFrame, tenants: Tenants
+    bank: DataFrame | Base, records: DataFrame, mobile: DataFrame | Base, tenants: Tenants
 ) -> DataFrame:
     valid, _ = read_crb(records)
     crb = features.bureau_features(valid)

@@ -21,12 +21,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # A supplied scorecard (points per unit) for the factor ranking.
 SCORECARD = {
+    "avg_monthly_income": 0.0004,
     "income_consistency": 120.0,
+    "total_spending": -0.00002,
     "spending_to_income_ratio": -40.0,
+    "loan_repayments": -0.00005,
+    "avg_daily_balance": 0.0003,
+    "min_balance": 0.0001,
+    "max_balance": 0.00002,
     "savings_rate": 90.0,
-    "debt_service_ratio": -75.0,
+    "crb_credit_history_length": 0.8,
+    "crb_payment_performance": 0.6,
+    "crb_credit_utilization": -0.5,
+    "crb_num_credit_types": 3.0,
+    "daily_spending_mean": -0.0007,
+    "loan_repayment_ratio": -35.0,
+    "remittance_frequency": 1.5,
+    "data_completeness_score": 25.0,
+    "spending_consistency": 15.0,
+    "risk_diversification_score": 12.0,
+    "income_volatility": -20.0,
     "overdraft_frequency": -110.0,
+    "debt_service_ratio": -75.0,
     "emergency_fund_months": 0.5,
+    "cash_flow_variance": -0.000000001,
 }
 
 
@@ -60,27 +78,41 @@ def _bank(spark, d, tenants=None) -> DataFrame:
     )
 
 
-def _linked(spark, d, tenants) -> DataFrame:
-    return modules.prepared(tables.linked_bank_txn(spark, d), tenants, tables.BANK_SPAN)
+def _bank_base(spark, d, tenants=None):
+    """Bank transactions as the two stored tables that modules share."""
+    return modules.bank_base(_bank(spark, d, tenants))
 
 
 def _mobile(spark, d, tenants=None) -> DataFrame:
     return modules.prepared(tables.mobile_txn(spark, d), tenants or _tenants(spark, d))
 
 
+def _mobile_base(spark, d, tenants=None):
+    return modules.mobile_base(_mobile(spark, d, tenants))
+
+
 def _dated_bank(spark, d) -> DataFrame:
     return dated(tables.bank_txn(spark, d))[0]
 
 
 def _unified(spark, d, tenants) -> DataFrame:
     return modules.unified_features(
-        _linked(spark, d, tenants), tables.crb(spark, d), _mobile(spark, d, tenants)
+        _bank_base(spark, d, tenants), tables.crb(spark, d), _mobile_base(spark, d, tenants)
     )
 
 
-def _scored(spark, d, tenants) -> DataFrame:
+def _partly_linked(spark, d) -> DataFrame:
+    """Combined features where customers of some segments have no bank or no bureau record."""
+    tenants = _tenants(spark, d)
+    bank = modules.prepared(tables.linked_bank_txn(spark, d), tenants, tables.BANK_SPAN)
+    return modules.unified_features(
+        modules.bank_base(bank), tables.linked_crb(spark, d), _mobile_base(spark, d, tenants)
+    )
+
+
+def _scored(spark, d, tenants, scorer=None) -> DataFrame:
     return modules.unified_score(
-        _linked(spark, d, tenants), tables.crb(spark, d), _mobile(spark, d, tenants), tenants
+        _bank_base(spark, d, tenants), tables.crb(spark, d), _mobile_base(spark, d, tenants), tenants, scorer
     )
 
 
@@ -134,6 +166,16 @@ def q_ocr_entities(spark, d):
     )
 
 
+@query
+def q_document_forms(spark, d):
+    documents = stm.with_form(tables.documents(spark, d))
+    rows = stm.document_transactions(documents, ["document_id", *KEY])
+    return rows.select(
+        "document_id", *KEY, "form", "verdict", "seq", "date", "description", _dbl("amount"), "type",
+        _dbl("balance_after"), "original_currency",
+    )
+
+
 @query
 def q_result_messages(spark, d):
     scored = _scored(spark, d, _tenants(spark, d)).withColumn(
@@ -233,7 +275,7 @@ def q_txn_with_config(spark, d):
 
 @query
 def q_large_debits(spark, d):
-    rows = anomalies.large_debit_rows(_bank(spark, d))
+    rows = anomalies.large_debit_rows(_bank_base(spark, d))
     return rows.select(*KEY, "seq", _day("txn_date"), _dbl("amount"), "avg_daily_debit")
 
 
@@ -244,8 +286,8 @@ def q_monthly_income(spark, d):
 
 @query
 def q_unified_features(spark, d):
-    columns = [c for c in features.FEATURE_VECTOR if c not in ("income_consistency", "income_volatility", "cash_flow_variance")]
-    return _unified(spark, d, _tenants(spark, d)).select(
+    columns = [c for c in features.FEATURE_VECTOR if c not in ("income_consistency", "income_volatility")]
+    return _partly_linked(spark, d).select(
         *KEY, "bank_present", "crb_present", "mobile_present",
         *[_dbl(c) for c in columns],
         *[F.round(c, 4).alias(c) for c in ("income_consistency", "income_volatility")],
@@ -278,8 +320,7 @@ QUERIES["q_income_volatility"] = _bank_columns(
     "has_big_income", "income_mean", income_std=4, income_volatility=4
 )
 QUERIES["q_cash_flow"] = _bank_columns(
-    "days", "positive_days", "negative_days", "cash_flow_ratio", "avg_daily_flow",
-    cash_flow_variance=-2,
+    "days", "positive_days", "negative_days", "cash_flow_ratio", "avg_daily_flow", "cash_flow_variance"
 )
 QUERIES["q_debt_service"] = _bank_columns("debt_payments", "debt_payment_count", "debt_service_ratio")
 QUERIES["q_liquidity"] = _bank_columns(
@@ -302,7 +343,7 @@ def _metric_rows(frame):
 @query
 def q_metrics_base(spark, d):
     tenants = _tenants(spark, d)
-    txn = _bank(spark, d, tenants)
+    txn = _bank_base(spark, d, tenants)
     table = tenants.attach(features.bank_features(txn), "currency_preference")
     return _metric_rows(
         metrics.base_metrics(table, currency()).unionByName(metrics.spending_metrics(txn))
@@ -331,7 +372,7 @@ def q_mobile_features(spark, d):
 
 @query
 def q_source_coverage(spark, d):
-    return _unified(spark, d, _tenants(spark, d)).select(
+    return _partly_linked(spark, d).select(
         *KEY, "bank_transactions", _day("bank_first_date"), _day("bank_last_date"),
         "mobile_transactions", _day("mobile_first_date"), _day("mobile_last_date"),
         "crb_credit_history_length", "crb_num_accounts",
@@ -340,7 +381,7 @@ def q_source_coverage(spark, d):
 
 @query
 def q_data_completeness(spark, d):
-    return _unified(spark, d, _tenants(spark, d)).select(
+    return _partly_linked(spark, d).select(
         *KEY, "bank_present", "crb_present", "mobile_present", "available_sources",
         "data_completeness_score",
     )
@@ -348,7 +389,7 @@ def q_data_completeness(spark, d):
 
 @query
 def q_cross_source(spark, d):
-    return _unified(spark, d, _tenants(spark, d)).select(
+    return _partly_linked(spark, d).select(
         *KEY, "spending_consistency", "risk_diversification_score"
     )
 
@@ -371,6 +412,23 @@ def q_infer_balance(spark, d):
     )
 
 
+@query
+def q_infer_balance_splits(spark, d):
+    """Several splits to a day: the balances are chained over splits and days, with the same result."""
+    txn = modules.prepared(tables.bank_txn(spark, d), _tenants(spark, d), tables.NARROW_SPAN)
+    return ledger.infer_balances(txn).select(
+        *KEY, "seq", _day("txn_date"), _dbl("inferred_balance")
+    )
+
+
+@query
+def q_balance_profile_splits(spark, d):
+    txn = modules.prepared(tables.bank_txn(spark, d), _tenants(spark, d), tables.NARROW_SPAN)
+    return features.bank_features(txn).select(
+        *KEY, "avg_daily_balance", "min_balance", "max_balance", "has_balance", "max_day_rows", "cash_flow_variance"
+    )
+
+
 @query
 def q_job_status(spark, d):
     return results.latest_status(tables.job_events(spark, d))
@@ -383,7 +441,7 @@ def q_top_factors(spark, d):
     )
     scorer = model.LinearScorer(SCORECARD, dict.fromkeys(SCORECARD, 0.25))
     return model.explain(vectors, scorer).select(
-        *KEY, F.col("rank").cast("bigint").alias("rank"), "feature", F.round("impact", 6).alias("impact")
+        *KEY, F.col("rank").cast("bigint").alias("rank"), "feature", "impact"
     )
 
 
@@ -392,7 +450,7 @@ def q_metrics_all(spark, d):
     tenants = _tenants(spark, d)
     return _metric_rows(
         modules.all_metrics(
-            _linked(spark, d, tenants), tables.crb(spark, d), _mobile(spark, d, tenants), tenants
+            _bank_base(spark, d, tenants), tables.crb(spark, d), _mobile_base(spark, d, tenants), tenants
         )
     )
 
@@ -409,7 +467,7 @@ def q_anomalies_all(spark, d):
     tenants = _tenants(spark, d)
     return _anomaly_rows(
         modules.all_anomalies(
-            _linked(spark, d, tenants), tables.crb(spark, d), _mobile(spark, d, tenants), tenants
+            _bank_base(spark, d, tenants), tables.crb(spark, d), _mobile_base(spark, d, tenants), tenants
         )
     )
 
@@ -464,21 +522,21 @@ def _score_rows(scored, name):
 
 @query
 def q_bank_features(spark, d):
-    return modules.bank_features(_bank(spark, d)).select(
+    return modules.bank_features(_bank_base(spark, d)).select(
         *KEY,
         "avg_monthly_income", F.round("income_consistency", 4).alias("income_consistency"),
         "total_spending", "spending_to_income_ratio", "loan_repayments", "avg_daily_balance",
         "min_balance", "max_balance", "savings_rate",
         F.round("income_volatility", 4).alias("income_volatility"),
         "overdraft_frequency", "debt_service_ratio", "emergency_fund_months",
-        F.round("cash_flow_variance", -2).alias("cash_flow_variance"), "bank_anomalies",
+        "cash_flow_variance", "bank_anomalies",
     )
 
 
 @query
 def q_bank_score(spark, d):
     tenants = _tenants(spark, d)
-    return _score_rows(modules.bank_score(_bank(spark, d, tenants), tenants), "bank_score")
+    return _score_rows(modules.bank_score(_bank_base(spark, d, tenants), tenants), "bank_score")
 
 
 @query
@@ -489,7 +547,7 @@ def q_crb_score(spark, d):
 @query
 def q_mobile_score(spark, d):
     tenants = _tenants(spark, d)
-    return _score_rows(modules.mobile_score(_mobile(spark, d, tenants), tenants), "mobile_score")
+    return _score_rows(modules.mobile_score(_mobile_base(spark, d, tenants), tenants), "mobile_score")
 
 
 @query
@@ -498,12 +556,14 @@ def q_unified_score(spark, d):
 
 
 def _all_scores(spark, d):
+    """The four scorers on one base of each source."""
     tenants = _tenants(spark, d)
+    bank, mobile, records = _bank_base(spark, d, tenants), _mobile_base(spark, d, tenants), tables.crb(spark, d)
     return {
-        "bank": modules.bank_score(_bank(spark, d, tenants), tenants),
-        "crb": modules.bureau_score(tables.crb(spark, d), tenants),
-        "mobile": modules.mobile_score(_mobile(spark, d, tenants), tenants),
-        "unified": _scored(spark, d, tenants),
+        "bank": modules.bank_score(bank, tenants),
+        "crb": modules.bureau_score(records, tenants),
+        "mobile": modules.mobile_score(mobile, tenants),
+        "unified": modules.unified_score(bank, records, mobile, tenants),
     }
 
 
@@ -543,8 +603,7 @@ def q_feature_vector(spark, d):
     vectors = features.feature_vector(_unified(spark, d, _tenants(spark, d)))
     return vectors.select(
         *KEY,
-        *[F.round(c, 4).alias(c) if c in rounded else F.round(c, -2).alias(c) if c == "cash_flow_variance" else c
-          for c in features.FEATURE_VECTOR],
+        *[F.round(c, 4).alias(c) if c in rounded else c for c in features.FEATURE_VECTOR],
     )
 
 
@@ -563,10 +622,7 @@ def _fitted(spark, d):
 def q_scorecard_score(spark, d):
     tenants = _tenants(spark, d)
     scorer = model.LinearScorer(SCORECARD, dict.fromkeys(SCORECARD, 0.25), 500.0)
-    scored = modules.unified_score(
-        _linked(spark, d, tenants), tables.crb(spark, d), _mobile(spark, d, tenants), tenants, scorer
-    )
-    return scored.select(
+    return _scored(spark, d, tenants, scorer).select(
         *KEY, F.round("base_score", 4).alias("base_score"),
         F.round("behavioral_score", 4).alias("behavioral_score"), "risk_level",
         F.size("score_explanation").cast("bigint").alias("factors"),
@@ -598,12 +654,14 @@ def q_unified_summary(spark, d):
 @query
 def q_narrative_context(spark, d):
     tenants = _tenants(spark, d)
-    txn = _bank(spark, d, tenants)
-    scored = modules.bank_score(txn, tenants)
-    customers = tenants.attach(txn.select(*KEY).distinct(), "llm_tone_guidelines")
+    base = _bank_base(spark, d, tenants)
+    scored = modules.bank_score(base, tenants)
+    customers = tenants.attach(scored.select(*KEY), "llm_tone_guidelines")
     return narrative.narrative_context(
         customers,
-        modules.bank_metrics(txn, tenants),
-        modules.bank_anomalies(txn, tenants),
+        modules.bank_metrics(base, tenants),
+        modules.bank_anomalies(base, tenants),
         scoring.breakdown_rows(scored, "bank"),
+        scored=scored,
+        score="bank_score",
     )

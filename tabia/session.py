@@ -1,6 +1,7 @@
 """Session settings this engine relies on, and checkpoints in the cluster's shared folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +26,12 @@ def build(master: str | None = None, app: str = "tabia", **extra) -> SparkSessio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only a session without one (a local one) gets a folder of its own."""
+    """The cluster's ``spark.checkpoint.dir``. Only a local session without one gets a folder of its own."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -37,3 +40,11 @@ def settled(frame: DataFrame) -> DataFrame:
     """The frame written to the shared folder, its lineage cut, to be read several times."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as Parquet in the shared folder, computed once; the folder's owner clears it."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

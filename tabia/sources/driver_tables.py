@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # ``seq`` below is made of keys and numbers a customer's rows sparsely (an order
 # takes 10 million), so a split covers a wider range of it.
 BANK_SPAN = 10**14
+# A span that cuts many of the days of the test tables into several splits.
+NARROW_SPAN = 10**10
 
 BANK_TXN = """
 select concat('T', cast(c_nationkey as string)) company_id, c_custkey customer_id,
@@ -41,9 +43,12 @@ select concat('T', cast(c_nationkey as string)) company_id, c_custkey customer_i
  map_from_arrays(slice(array('loan','card','mortgage','overdraft'), 1, cast(c_custkey%5 as int)), slice(array(1,2,1,3), 1, cast(c_custkey%5 as int))) credit_types,
  transform(slice(array('open','closed','open'), 1, cast(c_custkey%4 as int)), s -> named_struct('account_type','loan','status',s)) accounts
 from {customer}
-where c_mktsegment <> 'MACHINERY' and (c_mktsegment <> 'FURNITURE' or c_acctbal >= 0)
 """
 
+# Customers without a bank or a bureau record, for the queries about absent sources.
+LINKED_BANK = "segment <> 'FURNITURE'"
+LINKED_CRB = " where c_mktsegment <> 'MACHINERY' and (c_mktsegment <> 'FURNITURE' or c_acctbal >= 0)"
+
 # JSON settings that the derived updates carry.
 RULES_JSON = (
     '[{"category":"savings","keywords":["savings","investment"]},'
@@ -71,7 +76,7 @@ def bank_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linked_bank_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bank transactions of the customers that link a bank in a unified request."""
-    return bank_txn(spark, sf_dir).where(F.col("segment") != "FURNITURE")
+    return bank_txn(spark, sf_dir).where(LINKED_BANK)
 
 
 def mobile_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +87,31 @@ def crb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CRB, **load(spark, sf_dir, "customer"))
 
 
+def linked_crb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bureau records of the customers that have one in a unified request."""
+    return spark.sql(CRB + LINKED_CRB, **load(spark, sf_dir, "customer"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job documents: by turns an OCR answer with entities, one with blocks, and plain bytes."""
+    keys = ["document_id", "company_id", "customer_id"]
+    entities = ocr_entities(spark, sf_dir).select(
+        *keys, F.to_json(F.struct("entities")).alias("entity_answer")
+    )
+    c = F.col
+    slips = bank_slips(spark, sf_dir).withColumnRenamed("statement_id", "document_id")
+    turn = F.substring("document_id", 2, 30).cast("bigint") % 3
+    blocks = F.expr(
+        "to_json(named_struct('JobStatus','SUCCEEDED','Blocks',flatten(transform(split(text,'\\n'), l -> array("
+        "named_struct('BlockType','LINE','Text',l), named_struct('BlockType','WORD','Text',l))))))"
+    )
+    return slips.join(entities, keys).select(
+        *keys,
+        F.when(turn == 0, c("entity_answer")).when(turn == 1, blocks).alias("answer"),
+        c("text").cast("binary").alias("content"),
+    )
+
+
 def tenant_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of partial tenant updates, one per supplier; region 0 has none."""
     t = load(spark, sf_dir, "supplier", "nation")
@@ -112,14 +142,14 @@ def tenant_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statement texts: a slip per bank transaction, and the documents as they are."""
+def bank_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement text per bank transaction, with a fee line."""
     c = F.col
     iso = c("customer_id") % 2 == 0
     day = F.when(iso, c("date")).otherwise(
         F.coalesce(F.date_format(F.try_to_date("date", "yyyy-MM-dd"), "d MMM yyyy"), c("date"))
     )
-    slips = bank_txn(spark, sf_dir).select(
+    return bank_txn(spark, sf_dir).select(
         F.concat(F.lit("S"), c("seq").cast("string")).alias("statement_id"),
         "company_id",
         c("customer_id").cast("string").alias("customer_id"),
@@ -141,13 +171,18 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(" LEDGER FEE -KSh 12.50\nend of statement 2023"),
         ).alias("text"),
     )
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement texts: the slips of the bank transactions, and the documents as they are."""
+    c = F.col
     docs = load(spark, sf_dir, "documents")["documents"].select(
         F.concat(F.lit("D"), c("doc_id").cast("string")).alias("statement_id"),
         c("source").alias("company_id"),
         c("doc_id").cast("string").alias("customer_id"),
         "text",
     )
-    return slips.unionByName(docs)
+    return bank_slips(spark, sf_dir).unionByName(docs)
 
 
 def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

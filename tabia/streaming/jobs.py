@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tabia.functions.values import ratio
 from tabia.operators import anomalies, features, metrics, narrative, results, scoring
+from tabia.operators.base import Base
 from tabia.operators.model import LinearScorer
 from tabia.operators.spread import SPLIT_SPAN
 from tabia.plans.modules import Tenants, prepared
@@ -95,10 +96,11 @@ def job_results(
     """
     keys = JOB_KEY
     txn = prepared(parsed, tenants, span)
+    base = Base(txn, keys)
     # a job whose dates are all unparsable has transactions but no features
     spine = parsed.select(*keys).distinct()
     table = spine.join(
-        anomalies.with_base_count(features.bank_features(txn, keys), txn, keys), list(keys), "left"
+        anomalies.with_base_count(features.bank_features(base, keys), base, keys), list(keys), "left"
     ).withColumns(
         {
             **{name: F.lit(None).cast("double") for name in ABSENT},
@@ -137,12 +139,14 @@ def job_results(
         F.current_timestamp().alias("processed_at"),
     )
     named = tenants.attach(
-        features.bank_features(txn, keys), "currency_preference", salt_by=("job_id",)
+        features.bank_features(base, keys), "currency_preference", salt_by=("job_id",)
     )
-    rows = tenants.attach(txn, "currency_preference", salt_by=("job_id", "seq"))
-    figures = metrics.base_metrics(named, currency(), keys).unionByName(metrics.spending_metrics(txn, keys))
-    unusual = anomalies.large_debits(rows, "bank", currency(), keys).unionByName(
-        anomalies.busy_days(txn, "bank", keys)
+    rows = tenants.attach(
+        anomalies.large_debit_rows(base, keys), "currency_preference", salt_by=("job_id", "seq")
+    )
+    figures = metrics.base_metrics(named, currency(), keys).unionByName(metrics.spending_metrics(base, keys))
+    unusual = anomalies.large_debit_lines(rows, "bank", currency(), keys).unionByName(
+        anomalies.busy_days(base, "bank", keys)
     )
     return {
         "results": result,
