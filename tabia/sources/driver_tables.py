@@ -4,7 +4,7 @@ Plain arithmetic over whole tables, the same rows on every run. Which customers
 miss a source follows from their market segment.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # ``seq`` below is made of keys and numbers a customer's rows sparsely (an order
 # takes 10 million), so a split covers a wider range of it.
@@ -94,21 +94,24 @@ def linked_crb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job documents: by turns an OCR answer with entities, one with blocks, and plain bytes."""
-    keys = ["document_id", "company_id", "customer_id"]
-    entities = ocr_entities(spark, sf_dir).select(
-        *keys, F.to_json(F.struct("entities")).alias("entity_answer")
+    turn = F.col("seq") % 3
+    blocks = F.transform(
+        F.split("text", "\n"),
+        lambda line: F.array(
+            F.struct(F.lit("LINE").alias("BlockType"), line.alias("Text")),
+            F.struct(F.lit("WORD").alias("BlockType"), line.alias("Text")),
+        ),
     )
-    c = F.col
-    slips = bank_slips(spark, sf_dir).withColumnRenamed("statement_id", "document_id")
-    turn = F.substring("document_id", 2, 30).cast("bigint") % 3
-    blocks = F.expr(
-        "to_json(named_struct('JobStatus','SUCCEEDED','Blocks',flatten(transform(split(text,'\\n'), l -> array("
-        "named_struct('BlockType','LINE','Text',l), named_struct('BlockType','WORD','Text',l))))))"
-    )
-    return slips.join(entities, keys).select(
-        *keys,
-        F.when(turn == 0, c("entity_answer")).when(turn == 1, blocks).alias("answer"),
-        c("text").cast("binary").alias("content"),
+    by_blocks = F.to_json(F.struct(F.lit("SUCCEEDED").alias("JobStatus"), F.flatten(blocks).alias("Blocks")))
+    by_entities = F.to_json(F.struct(F.expr(ENTITIES).alias("entities")))
+    return (
+        bank_txn(spark, sf_dir)
+        .withColumn("text", slip_text())
+        .select(
+            *_slip_keys("document_id"),
+            F.when(turn == 0, by_entities).when(turn == 1, by_blocks).alias("answer"),
+            F.col("text").cast("binary").alias("content"),
+        )
     )
 
 
@@ -142,37 +145,55 @@ def tenant_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bank_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A statement text per bank transaction, with a fee line."""
+def slip_text() -> Column:
+    """A statement text of one bank transaction, with a fee line."""
     c = F.col
     iso = c("customer_id") % 2 == 0
     day = F.when(iso, c("date")).otherwise(
         F.coalesce(F.date_format(F.try_to_date("date", "yyyy-MM-dd"), "d MMM yyyy"), c("date"))
     )
-    return bank_txn(spark, sf_dir).select(
-        F.concat(F.lit("S"), c("seq").cast("string")).alias("statement_id"),
-        "company_id",
-        c("customer_id").cast("string").alias("customer_id"),
-        F.concat(
-            F.lit("STATEMENT OF ACCOUNT\nopening balance 0.00\n"),
-            day,
-            F.lit("  "),
-            c("description"),
-            F.lit(" "),
-            F.when(c("seq") % 5 == 0, "KES ").otherwise(""),
-            F.when((c("type") == "debit") & (c("seq") % 3 == 0), "-").otherwise(""),
-            F.when(c("seq") % 2 == 0, F.format_number("amount", 2)).otherwise(c("amount").cast("string")),
-            F.when(c("seq") % 3 == 0, "").when(c("type") == "debit", " DR").otherwise(" CR"),
-            F.when(c("balance_after").isNull() | (c("balance_after") < 0), "").otherwise(
-                F.concat(F.lit(" "), F.format_number("balance_after", 2))
-            ),
-            F.lit("\n"),
-            day,
-            F.lit(" LEDGER FEE -KSh 12.50\nend of statement 2023"),
-        ).alias("text"),
+    return F.concat(
+        F.lit("STATEMENT OF ACCOUNT\nopening balance 0.00\n"),
+        day,
+        F.lit("  "),
+        c("description"),
+        F.lit(" "),
+        F.when(c("seq") % 5 == 0, "KES ").otherwise(""),
+        F.when((c("type") == "debit") & (c("seq") % 3 == 0), "-").otherwise(""),
+        F.when(c("seq") % 2 == 0, F.format_number("amount", 2)).otherwise(c("amount").cast("string")),
+        F.when(c("seq") % 3 == 0, "").when(c("type") == "debit", " DR").otherwise(" CR"),
+        F.when(c("balance_after").isNull() | (c("balance_after") < 0), "").otherwise(
+            F.concat(F.lit(" "), F.format_number("balance_after", 2))
+        ),
+        F.lit("\n"),
+        day,
+        F.lit(" LEDGER FEE -KSh 12.50\nend of statement 2023"),
     )
 
 
+# A header and one transaction_line of a bank transaction.
+ENTITIES = """array(
+  named_struct('type_','header','properties', named_struct('date',date,'description','Statement',
+    'amount',cast(null as string),'type',cast(null as string),'balance',cast(null as string))),
+  named_struct('type_','transaction_line','properties', named_struct('date',date,'description',description,
+    'amount', concat('KES ', case when type='debit' then '-' else '' end, format_number(amount,2)),
+    'type', case when type='unknown' then cast(null as string) else upper(type) end,
+    'balance', case when balance_after < 0 then 'overdrawn' else format_number(balance_after,2) end)))"""
+
+
+def _slip_keys(id_name: str) -> list[Column]:
+    return [
+        F.concat(F.lit("S"), F.col("seq").cast("string")).alias(id_name),
+        F.col("company_id"),
+        F.col("customer_id").cast("string").alias("customer_id"),
+    ]
+
+
+def bank_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement text per bank transaction."""
+    return bank_txn(spark, sf_dir).select(*_slip_keys("statement_id"), slip_text().alias("text"))
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement texts: the slips of the bank transactions, and the documents as they are."""
     c = F.col
@@ -201,20 +222,7 @@ def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document entities: a header and one transaction_line per bank transaction."""
-    return bank_txn(spark, sf_dir).select(
-        F.concat(F.lit("S"), F.col("seq").cast("string")).alias("document_id"),
-        "company_id",
-        F.col("customer_id").cast("string").alias("customer_id"),
-        F.expr(
-            """array(
-              named_struct('type_','header','properties', named_struct('date',date,'description','Statement',
-                'amount',cast(null as string),'type',cast(null as string),'balance',cast(null as string))),
-              named_struct('type_','transaction_line','properties', named_struct('date',date,'description',description,
-                'amount', concat('KES ', case when type='debit' then '-' else '' end, format_number(amount,2)),
-                'type', case when type='unknown' then cast(null as string) else upper(type) end,
-                'balance', case when balance_after < 0 then 'overdrawn' else format_number(balance_after,2) end)))"""
-        ).alias("entities"),
-    )
+    return bank_txn(spark, sf_dir).select(*_slip_keys("document_id"), F.expr(ENTITIES).alias("entities"))
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
