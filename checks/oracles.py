@@ -705,6 +705,13 @@ _BODIES: dict[str, str] = {
     "q_ocr_entities": f"""select 'S' || seq document_id, company_id, customer_id::varchar customer_id, 1 as seq, date, description, amount::double amount,
  case when type='unknown' then 'unknown' else type end as type, case when balance_after>=0 then balance_after::double end balance_after,
  'KES' original_currency, case when balance_after<0 then 'malformed' else 'kept' end verdict from bank_raw""",
+    "q_request_seq": f"""select {K}, row_number() over (partition by {K} order by seq, date, description, amount, type, balance_after nulls first) - 1 as seq,
+ date, description, amount::double amount, type, balance_after::double balance_after from bank_raw""",
+    "q_crb_latest": f"""
+select {K}, report, payment_performance_score, case when row_number() over (partition by {K}
+  order by (payment_performance_score between 0 and 100 and credit_utilization_ratio between 0 and 100) desc, report desc) = 1 then 'kept' else 'superseded' end verdict
+ from (select * replace (((customer_id*13+report*31)%104)::double as payment_performance_score)
+  from (select *, unnest(range(1, (customer_id%3+2)::bigint))::int report from crb_raw))""",
     "q_document_forms": f"""
 select 'S' || seq document_id, company_id, customer_id::varchar customer_id, 'entities' form, case when balance_after<0 then 'malformed' else 'kept' end verdict,
  1 as seq, date, description, amount::double amount, type, case when balance_after>=0 then balance_after::double end balance_after, 'KES' original_currency

@@ -15,7 +15,9 @@ from tabia.session import settled
 from tabia.sources import driver_tables as tables
 from tabia.sources import statements as stm
 from tabia.sources.tenants import currency, current_settings, read_tenant_config
-from tabia.sources.transactions import bureau_defaults, dated, has_ids, read_crb, valid_bureau
+from tabia.sources.transactions import (
+    bureau_defaults, dated, explode_transactions, has_ids, latest_crb, read_crb, valid_bureau,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -166,6 +168,23 @@ def q_ocr_entities(spark, d):
     )
 
 
+@query
+def q_request_seq(spark, d):
+    rows = explode_transactions(tables.transaction_requests(spark, d), "transactions", "request")
+    return rows.select(
+        *KEY, "seq", "date", "description", _dbl("amount"), "type", _dbl("balance_after")
+    )
+
+
+@query
+def q_crb_latest(spark, d):
+    kept, others = latest_crb(tables.crb_reports(spark, d), "report")
+    columns = [*KEY, "report", "payment_performance_score"]
+    return kept.select(*columns, F.lit("kept").alias("verdict")).unionByName(
+        others.select(*columns, F.lit("superseded").alias("verdict"))
+    )
+
+
 @query
 def q_document_forms(spark, d):
     documents = stm.with_form(tables.documents(spark, d))

@@ -79,6 +79,26 @@ def linked_bank_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank_txn(spark, sf_dir).where(LINKED_BANK)
 
 
+def transaction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with a list of bank transactions, one for each order of a customer."""
+    fields = "date", "description", "amount", "type", "balance_after"
+    listed = bank_txn(spark, sf_dir).groupBy(
+        "company_id", "customer_id", F.expr("seq div 10000000").alias("request")
+    ).agg(F.sort_array(F.collect_list(F.struct("seq", *fields))).alias("rows"))
+    return listed.select(
+        "company_id", "customer_id", "request",
+        F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in fields])).alias("transactions"),
+    )
+
+
+def crb_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bureau records by report: a customer has one, two or three, some of them out of range."""
+    number = F.explode(F.sequence(F.lit(1), (F.col("customer_id") % 3 + 1).cast("int")))
+    return crb(spark, sf_dir).withColumn("report", number).withColumn(
+        "payment_performance_score", (F.col("customer_id") * 13 + F.col("report") * 31) % 104 * 1.0
+    )
+
+
 def mobile_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MOBILE_TXN, **load(spark, sf_dir, "events", "customer"))
 

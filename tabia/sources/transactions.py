@@ -1,9 +1,10 @@
 """Transaction and bureau ingest: read, validate, clean, scope, split requests."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tabia.functions.values import parse_date
 from tabia.schemas import KEY, TRANSACTION_LIST, TRANSACTION_TABLE, UNIFIED_REQUEST
+from tabia.session import written
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -11,15 +12,35 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet", **op
     return spark.read.format(fmt).schema(TRANSACTION_TABLE).options(**options).load(path)
 
 
-def read_transaction_lists(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """One document per customer; list positions become ``seq``."""
-    lists = spark.read.format(fmt).schema(TRANSACTION_LIST).load(path)
-    return explode_transactions(lists, "transactions")
+def read_transaction_lists(spark: SparkSession, path: str, fmt: str = "json", order: str | None = None) -> DataFrame:
+    """Documents with a customer's transactions, several to a customer or one; ``seq`` counts on over them."""
+    schema = TRANSACTION_LIST if order is None else T.StructType([*TRANSACTION_LIST.fields, T.StructField(order, T.StringType())])
+    return explode_transactions(spark.read.format(fmt).schema(schema).load(path), "transactions", order)
 
 
-def explode_transactions(requests: DataFrame, column: str) -> DataFrame:
-    return requests.select(*KEY, F.posexplode(column).alias("pos", "txn")).select(
-        *KEY, F.col("pos").cast("bigint").alias("seq"), "txn.*"
+def explode_transactions(requests: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """Rows of the lists; ``seq`` is gapless and unique in a customer, also over several lists.
+
+    A customer's lists follow each other in the rising order of ``order``, or of
+    the hash of the list where there is no such column; equal lists are
+    interchangeable. A list starts where the lengths of the earlier ones end, so
+    the running sum sees one narrow row for each list, and the lists themselves
+    are never dealt by customer. A null list has no rows.
+    """
+    place = F.col(order) if order else F.xxhash64(column)
+    stored = written(
+        requests.select(*KEY, place.alias("_order"), F.col(column).alias("_list")).withColumn(
+            "_request", F.monotonically_increasing_id()
+        )
+    )
+    earlier = Window.partitionBy(*KEY).orderBy("_order", "_request").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored.select(
+        "_request", F.coalesce(F.sum(F.greatest(F.size("_list"), F.lit(0))).over(earlier), F.lit(0)).alias("_start")
+    )
+    return (
+        stored.join(starts, "_request")
+        .select(*KEY, "_start", F.posexplode("_list").alias("pos", "txn"))
+        .select(*KEY, (F.col("_start") + F.col("pos")).cast("bigint").alias("seq"), "txn.*")
     )
 
 
@@ -27,11 +48,11 @@ def read_unified_requests(spark: SparkSession, path: str, fmt: str = "json") ->
     return spark.read.format(fmt).schema(UNIFIED_REQUEST).load(path)
 
 
-def split_unified(requests: DataFrame) -> dict[str, DataFrame]:
+def split_unified(requests: DataFrame, order: str | None = None) -> dict[str, DataFrame]:
     """The three source tables of unified requests; presence of rows decides."""
     return {
-        "bank": explode_transactions(requests, "bank_transactions"),
-        "mobile": explode_transactions(requests, "mobile_money_transactions"),
+        "bank": explode_transactions(requests, "bank_transactions", order),
+        "mobile": explode_transactions(requests, "mobile_money_transactions", order),
         "crb": requests.where(F.col("crb_data").isNotNull()).select(*KEY, "crb_data.*"),
     }
 
@@ -85,3 +106,26 @@ def read_crb(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) bureau records after defaults."""
     filled = bureau_defaults(records)
     return filled.where(valid_bureau()), filled.where(~valid_bureau())
+
+
+def latest_crb(records: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one record of each customer, the others with a ``reason``), so that nobody has two scores.
+
+    The record that is last in ``order`` stays, a time or a version; of equal
+    ones, and where there is no such column, the one with the largest hash of its
+    values. A valid record goes before one that is out of range. One row of each
+    customer is found by a map-side maximum; equal records count as one.
+    """
+    values = [F.to_json(F.struct(*[c for c in records.columns if c not in KEY]))]
+    by = F.struct(
+        valid_bureau().alias("valid"),
+        (F.col(order) if order else F.lit(0)).alias("order"),
+        F.xxhash64(*values).alias("hash"),
+    )
+    ranked = bureau_defaults(records).withColumn("_by", by)
+    last = ranked.groupBy(*KEY).agg(F.max("_by").alias("_last"))
+    both = ranked.join(last, list(KEY))
+    kept = both.where(F.col("_by") == F.col("_last")).dropDuplicates([*KEY])
+    others = both.where(F.col("_by") != F.col("_last"))
+    reason = F.lit("another record of the customer is kept").alias("reason")
+    return kept.drop("_by", "_last"), others.drop("_by", "_last").select("*", reason)

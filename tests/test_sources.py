@@ -220,3 +220,34 @@ def test_tenant_categories_keep_rule_order(spark):
     )
     got = [r[0] for r in frame.select(category(lowered(F.col("d")), F.col("r"))).collect()]
     assert got == ["savings", "Uncategorized", "rent"]
+
+
+def test_seq_counts_on_over_the_lists_of_a_customer(spark, tmp_path):
+    from tabia.sources.transactions import read_transaction_lists
+
+    def txn(n):
+        return {"date": "2023-01-01", "description": f"d{n}", "amount": n, "type": "debit"}
+
+    lists = [("a", "1", "t2", [1, 2]), ("a", "1", "t1", [3]), ("a", "1", "t3", []), ("a", "1", "t4", [4, 5, 6]),
+             ("a", "1", "t4", [4, 5, 6]), ("b", "1", "t1", [7]), ("a", "1", "t0", None)]
+    rows = [{"company_id": c, "customer_id": k, "sent": t, "transactions": None if x is None else list(map(txn, x))} for c, k, t, x in lists]
+    (tmp_path / "lists.json").write_text("\n".join(map(json.dumps, rows)))
+    got = read_transaction_lists(spark, str(tmp_path / "lists.json"), order="sent").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.company_id, []).append((r.seq, r.description))
+    assert [d for _, d in sorted(by["a"])] == ["d3", "d1", "d2", "d4", "d5", "d6", "d4", "d5", "d6"]
+    assert [s for s, _ in sorted(by["a"])] == list(range(9)) and by["b"] == [(0, "d7")]
+    hashed = read_transaction_lists(spark, str(tmp_path / "lists.json")).where("company_id = 'a'").collect()
+    assert sorted(r.seq for r in hashed) == list(range(9))
+
+
+def test_one_bureau_record_of_a_customer(spark):
+    from tabia.sources.transactions import latest_crb
+
+    fields = "company_id string, customer_id string, day int, credit_history_months int, payment_performance_score double, credit_utilization_ratio double, recent_late_payments int, credit_inquiries int"
+    rows = [("a", "1", 1, 5, 50.0, 10.0, None, 1), ("a", "1", 2, 6, 60.0, 10.0, 0, None), ("a", "1", 3, 7, 170.0, 10.0, 0, 0),
+            ("a", "2", 1, 5, 50.0, 10.0, 0, 0), ("a", "2", 1, 5, 50.0, 10.0, 0, 0), ("b", "1", 1, None, 1.0, 1.0, 0, 0)]
+    kept, others = latest_crb(spark.createDataFrame(rows, fields), "day")
+    assert sorted((r.company_id, r.customer_id, r.day) for r in kept.collect()) == [("a", "1", 2), ("a", "2", 1), ("b", "1", 1)]
+    assert sorted((r.customer_id, r.day) for r in others.collect()) == [("1", 1), ("1", 3)]
