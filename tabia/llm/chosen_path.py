@@ -19,9 +19,9 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tabia.llm.common import stored, table, whole
+from tabia.llm.common import SPACE, stored, table, whole
 from tabia.llm.components import components
 
 WIDTH = 5
@@ -32,7 +32,9 @@ FIRST_DEPTH, DEEPEST = 2, 4
 BUCKET = 64
 #: Agreement of embeddings from which a pair is a candidate: four standard deviations below the similarity.
 AGREEMENT = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / TOKENS)
-BLOCK = 1024
+BLOCK = 512
+#: Bytes of shingle sets in a block, about: a task holds two blocks.
+BLOCK_BYTES = 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,7 +55,7 @@ def word_codes(found: list[bytes], memo: dict) -> np.ndarray:
         code = memo.get(w)
         if code is None:
             code = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            if len(memo) < 500_000:
+            if len(memo) < 100_000:
                 memo[w] = code
         out.append(code)
     return np.array(out, np.uint64)
@@ -84,7 +86,7 @@ def embedded(own: np.ndarray, tokens: int = TOKENS) -> np.ndarray:
 
 
 def signatures(batches):
-    """doc_id, set_id (MD5 of the sorted shingles, null without words) and the embedding."""
+    """doc_id, key, set_id (MD5 of the sorted shingles, null without words) and the embedding."""
     memo: dict = {}
     for batch in batches:
         sets = (shingles(x, memo) for x in batch.column("text").to_pylist())
@@ -93,8 +95,8 @@ def signatures(batches):
             names.append(hashlib.md5(own.tobytes()).digest() if len(own) else None)
             tokens.append(embedded(own).astype("<u4").tobytes() if len(own) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(tokens, pa.binary())],
-            names=["doc_id", "set_id", "tokens"],
+            [batch.column("doc_id"), batch.column("key"), pa.array(names, pa.binary()), pa.array(tokens, pa.binary())],
+            names=["doc_id", "key", "set_id", "tokens"],
         )
 
 
@@ -228,7 +230,7 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     if not len(column):
         return out
     column = np.cumsum(np.r_[0, column[1:] != column[:-1]])
-    width = 4096
+    width = 1024
     cuts = np.searchsorted(column, np.arange(0, column[-1] + 1, width))
     for low, high in zip(cuts, [*cuts[1:], len(column)]):
         part = np.zeros((len(left) + len(right), width), np.float32)
@@ -274,33 +276,50 @@ def near_duplicates(
 
     Documents are linked when the Jaccard similarity of their sets of five-word
     shingles is 0.8 or more; a text of one to four words is a single shingle.
-    ``class_id`` is the smallest doc_id of all documents connected by links,
-    ``n_links`` the number of different shingle sets that the document's own set
-    is linked to, ``n_copies`` the number of rows with the same set. Texts
-    without a word (null, empty) are linked to nothing and are their own class,
-    as is a row without doc_id among them. Extra columns are not read.
+    ``class_id`` is the smallest doc_id of all documents connected by links (null
+    where none has one), ``n_links`` the number of different shingle sets that the
+    document's own set is linked to, ``n_copies`` the number of rows with the same
+    set. Texts without a word (null, empty) are linked to nothing and are their
+    own class. Rows are told apart by doc_id and text, so rows without doc_id or
+    with a repeated one are compared by their own texts. Extra columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
-    signed = stored(rows.mapInArrow(lambda batches: signatures(batches), "doc_id long, set_id binary, tokens binary"))
+    return classified(docs, recall, bucket, block).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def row_key(text) -> Column:
+    return F.xxhash64(whole(text))
+
+
+def classified(docs: DataFrame, recall: float, bucket: int, block: int) -> DataFrame:
+    """``near_duplicates`` with each row's ``key`` (a hash of its text) and ``first``: (id, key) of its class's first row.
+
+    Rows without doc_id come after all others; a class's text is that of its first row.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"), row_key("text").alias("key"))
+    signed = stored(
+        rows.mapInArrow(lambda batches: signatures(batches), "doc_id long, key long, set_id binary, tokens binary")
+    )
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("key"))
     classes = stored(
         signed.where("set_id is not null")
         .groupBy("set_id")
         .agg(
-            F.min("doc_id").alias("rep"),
+            F.min(place).alias("first"),
             F.any_value("tokens").alias("tokens"),
             F.count(F.lit(1)).alias("n_copies"),
         )
     )
     labels = components(stored(candidate_links(classes, recall, bucket)))
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    members = labels.join(classes.select(F.col("set_id").alias("node"), "rep"), "node")
+    members = labels.join(classes.select(F.col("set_id").alias("node"), "first"), "node")
     own = (
-        members.join(rows, F.col("rep").eqNullSafe(F.col("doc_id")))
+        members.join(rows, (F.col("first.key") == F.col("key")) & F.col("first.id").eqNullSafe(F.col("doc_id")))
         .select(F.col("node").alias("c"), "label", "text")
         .mapInArrow(lambda batches: class_sets(batches), "c binary, label binary, own binary")
         .dropDuplicates(["c"])
     )
-    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = stored(own)
+    sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("own")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     dealt = (
         own.join(sizes, "label")
         .withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int"))
@@ -322,37 +341,51 @@ def near_duplicates(
     links = found.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n_links"))
     final = components(found.where("b is not null"))
     reps = (
-        final.join(classes.select(F.col("set_id").alias("node"), "rep"), "node")
+        final.join(classes.select(F.col("set_id").alias("node"), "first"), "node")
         .groupBy("label")
-        .agg(F.min("rep").alias("group_rep"))
+        .agg(F.min("first").alias("group_first"))
     )
-    grouped = final.join(reps, "label").select(F.col("node").alias("set_id"), "group_rep")
+    grouped = final.join(reps, "label").select(F.col("node").alias("set_id"), "group_first")
     facts = (
-        classes.select("set_id", "rep", "n_copies")
+        classes.select("set_id", "first", "n_copies")
         .join(grouped, "set_id", "left")
         .join(links, "set_id", "left")
+        .withColumn("first", F.coalesce("group_first", "first"))
     )
-    return signed.select("doc_id", "set_id").join(facts, "set_id", "left").select(
+    return signed.select("doc_id", "key", "set_id").join(facts, "set_id", "left").select(
         "doc_id",
-        F.coalesce("group_rep", "rep", "doc_id").alias("class_id"),
+        "key",
+        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("first.id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        "first",
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their class; of repeated rows one stays, of rows without id all."""
-    found = near_duplicates(docs)
-    kept = (
-        found.where(F.col("doc_id") == F.col("class_id"))
-        .select(F.col("doc_id").alias("kept_id"))
-        .distinct()
-    )
+    """The first document of each class: the one with the smallest doc_id, or of rows without id that of the smallest hash.
+
+    Rows of one doc_id with different texts are different documents here; of
+    equal ids and texts one row stays, the smallest. Texts without a word are
+    their own class: one row of each doc_id stays, and all rows without an id.
+    """
+    found = classified(docs, RECALL, BUCKET, BLOCK)
+    same = (F.col("doc_id").eqNullSafe(F.col("first.id"))) & (F.col("key") == F.col("first.key"))
+    kept = found.where(same).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    boxes = docs.select(row.alias("row"))
-    firsts = boxes.where("row.doc_id is not null").groupBy(F.col("row.doc_id").alias("id")).agg(F.min("row").alias("row"))
-    stay = firsts.join(kept, F.col("id") == F.col("kept_id"), "left_semi").select("row")
-    return stay.unionByName(boxes.where("row.doc_id is null")).select("row.*")
+    wordless = F.btrim(whole("text"), F.lit(SPACE)) == ""
+    boxes = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), row_key("text").alias("key"), wordless.alias("wordless"))
+    loose = F.col("wordless") & F.col("id").isNull()
+    firsts = boxes.where(~loose).groupBy("id", "key", "wordless").agg(F.min("row").alias("row"))
+    stay = firsts.where(~F.col("wordless")).join(
+        kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi"
+    )
+    return (
+        stay.select("row")
+        .unionByName(firsts.where("wordless").groupBy("id").agg(F.min("row").alias("row")).select("row"))
+        .unionByName(boxes.where(loose).select("row"))
+        .select("row.*")
+    )
 
 
 def op8_chosen_path_join(spark, sf_dir):

@@ -217,6 +217,52 @@ def test_chosen_paths_on_odd_rows(odd, empty):
     assert ids[1] == 1 and ids[2] == 0 and ids[None] == 2 and ids[3] == 1
 
 
+def test_rows_without_or_with_a_repeated_id_keep_their_texts(spark):
+    near = [prose(k, 60) for k in range(3)]
+    rows = [(1, prose(50, 40)), (1, prose(51, 40)), (2, prose(52, 40)), (None, prose(53, 40)), (None, prose(53, 40)),
+            (None, None), (None, ""), (7, None), (7, "")] + [(None, t + end) for t in near for end in ("", " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in chosen_path.one_of_each(docs).collect()]
+    texts = [t for _, t in kept if t]
+    assert {t for t in texts if t in (prose(k, 40) for k in (50, 51, 52, 53))} == {prose(k, 40) for k in (50, 51, 52, 53)}
+    assert len(texts) == 4 + len(near)  # one of each near pair, one of the two copies
+    assert sum(i is None and not t for i, t in kept) == 2 and sum(i == 7 for i, _ in kept) == 1
+    many = spark.createDataFrame([(None, prose(k // 2, 60) + " x" * (k % 2)) for k in range(100)], "doc_id long, text string")
+    got = chosen_path.near_duplicates(many).collect()
+    assert len(got) == 100 and all(r.class_id is None and r.n_links == 1 and r.n_copies == 1 for r in got)
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 160 + "b", "-" * 1007, " " * 10000, "=" * 10000, "a" * 10000, "ab" * 3000])
+def test_tied_paths_end(text):
+    vocabulary = nbest_pieces.load()
+    ids, scores, every = nbest_pieces.encoded([text], vocabulary)
+    assert nbest_pieces.decoded(ids[0].as_py(), vocabulary.raw) == text
+    assert len(scores[0]) == 3 and sorted(scores[0], reverse=True) == scores[0]
+    assert len({tuple(x) for x in every[0].as_py()}) == 3
+
+
+def test_n_best_with_ties_equals_enumeration():
+    """Both ways to segment a chunk, whatever its length, break ties alike."""
+    vocabulary = nbest_pieces.load()
+    rng = np.random.default_rng(4)
+    for k in range(200):
+        chunk = "".join(rng.choice(list("a-=t"[: 1 + k % 4]), int(rng.integers(1, 40))))
+        lists = [[(0.0, ())]]
+        for end in range(1, len(chunk) + 1):
+            found = []
+            for start in range(max(0, end - vocabulary.longest), end):
+                score = vocabulary.edge(chunk[start:end])
+                if score is not None:
+                    found += [(a + score, p + (chunk[start:end],)) for a, p in lists[start]]
+            lists.append(sorted(found, key=lambda x: -x[0])[:3])
+        got = nbest_pieces.n_best(chunk, vocabulary, 3)
+        assert [s for s, _ in got] == [s for s, _ in lists[-1]]
+        assert len({tuple(p) for _, p in got}) == len(got)
+        if len(chunk) <= nbest_pieces.SHORT:
+            own = nbest_pieces.segmented([chunk], vocabulary)[2].tolist()
+            assert own == [i for p in got[0][1] for i in vocabulary.spelled(p)]
+
+
 def full_tree_bit(counts, context, node):
     """P(bit = 1) by the definition of the weighted mixture, without sharing of any work."""
 
@@ -326,6 +372,10 @@ def test_latent_retrieval_finds_leaks(spark, odd, empty):
     assert blocks == want
     assert latent_retrieval.decontaminated(frame, benchmark).count() == 48
     assert latent_retrieval.decontaminated(odd, benchmark).columns == odd.columns
+    loose = frame.withColumn("doc_id", F.lit(None).cast("long"))
+    assert latent_retrieval.decontaminated(loose, benchmark).count() == 48
+    twice = benchmark.unionByName(benchmark)
+    assert latent_retrieval.contaminated(frame, twice).count() == len(want)
     assert latent_retrieval.decontaminated(odd, benchmark).count() == len(odd_rows())
     assert latent_retrieval.contaminated(empty, benchmark).count() == 0
     assert latent_retrieval.contaminated(frame, benchmark.where("item_id = 99")).count() == 0
