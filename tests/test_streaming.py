@@ -210,20 +210,20 @@ class Fussy:
 
 def test_a_job_that_raises_does_not_stop_the_others(spark, tenants, tmp_path):
     text = "2023-01-01 SALARY 1,000.00 CR"
-    rows = [(f"j{k}", "T1", f"c{k}", text if k != 3 else "junk") for k in range(6)]
+    rows = [(f"j{k}", "T1", f"c{k}", text if k != 3 else "junk") for k in range(4)]
     _send(spark, tmp_path / "in", rows)
-    _run(spark, tenants, tmp_path, scorer=Fussy("c1", "c4"))
+    _run(spark, tenants, tmp_path, scorer=Fussy("c1"))
     _send(spark, tmp_path / "in", [("j9", "T1", "c9", text)])
-    _run(spark, tenants, tmp_path, scorer=Fussy("c1", "c4"))
+    _run(spark, tenants, tmp_path, scorer=Fussy("c1"))
     out = tmp_path / "out"
-    assert sorted(r.job_id for r in _read(spark, out, "results").collect()) == ["j0", "j2", "j5", "j9"]
+    assert sorted(r.job_id for r in _read(spark, out, "results").collect()) == ["j0", "j2", "j9"]
     broken = {r.job_id: r.error for r in _read(spark, out, "broken").collect()}
-    assert set(broken) == {"j1", "j4"} and all(f"no score for c{j[1]}" in e for j, e in broken.items())
+    assert set(broken) == {"j1"} and all(f"no score for c{j[1]}" in e for j, e in broken.items())
     last = {r.job_id: r for r in results.latest_status(_read(spark, out, "statuses")).collect()}
     assert {j: r.status for j, r in last.items()} == {
-        **dict.fromkeys(["j0", "j2", "j5", "j9"], "COMPLETED"), **dict.fromkeys(["j1", "j3", "j4"], "FAILED")
+        **dict.fromkeys(["j0", "j2", "j9"], "COMPLETED"), **dict.fromkeys(["j1", "j3"], "FAILED")
     }
-    assert last["j4"].message.startswith("Analysis failed: ")
+    assert last["j1"].message.startswith("Analysis failed: ")
     sent = {r.key: json.loads(r.value)["status"] for r in _read(spark, out, "messages").collect()}
     assert sent == {j: r.status for j, r in last.items()}
 
