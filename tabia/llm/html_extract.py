@@ -19,20 +19,26 @@ from tabia.llm.common import slices, table, whole
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
+    r"|(?P<odd><(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>)",
     re.S,
 )
-MARKS = re.compile(r"""\b(class|id|role|data-y|hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: once a quote is left open, the rest of the page is read with tags that end at the next >
+LOOSE = re.compile(TAG.pattern.replace(r"""=\s*+(?:\"[^\"]*+\"|'[^']*+')|=""", "="), re.S)
+MARKS = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role|data-y|hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HIDES = re.compile(r"""(?:^|\s)hidden(?:[\s/=]|$)""", re.I)
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("script style noscript template head title textarea select option svg math iframe object canvas".split())
 RAW = set("script style noscript template textarea title iframe".split())
+RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I) for name in RAW}
+UNENDED = re.compile(r"<!--|<!\[CDATA\[")
 BLOCK = set(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure"
     " footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody thead"
-    " tfoot tr td th caption ul legend br".split()
+    " tfoot tr td th caption ul legend".split()
 )
-CLOSES_P = BLOCK - {"html", "body", "br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: an element that ends an open one of the second set, unless one of the third stands between
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -61,7 +67,7 @@ GROUPS = {
     "block": set("div section body html center address details summary".split()),
 }
 GROUP_OF = {t: g for g, tags in GROUPS.items() for t in tags}
-EPOCHS, RATE, RIDGE = 120, 0.5, 0.002
+EPOCHS, RATE, RIDGE = 120, 0.7, 0.0002
 SLICE = 4 << 20
 
 
@@ -76,63 +82,94 @@ class Node:
         self.hidden = self.bad = self.good = False
 
 
+class Open:
+    """The open elements, and where the innermost of each name stands, so that no tag walks over all of them."""
+
+    def __init__(self, nodes):
+        self.nodes = nodes
+        self.stack = [0]
+        self.places: dict = {}
+
+    def push(self, k):
+        self.places.setdefault(self.nodes[k].tag, []).append(len(self.stack))
+        self.stack.append(k)
+
+    def cut(self, place):
+        while len(self.stack) > place:
+            self.places[self.nodes[self.stack.pop()].tag].pop()
+
+    def innermost(self, names) -> int:
+        """Place of the innermost open element with one of the names, 0 if there is none."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+
 def parse(page: str):
-    """Nodes in document order (parents first) and the text runs (node, raw text); breaks are runs with None."""
+    """Nodes in document order (parents first) and the text runs (node, raw text).
+
+    A line break is a run of one blank; a rule (``hr``) ends its block, as a run
+    of None. Every tag takes a bounded number of steps besides those that close
+    what was opened, and no search passes the page's last ``>``, so the time
+    grows with the length of the page, however broken its markup.
+    """
     nodes = [Node("html", "", -1)]
     runs: list = []
-    stack = [0]
-    at = 0
+    open_ = Open(nodes)
+    at, last, tag = 0, page.rfind(">") + 1, TAG
 
     def text(raw):
         if raw:
-            runs.append((stack[-1], raw))
+            runs.append((open_.stack[-1], raw))
 
     while True:
-        found = TAG.search(page, at)
+        found = tag.search(page, at, last) if at < last else None
         if not found:
-            text(page[at:])
+            # behind the last > only an unended comment or data section can begin
+            found = UNENDED.search(page, at)
+            text(page[at : found.start() if found else len(page)])
+            if found and found[0] != "<!--":
+                text(html.escape(page[found.end() :], quote=False))
             return nodes, runs
         text(page[at : found.start()])
         at = found.end()
+        if found["odd"]:
+            tag = LOOSE
+        whole_tag = page.startswith("<!--", found.start()) and not found[0].endswith("-->")
         if found["data"] is not None:
-            text(html.escape(found["data"], quote=False))
+            ended = found[0].endswith("]]>")
+            text(html.escape(found["data"] if ended else found["data"] + page[at:], quote=False))
+            if not ended:
+                return nodes, runs
             continue
+        if whole_tag:
+            return nodes, runs
         name = (found["name"] or found["name2"] or "").lower()
         if not name:
             continue
+        if name == "br":
+            text(" ")
+            continue
         if found["end"] or found["end2"]:
-            if name == "br":
-                runs.append((stack[-1], None))
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = nodes[stack[k]].tag
-                if open_tag == name:
-                    del stack[k:]
-                    break
-                if open_tag in FENCE and name not in BLOCK:
-                    break
+            place = open_.innermost((name,))
+            if place and (name in BLOCK or open_.innermost(FENCE) <= place):
+                open_.cut(place)
             continue
-        if name in ("html", "body") and len(stack) > 1 and name == "html":
+        if name == "html" and len(open_.stack) > 1:
             continue
         drop, fence = SIBLINGS.get(name, (None, None))
         if name in CLOSES_P:
             drop, fence = (drop or set()) | {"p"}, (fence or set()) | FENCE - {"li" if name == "li" else ""}
-        if drop:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in drop:
-                    del stack[k:]
-                    if name in ("tr",):
-                        continue
-                    break
-                if nodes[stack[k]].tag in fence:
-                    break
-        if name == "br":
-            runs.append((stack[-1], None))
-            continue
+        while drop:
+            place = open_.innermost(drop)
+            if not place or open_.innermost(fence) > place:
+                break
+            open_.cut(place)
+            if name != "tr":
+                break
         rest = found["rest"] if found["name"] else found["rest2"]
-        node = Node(name, "", stack[-1])
+        node = Node(name, "", open_.stack[-1])
         k = len(nodes)
         nodes.append(node)
-        nodes[stack[-1]].children.append(k)
+        nodes[open_.stack[-1]].children.append(k)
         names = []
         for mark in MARKS.finditer(rest or ""):
             value = mark[2] or mark[3] or mark[4] or ""
@@ -146,12 +183,17 @@ def parse(page: str):
         node.marks = " ".join(names)
         node.bad = bool(BAD.search(node.marks)) if node.marks else False
         node.good = bool(GOOD.search(node.marks)) if node.marks else False
+        if rest and HIDES.search(QUOTED.sub('""', rest)):
+            node.hidden = True
         node.hidden = node.hidden or name in HIDDEN
         if name in RAW:
-            close = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+            close = RAW_END[name].search(page, at, last)
             at = close.end() if close else len(page)
-        elif name not in VOID and not (rest or "").rstrip().endswith("/"):
-            stack.append(k)
+        elif name in VOID:
+            if name in BLOCK:
+                runs.append((k, None))
+        elif not (rest or "").rstrip().endswith("/"):
+            open_.push(k)
 
 
 def features(nodes, runs) -> list[list[str]]:
@@ -166,11 +208,16 @@ def features(nodes, runs) -> list[list[str]]:
             stops[k] += raw.count(".") + raw.count(",")
             if nodes[k].tag == "a":
                 linked[k] += n
+    told = [n >= 40 and s * 100 > n for n, s in zip(total, stops)]  # sentences of the node itself
+    parts = [0] * len(nodes)  # children that are paragraphs with sentences
     for k in range(len(nodes) - 1, 0, -1):
         up = nodes[k].parent
         total[up] += total[k]
         stops[up] += stops[k]
         linked[up] += total[k] if nodes[k].tag == "a" else linked[k]
+        if nodes[k].tag == "p" and not nodes[k].bad and total[k] >= 40 and stops[k] * 100 > total[k] and 2 * linked[k] < total[k]:
+            parts[up] += 1
+    first = next((k for k, node in enumerate(nodes) if told[k] and not node.bad and GROUP_OF.get(node.tag) != "chrome"), 0)
     out = []
     for k, node in enumerate(nodes):
         group = GROUP_OF.get(node.tag, "other")
@@ -185,8 +232,17 @@ def features(nodes, runs) -> list[list[str]]:
         names.append("size " + ("none" if not n else "short" if n < 40 else "middle" if n < 300 else "long"))
         if n and linked[k] > 0.5 * n:
             names.append("links")
+            if k < first:
+                names.append("links before the text")
         if n and stops[k] * 100 > n:
             names.append("sentences")
+        plain = group != "chrome" and node.tag != "a" and not node.bad
+        if told[k] and plain:
+            names.append("own sentences " + (node.tag if node.tag in ("html", "body", "div", "td") else group))
+        if parts[k] and plain:
+            names.append("paragraphs" if parts[k] > 1 else "paragraph")
+        if 10 * n > 7 * total[0] and plain and 2 * linked[k] < n:
+            names.append("most of the page " + group)
         out.append(names)
     return out
 
@@ -248,7 +304,11 @@ ZERO = ((0.0, 0.0), (0.0, 0.0))
 
 
 def train(pages=None):
-    """Weights by gradient ascent on the log likelihood of the labelled pages."""
+    """Weights by gradient ascent on the log likelihood of the labelled pages.
+
+    A weight's steps shrink with the root of the sum of its squared slopes, so
+    that features of few pages are learnt as fast as those of all.
+    """
     data = []
     for page in pages or labelled_pages.pages():
         nodes, runs = parse(page)
@@ -258,7 +318,9 @@ def train(pages=None):
         data.append((nodes, features(nodes, runs), labels))
     unary: dict = {}
     pair: dict = {}
-    for epoch in range(EPOCHS):
+    unary_size: dict = {}
+    pair_size: dict = {}
+    for _ in range(EPOCHS):
         slope: dict = {}
         turn: dict = {}
         for nodes, names, labels in data:
@@ -271,14 +333,18 @@ def train(pages=None):
                     for a in (0, 1):
                         for b in (0, 1):
                             t[a][b] += (labels[nodes[k].parent] == a and labels[k] == b) - joint[k][a][b]
-        rate = RATE / len(data) / (1 + epoch / 60)
         for f, g in slope.items():
-            unary[f] = unary.get(f, 0.0) * (1 - RIDGE) + rate * g
+            g -= RIDGE * len(data) * unary.get(f, 0.0)
+            unary_size[f] = unary_size.get(f, 1e-9) + g * g
+            unary[f] = unary.get(f, 0.0) + RATE * g / math.sqrt(unary_size[f])
         for kind, t in turn.items():
             w = pair.setdefault(kind, [[0.0, 0.0], [0.0, 0.0]])
+            size = pair_size.setdefault(kind, [[1e-9, 1e-9], [1e-9, 1e-9]])
             for a in (0, 1):
                 for b in (0, 1):
-                    w[a][b] = w[a][b] * (1 - RIDGE) + rate * t[a][b]
+                    g = t[a][b] - RIDGE * len(data) * w[a][b]
+                    size[a][b] += g * g
+                    w[a][b] += RATE * g / math.sqrt(size[a][b])
     return unary, pair
 
 
@@ -331,8 +397,9 @@ def extract_batches(batches, model):
 def extract(pages: DataFrame, model=None) -> DataFrame:
     """page_id, url, the article's text and its length in code points, for each page.
 
-    Character references are decoded, white space inside a block (and the text
-    around a line break) is one space, blocks are joined by a line break. A null
+    Character references are decoded, white space inside a block is one space, as
+    is a ``br``, blocks are joined by a line break. The article may stand in any
+    element, or in the body or page itself. A null
     or empty page, and one without an article, give an empty text. Broken markup
     is read as far as it goes. Repeated rows are extracted each. Extra columns
     are not read.
