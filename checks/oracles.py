@@ -436,6 +436,12 @@ CROSS_METRICS = [
     (34, "Bank-Mobile Spending Consistency", _r("spending_consistency", 2), "null", "'Consistency between bank and mobile money spending patterns'", "spending_consistency is not null"),
     (35, "Financial Data Diversification", _r("risk_diversification_score", 2), "null", "'Score reflecting the breadth of financial data available for analysis'", "risk_diversification_score is not null"),
 ]
+MOBILE_METRICS = [
+    (36, "Average Daily Mobile Spending", _r("daily_spending_mean", 2), CURRENCY, "'Average mobile money spending on days with spending'", "true"),
+    (37, "Mobile Loan Repayment Ratio", _r("loan_repayment_ratio", 3), "null", "'Ratio of mobile loan repayments to money received'", "true"),
+    (38, "Number of Remittances", "remittance_frequency", "null", "'Count of money sent and received'", "true"),
+    (39, "High Activity Days", "busy_days", "null", "'Number of days with more than 10 mobile money transactions'", "true"),
+]
 CRB_METRICS = [
     (28, "Credit History Length", "credit_history_months", "'months'", "'Length of credit history in months'", "true"),
     (29, "Number of Credit Accounts", "num_accounts", "null", "'Total number of credit accounts opened'", "true"),
@@ -476,6 +482,7 @@ from (select company_id, customer_id, count(*) transactions, min(txn_date) first
   sum(debit_amount) filter (regexp_matches(lower(description),'loan|fuliza|repayment')) loans,
   count(*) filter (regexp_matches(lower(description),'send money|receive money')) remittance_frequency
   from mobile group by all) m join mobile_daily d using (company_id, customer_id)""",
+    "mobile_named": "select m.*, t.currency_preference from mobile_base m left join tenant t using (company_id)",
     "mobile_found": """
 select b.*, b.busy_days + coalesce(l.n,0) mobile_anomalies from mobile_base b
  left join (select company_id, customer_id, count(*) n from mobile_large group by all) l using (company_id, customer_id)""",
@@ -507,10 +514,18 @@ where low or high""",
     "unified": """
 select c.*, so_far + (x.type is not null)::int anomalies from crossed c left join cross_found x using (company_id, customer_id)""",
     "bank_in": "select f.*, t.bank_w from bank_counted f left join tenant t using (company_id)",
+    "spine_in": """
+select k.company_id, k.customer_id, coalesce(income_consistency, 0) income_consistency, coalesce(avg_daily_balance, 0) avg_daily_balance,
+ coalesce(overdraft_frequency, 0) overdraft_frequency, coalesce(debt_service_ratio, 0) debt_service_ratio, coalesce(emergency_fund_months, 0) emergency_fund_months,
+ coalesce(savings_rate, 0) savings_rate, coalesce(income_volatility, 0) income_volatility, coalesce(f.bank_anomalies, 0) bank_anomalies, t.bank_w
+from (select distinct company_id, customer_id from bank_raw) k
+ left join (select * from bank_counted where customer_id%11<>0) f on f.company_id=k.company_id and f.customer_id=k.customer_id
+ left join tenant t on t.company_id=k.company_id""",
     "crb_in": "select f.*, t.crb_w from crb_ok f left join tenant t using (company_id)",
     "mobile_in": "select f.*, t.mobile_w from mobile_found f left join tenant t using (company_id)",
     "unified_in": "select f.*, t.unified_w, t.currency_preference, t.language_preference from unified f left join tenant t using (company_id)",
     **_score("bank_in", "500.0::double", _bank_rules(), "bank_score", MODULE_TIER),
+    **_score("spine_in", "500.0::double", _bank_rules(), "spine_score", MODULE_TIER),
     **_score("crb_in", "500.0::double", _crb_rules(), "crb_score", MODULE_TIER),
     **_score("mobile_in", "500.0::double", _mobile_rules(), "mobile_score", MODULE_TIER),
     **_score("unified_in", "500.0::double", _unified_rules(), "behavioral_score", UNIFIED_TIER),
@@ -695,6 +710,11 @@ group by c.company_id, c.customer_id, c.base_score"""
 BANK_PARTS = list(dict.fromkeys(r[1] for r in _bank_rules()))
 MODULES = (("bank", "bank_score"), ("crb", "crb_score"), ("mobile", "mobile_score"), ("unified", "behavioral_score"))
 
+TENANT_CONFIG = """select company_id, "version", coalesce(language_preference,'en') language_preference, coalesce(currency_preference,'KES') currency_preference,
+ 'Africa/Nairobi' timezone, true is_active, coalesce(max_file_size_mb,20) max_file_size_mb, rules rules_raw,
+ case when rules like '[%' or rules like '{%' then 3 end rule_count, case when rules like '[%' then 'savings' when rules like '{%' then 'income' end first_category,
+ cast(bank_w->>'$.overdraft_penalty' as double) overdraft_penalty, cast(unified_w->>'$.anomaly_penalty_per_anomaly' as double) per_anomaly, text tone
+ from tenant join tone_text using (company_id)"""
 _BODIES: dict[str, str] = {
     "q_crb_validate": f"""select {K}, case when payment_performance_score between 0 and 100 and credit_utilization_ratio between 0 and 100
  then 'valid' else 'rejected' end verdict, recent_late_payments, credit_inquiries, payment_performance_score, credit_utilization_ratio from crb_raw""",
@@ -720,11 +740,8 @@ union all select statement_id, {K}, case when substr(statement_id,2)::bigint%3=1
  from parsed where statement_id like 'S%' and substr(case when statement_id like 'S%' then statement_id else 'S0' end,2)::bigint%3<>0""",
     "q_result_messages": f"""select company_id || '-' || customer_id job_id, {K}, 'COMPLETED' status,
  '/api/v1/analytics/results/' || company_id || '-' || customer_id result_url, substring(analysis_summary,1,200) || '...' brief_summary from summaries""",
-    "q_tenant_config": """select company_id, "version", coalesce(language_preference,'en') language_preference, coalesce(currency_preference,'KES') currency_preference,
- 'Africa/Nairobi' timezone, true is_active, coalesce(max_file_size_mb,20) max_file_size_mb, rules rules_raw,
- case when rules like '[%' or rules like '{%' then 3 end rule_count, case when rules like '[%' then 'savings' when rules like '{%' then 'income' end first_category,
- cast(bank_w->>'$.overdraft_penalty' as double) overdraft_penalty, cast(unified_w->>'$.anomaly_penalty_per_anomaly' as double) per_anomaly, text tone
- from tenant join tone_text using (company_id)""",
+    "q_tenant_config": TENANT_CONFIG,
+    "q_tenant_snapshot": TENANT_CONFIG,
     "q_clean_txn": f"select {K}, seq, date txn_date, description, amount::double amount from bank_raw where try_cast(date as date) is not null",
     "q_txn_amounts": f"""select {K}, seq, case when type='credit' then amount else 0 end::double credit_amount, case when type='debit' then amount else 0 end::double debit_amount,
  case when type='credit' then amount when type='debit' then -amount else 0 end::double net_change, case when type='credit' then amount else -amount end::double net_flow
@@ -775,7 +792,8 @@ from (select 'J' || o_orderkey job_id from orders union select 'E' || event_id f
     "q_infer_balance": f"select {K}, seq, strftime(txn_date,'%Y-%m-%d') txn_date, inferred_balance::double inferred_balance from bank_inferred",
     "q_job_status": "select job_id, status, message from last_status",
     "q_top_factors": _factor_rows(),
-    "q_metrics_all": f"{METRIC} linked_basemetrics union all {METRIC} linked_bankmetrics union all {_metric_union('crb_ok', 'crb', CRB_METRICS)} union all {_metric_union('crossed', 'cross', CROSS_METRICS)}",
+    "q_metrics_all": f"{METRIC} linked_basemetrics union all {METRIC} linked_bankmetrics union all {_metric_union('crb_ok', 'crb', CRB_METRICS)} union all {_metric_union('crossed', 'cross', CROSS_METRICS)}"
+    f" union all {_metric_union('mobile_named', 'mobile', MOBILE_METRICS)}",
     "q_anomalies_all": f"select {K}, {ANOMALY} from linked_txn_anomalies union all {_long_flags('linked_flags', 'bank')} union all {_long_flags('crb_flags', 'crb')}"
     f" union all select {K}, {ANOMALY} from mobile_txn_anomalies union all {_long_flags('cross_found', 'cross')}",
     "q_transactions_all": f"""select 'bank' source, {K}, seq, strftime(txn_date,'%Y-%m-%d') txn_date, description, amount::double amount, type, category, inferred_balance::double balance_after from bank_inferred
@@ -789,6 +807,7 @@ from (select 'J' || o_orderkey job_id from orders union select 'E' || event_id f
     "q_bank_features": f"""select {K}, avg_monthly_income, round(income_consistency,4) income_consistency, total_spending, spending_to_income_ratio, loan_repayments, avg_daily_balance, min_balance, max_balance,
  savings_rate, round(income_volatility,4) income_volatility, overdraft_frequency, debt_service_ratio, emergency_fund_months, cash_flow_variance, bank_anomalies from bank_counted""",
     "q_bank_score": f"select {K}, bank_score, risk_level, rules_fired from bank_score_out",
+    "q_bank_score_spine": f"select {K}, spine_score bank_score, risk_level, rules_fired from spine_score_out",
     "q_crb_score": f"select {K}, crb_score, risk_level, rules_fired from crb_score_out",
     "q_mobile_score": f"select {K}, mobile_score, risk_level, rules_fired from mobile_score_out",
     "q_unified_score": f"select {K}, behavioral_score, risk_level, rules_fired from behavioral_score_out",

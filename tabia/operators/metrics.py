@@ -131,6 +131,21 @@ def bureau_metrics(features: DataFrame) -> DataFrame:
     return _long(features, "crb", metrics)
 
 
+def mobile_metrics(features: DataFrame, currency: Column, keys=KEY) -> DataFrame:
+    """The mobile-money module's metrics; its features are this engine's own definitions."""
+    metrics = [
+        _metric(36, "Average Daily Mobile Spending", _rounded("daily_spending_mean", 2), currency,
+                "Average mobile money spending on days with spending"),
+        _metric(37, "Mobile Loan Repayment Ratio", _rounded("loan_repayment_ratio", 3), None,
+                "Ratio of mobile loan repayments to money received"),
+        _metric(38, "Number of Remittances", F.col("remittance_frequency"), None,
+                "Count of money sent and received"),
+        _metric(39, "High Activity Days", F.col("busy_days"), None,
+                "Number of days with more than 10 mobile money transactions"),
+    ]
+    return _long(features, "mobile", metrics, keys)
+
+
 def cross_metrics(unified: DataFrame) -> DataFrame:
     metrics = [
         _metric(33, "Data Completeness Score", _rounded("data_completeness_score", 2), None,

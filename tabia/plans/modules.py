@@ -10,7 +10,7 @@ from tabia.operators.model import LinearScorer
 from tabia.operators.spread import SPLIT_SPAN, attach_tenant, is_small
 from tabia.schemas import KEY
 from tabia.sources.tenants import currency
-from tabia.sources.transactions import dated, read_crb
+from tabia.sources.transactions import complete, dated, latest_crb, one_crb, read_crb
 
 MONEY_NAME = ["currency_preference"]
 
@@ -38,7 +38,26 @@ class Tenants:
 
 
 def prepared(txn: DataFrame, tenants: Tenants, span: int = SPLIT_SPAN) -> DataFrame:
-    return ledger.prepare(txn, tenants.settings, tenants.small, span)
+    """The rows with all required fields and a readable date; ``quarantined`` lists the others."""
+    return ledger.prepare(complete(txn)[0], tenants.settings, tenants.small, span)
+
+
+def customers_of(txn: DataFrame) -> DataFrame:
+    """All customers of an unprepared source, also those without one usable row."""
+    return txn.select(*KEY).distinct()
+
+
+def with_customers(rows: DataFrame, customers: DataFrame | None, count: str) -> DataFrame:
+    """A row for each of ``customers``; one without usable transactions has no features and no anomalies."""
+    if customers is None:
+        return rows
+    spine = customers.select(*KEY).distinct()
+    return spine.join(rows, list(KEY), "left").withColumn(count, F.coalesce(count, F.lit(0)))
+
+
+def bureau_records(records: DataFrame) -> DataFrame:
+    """The valid bureau records, one of each customer."""
+    return read_crb(one_crb(records))[0]
 
 
 def bank_base(txn: DataFrame) -> Base:
@@ -54,51 +73,75 @@ def quarantined(bank: DataFrame, records: DataFrame, mobile: DataFrame) -> DataF
     """The input rows that the modules leave out, with the reason, for the caller to store."""
     keys = [F.col(k) for k in KEY]
 
-    def undated(txn, source):
-        return dated(txn)[1].select(
-            F.lit(source).alias("source"), *keys, "seq", F.lit("unparsable date").alias("reason")
+    def unusable(txn, source):
+        full, lacking = complete(txn)
+        undated = dated(full)[1].select(*keys, "seq", F.lit("unparsable date").alias("reason"))
+        lacking = lacking.select(*keys, "seq", F.lit("required field missing").alias("reason"))
+        return undated.unionByName(lacking).select(F.lit(source).alias("source"), "*")
+
+    def left_out(rows, reason):
+        return rows.select(
+            F.lit("crb").alias("source"), *keys, F.lit(None).cast("bigint").alias("seq"), reason.alias("reason")
         )
 
-    refused = read_crb(records)[1].select(
-        F.lit("crb").alias("source"),
-        *keys,
-        F.lit(None).cast("bigint").alias("seq"),
-        F.lit("missing or out of range").alias("reason"),
+    kept, others = latest_crb(records)
+    refused = left_out(read_crb(kept)[1], F.lit("missing or out of range"))
+    return (
+        unusable(bank, "bank")
+        .unionByName(unusable(mobile, "mobile"))
+        .unionByName(refused)
+        .unionByName(left_out(others, F.col("reason")))
     )
-    return undated(bank, "bank").unionByName(undated(mobile, "mobile")).unionByName(refused)
 
 
-def bank_features(txn: DataFrame | Base) -> DataFrame:
-    """Bank features with the module's own anomaly count."""
-    return anomalies.with_bank_count(features.bank_features(txn), txn)
+def bank_features(txn: DataFrame | Base, customers: DataFrame | None = None) -> DataFrame:
+    """Bank features with the module's own anomaly count, for all ``customers`` where they are given."""
+    rows = anomalies.with_bank_count(features.bank_features(txn), txn)
+    return with_customers(rows, customers, "bank_anomalies")
 
 
-def mobile_features(txn: DataFrame | Base) -> DataFrame:
-    return anomalies.with_mobile_count(features.mobile_features(txn), txn)
+def mobile_features(txn: DataFrame | Base, customers: DataFrame | None = None) -> DataFrame:
+    rows = anomalies.with_mobile_count(features.mobile_features(txn), txn)
+    return with_customers(rows, customers, "mobile_anomalies")
 
 
 def bureau_features(records: DataFrame) -> DataFrame:
-    valid, _ = read_crb(records)
-    return anomalies.with_bureau_count(features.bureau_features(valid))
+    return anomalies.with_bureau_count(features.bureau_features(bureau_records(records)))
 
 
-def bank_score(txn: DataFrame | Base, tenants: Tenants) -> DataFrame:
-    return scoring.bank_score(bank_features(txn), tenants.settings, tenants.small)
+def bank_score(
+    txn: DataFrame | Base, tenants: Tenants, customers: DataFrame | None = None
+) -> DataFrame:
+    """With ``customers`` (``customers_of`` the unprepared rows) nobody is missing for want of a usable row."""
+    return scoring.bank_score(bank_features(txn, customers), tenants.settings, tenants.small)
 
 
 def bureau_score(records: DataFrame, tenants: Tenants) -> DataFrame:
     return scoring.bureau_score(bureau_features(records), tenants.settings, tenants.small)
 
 
-def mobile_score(txn: DataFrame | Base, tenants: Tenants) -> DataFrame:
-    return scoring.mobile_score(mobile_features(txn), tenants.settings, tenants.small)
+def mobile_score(
+    txn: DataFrame | Base, tenants: Tenants, customers: DataFrame | None = None
+) -> DataFrame:
+    return scoring.mobile_score(mobile_features(txn, customers), tenants.settings, tenants.small)
+
 
+def unified_features(
+    bank: DataFrame | Base,
+    records: DataFrame,
+    mobile: DataFrame | Base,
+    bank_customers: DataFrame | None = None,
+    mobile_customers: DataFrame | None = None,
+) -> DataFrame:
+    """Combined features with all anomaly counts, from prepared transactions.
 
-def unified_features(bank: DataFrame | Base, records: DataFrame, mobile: DataFrame | Base) -> DataFrame:
-    """Combined features with all anomaly counts, from prepared transactions."""
+    A source counts as present for all its customers, where these are given.
+    """
     return anomalies.with_cross_count(
         features.unified_features(
-            bank_features(bank), bureau_features(records), mobile_features(mobile)
+            bank_features(bank, bank_customers),
+            bureau_features(records),
+            mobile_features(mobile, mobile_customers),
         )
     )
 
@@ -109,13 +152,15 @@ def unified_score(
     mobile: DataFrame | Base,
     tenants: Tenants,
     scorer: LinearScorer | None = None,
+    bank_customers: DataFrame | None = None,
+    mobile_customers: DataFrame | None = None,
 ) -> DataFrame:
     """Combined score with summary and localisation.
 
     With a ``scorer`` the rules start from its prediction, kept in ``base_score``,
     and ``score_explanation`` holds its factors; else they start from 500.
     """
-    rows = unified_features(bank, records, mobile)
+    rows = unified_features(bank, records, mobile, bank_customers, mobile_customers)
     if scorer is not None:
         rows = rows.withColumns(
             {"base_score": scorer.prediction(), "score_explanation": scorer.contributions()}
@@ -160,8 +205,7 @@ def bank_anomalies(txn: DataFrame | Base, tenants: Tenants) -> DataFrame:
 
 
 def bureau_anomalies(records: DataFrame) -> DataFrame:
-    valid, _ = read_crb(records)
-    return anomalies.bureau_anomalies(features.bureau_features(valid))
+    return anomalies.bureau_anomalies(features.bureau_features(bureau_records(records)))
 
 
 def all_anomalies(
@@ -178,14 +222,13 @@ def all_anomalies(
 def all_metrics(
     bank: DataFrame | Base, records: DataFrame, mobile: DataFrame | Base, tenants: Tenants
 ) -> DataFrame:
-    valid, _ = read_crb(records)
-    crb = features.bureau_features(valid)
-    unified = features.unified_features(
-        features.bank_features(bank), crb, features.mobile_features(mobile)
-    )
+    crb = features.bureau_features(bureau_records(records))
+    mobile_rows = features.mobile_features(mobile)
+    unified = features.unified_features(features.bank_features(bank), crb, mobile_rows)
     return (
         bank_metrics(bank, tenants)
         .unionByName(metrics.bureau_metrics(crb))
+        .unionByName(metrics.mobile_metrics(tenants.attach(mobile_rows, *MONEY_NAME), currency()))
         .unionByName(metrics.cross_metrics(unified))
     )
 

@@ -1,5 +1,6 @@
 """Every operator as a query over the test tables: name -> (spark, sf_dir) -> DataFrame."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,9 +12,10 @@ from tabia.operators import (
 from tabia.plans import modules
 from tabia.plans.modules import Tenants
 from tabia.schemas import KEY
-from tabia.session import settled
+from tabia.session import settled, shared_folder
 from tabia.sources import driver_tables as tables
 from tabia.sources import statements as stm
+from tabia.sources.settings_log import SettingsLog
 from tabia.sources.tenants import currency, current_settings, read_tenant_config
 from tabia.sources.transactions import (
     bureau_defaults, dated, explode_transactions, has_ids, latest_crb, read_crb, valid_bureau,
@@ -205,7 +207,22 @@ def q_result_messages(spark, d):
 
 @query
 def q_tenant_config(spark, d):
-    config = read_tenant_config(current_settings(tables.tenant_updates(spark, d)))
+    return _config_rows(read_tenant_config(current_settings(tables.tenant_updates(spark, d))))
+
+
+@query
+def q_tenant_snapshot(spark, d):
+    """The settings from a stored log: three batches, a snapshot of the first two."""
+    log = SettingsLog.create(spark, f"{shared_folder(spark)}/settings-{uuid.uuid4().hex}")
+    updates = tables.tenant_updates(spark, d)
+    for batch in range(3):
+        log.append(updates.where(F.col("version") % 3 == batch), batch)
+        if batch == 1:
+            log.compact(batch)
+    return _config_rows(read_tenant_config(log.current()))
+
+
+def _config_rows(config):
     return config.select(
         "company_id",
         "version",
@@ -558,6 +575,15 @@ def q_bank_score(spark, d):
     return _score_rows(modules.bank_score(_bank_base(spark, d, tenants), tenants), "bank_score")
 
 
+@query
+def q_bank_score_spine(spark, d):
+    """Scores of all customers, where every eleventh has no readable date at all."""
+    rows = tables.partly_undated_bank_txn(spark, d)
+    tenants = _tenants(spark, d)
+    base = modules.bank_base(modules.prepared(rows, tenants, tables.BANK_SPAN))
+    return _score_rows(modules.bank_score(base, tenants, modules.customers_of(rows)), "bank_score")
+
+
 @query
 def q_crb_score(spark, d):
     return _score_rows(modules.bureau_score(tables.crb(spark, d), _tenants(spark, d)), "crb_score")

@@ -79,6 +79,12 @@ def linked_bank_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank_txn(spark, sf_dir).where(LINKED_BANK)
 
 
+def partly_undated_bank_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bank transactions; those of every eleventh customer have no readable date."""
+    date = F.when(F.col("customer_id") % 11 == 0, "not-a-date").otherwise(F.col("date"))
+    return bank_txn(spark, sf_dir).withColumn("date", date)
+
+
 def transaction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with a list of bank transactions, one for each order of a customer."""
     fields = "date", "description", "amount", "type", "balance_after"

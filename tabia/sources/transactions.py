@@ -71,6 +71,22 @@ def scoped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(has_ids()), rows.where(~has_ids())
 
 
+REQUIRED = ("date", "description", "amount", "type")
+
+
+def has_required() -> Column:
+    """Date, description, amount and type are there; an unreadable date is another matter (``dated``)."""
+    there = F.lit(True)
+    for name in REQUIRED:
+        there = there & F.col(name).isNotNull()
+    return there
+
+
+def complete(txn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with all required fields, rows without)."""
+    return txn.where(has_required()), txn.where(~has_required())
+
+
 def dated(txn: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with a calendar date in ``txn_date``, rows whose date is unparsable)."""
     parsed = txn.withColumn("txn_date", parse_date(F.col("date")))
@@ -129,3 +145,16 @@ def latest_crb(records: DataFrame, order: str | None = None) -> tuple[DataFrame,
     others = both.where(F.col("_by") != F.col("_last"))
     reason = F.lit("another record of the customer is kept").alias("reason")
     return kept.drop("_by", "_last"), others.drop("_by", "_last").select("*", reason)
+
+
+def one_crb(records: DataFrame, order: str | None = None) -> DataFrame:
+    """The record of each customer that ``latest_crb`` keeps, in one pass and without a join."""
+    values = [c for c in records.columns if c not in KEY]
+    place = F.col(order) if order else F.lit(0)
+    by = F.struct(valid_bureau(), place, F.xxhash64(F.to_json(F.struct(*values))))
+    return (
+        bureau_defaults(records)
+        .groupBy(*KEY)
+        .agg(F.max_by(F.struct(*values), by).alias("_record"))
+        .select(*KEY, "_record.*")
+    )

@@ -251,3 +251,42 @@ def test_one_bureau_record_of_a_customer(spark):
     kept, others = latest_crb(spark.createDataFrame(rows, fields), "day")
     assert sorted((r.company_id, r.customer_id, r.day) for r in kept.collect()) == [("a", "1", 2), ("a", "2", 1), ("b", "1", 1)]
     assert sorted((r.customer_id, r.day) for r in others.collect()) == [("1", 1), ("1", 3)]
+    from tabia.sources.transactions import one_crb
+
+    frame = spark.createDataFrame(rows, fields)
+    for order in ("day", None):
+        kept, _ = latest_crb(frame, order)
+        assert sorted(map(str, one_crb(frame, order).select(*kept.columns).collect())) == sorted(map(str, kept.collect()))
+
+
+def test_required_fields_and_customers_without_a_usable_row(spark):
+    from tabia.plans import modules
+    from tabia.sources.tenants import current_settings, read_tenant_config
+    from tests.helpers import TXN, transactions
+
+    good = ("1", 1, "2023-01-01", "SALARY", 2000, "credit", None)
+    rows = transactions(spark, [
+        good, ("1", 2, "2023-01-02", "x", None, "debit", None), ("1", 3, "2023-01-02", None, 5, "debit", None),
+        ("1", 4, "2023-01-02", "x", 5, None, None), ("1", 5, None, "x", 5, "debit", None),
+        ("2", 1, "soon", "x", 5, "debit", None), ("3", 1, "2023-01-01", "x", None, "debit", None),
+    ])
+    log = spark.createDataFrame([], "company_id string, version bigint, currency_preference string")
+    tenants = modules.Tenants(read_tenant_config(current_settings(log)))
+    txn = modules.prepared(rows, tenants)
+    assert [r.seq for r in txn.collect()] == [1]
+    alone = {r.customer_id: r.bank_score for r in modules.bank_score(modules.prepared(transactions(spark, [good]), tenants), tenants).collect()}
+    scores = {r.customer_id: r for r in modules.bank_score(txn, tenants, modules.customers_of(rows)).collect()}
+    assert set(scores) == {"1", "2", "3"} and scores["1"].bank_score == alone["1"]
+    assert scores["2"].bank_score == scores["3"].bank_score and scores["2"].components == scores["3"].components
+    none = spark.createDataFrame([], TXN)
+    records = spark.createDataFrame(
+        [("A", "1", 5, 50.0, 10.0, 0, 0), ("A", "1", 5, 60.0, 10.0, 0, 0), ("A", "2", 5, 160.0, 10.0, 0, 0)],
+        "company_id string, customer_id string, credit_history_months int, payment_performance_score double, credit_utilization_ratio double, recent_late_payments int, credit_inquiries int",
+    )
+    found = sorted((r.source, r.customer_id, r.seq or 0, r.reason) for r in modules.quarantined(rows, records, none).collect())
+    missing = "required field missing"
+    assert found == [
+        ("bank", "1", 2, missing), ("bank", "1", 3, missing), ("bank", "1", 4, missing), ("bank", "1", 5, missing),
+        ("bank", "2", 1, "unparsable date"), ("bank", "3", 1, missing),
+        ("crb", "1", 0, "another record of the customer is kept"), ("crb", "2", 0, "missing or out of range"),
+    ]

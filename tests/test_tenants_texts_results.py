@@ -121,3 +121,45 @@ def test_settled_frames_are_read_from_the_shared_folder(spark, capsys):
         assert "ExistingRDD" in capsys.readouterr().out
     else:
         assert kept is frame
+
+
+def test_settings_log_equals_the_full_fold(spark, tmp_path):
+    from tabia.sources.settings_log import SettingsLog
+
+    log = SettingsLog.create(spark, str(tmp_path / "settings"))
+    assert log.current().count() == 0
+    fields = "company_id string, version bigint, currency_preference string, timezone string, max_file_size_mb int"
+    batches = [
+        [("A", 1, "UGX", None, 5), ("B", 7, None, "Z", None), ("C", 1, None, None, None)],
+        [("A", 5, None, "X", None), ("B", 2, "TZS", "late", 3)],  # an older version in a later batch
+        [("A", 5, "KES", "Y", None), ("D", 1, "USD", None, 1), (None, 1, "USD", None, None)],
+        [("B", 8, None, None, 9)],
+    ]
+    seen = []
+
+    def check():
+        want = tn.current_settings(spark.createDataFrame(seen, fields))
+        got = log.current().select(*want.columns)
+        key = lambda row: tuple(str(v) for v in row)
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+    for number, rows in enumerate(batches):
+        log.append(spark.createDataFrame(rows, fields), number)
+        seen += rows
+        check()
+        if number == 1:
+            log.compact(1)
+            check()
+    # the replay of a batch replaces it, that of a covered one changes nothing
+    log.append(spark.createDataFrame(batches[3], fields), 3)
+    log.append(spark.createDataFrame(batches[0], fields), 0)
+    check()
+    # a snapshot that no commit names is not read, and is written again
+    spark.createDataFrame([("A", 99)], "company_id string, version bigint").write.parquet(str(tmp_path / "settings/snapshots/upto=3"))
+    check()
+    log.compact(3)
+    log.compact(2)
+    assert log.covered() == 3 and log.tail(3).count() == 0
+    check()
+    plan = log.tail(1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan
