@@ -29,16 +29,23 @@ def n_grams(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def followers(tokens: str) -> Column:
+    """The tokens from the second on."""
+    return F.slice(F.col(tokens), 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
+
+
+def in_bin(bins: int, *tokens) -> Column:
+    return F.pmod(F.xxhash64(*tokens), F.lit(bins)).cast("int")
+
+
 def binned(tokens: str, bins: int = BINS) -> Column:
     """Bins of all unigrams, then of all bigrams, of the token column."""
-    col = F.col(tokens)
-    after = F.slice(col, 2, F.greatest(F.size(col) - 1, F.lit(0)))
     pairs = F.slice(
-        F.zip_with(col, after, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(bins)).cast("int")),
+        F.zip_with(F.col(tokens), followers(tokens), lambda a, b: in_bin(bins, a, b)),
         1,
-        F.greatest(F.size(col) - 1, F.lit(0)),
+        F.greatest(F.size(tokens) - 1, F.lit(0)),
     )
-    return F.concat(F.transform(col, lambda t: F.pmod(F.xxhash64(t), F.lit(bins)).cast("int")), pairs)
+    return F.concat(F.transform(F.col(tokens), lambda t: in_bin(bins, t)), pairs)
 
 
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -56,7 +63,8 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, bins: int = BINS) -> list[floa
 
     Counts are combined before the shuffle and there are ``bins`` of them, which
     is all that reaches the driver. The trusted ids are broadcast; their number
-    is bounded by TRUSTED_ROWS.
+    is bounded by TRUSTED_ROWS. Tokens become rows before they are hashed, which
+    keeps the hashing in generated code; the bins are those of ``binned``.
     """
     known = F.broadcast(trusted_ids(labels))
     grams = (
@@ -64,8 +72,11 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, bins: int = BINS) -> list[floa
         .join(known, F.col("doc_id") == F.col("trusted_id"), "left")
         .select(
             F.col("trusted_id").isNotNull().cast("long").alias("trusted"),
-            F.explode(binned("tokens", bins)).alias("bin"),
+            F.explode(F.arrays_zip(F.col("tokens").alias("token"), followers("tokens").alias("after"))).alias("g"),
         )
+        .select("trusted", in_bin(bins, "g.token").alias("one"), F.when(F.col("g.after").isNotNull(), in_bin(bins, "g.token", "g.after")).alias("two"))
+        .select("trusted", F.explode(F.array("one", "two")).alias("bin"))
+        .where(F.col("bin").isNotNull())
     )
     counts = grams.groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("good"))
     raw, good = [0] * bins, [0] * bins
