@@ -710,6 +710,39 @@ group by c.company_id, c.customer_id, c.base_score"""
 BANK_PARTS = list(dict.fromkeys(r[1] for r in _bank_rules()))
 MODULES = (("bank", "bank_score"), ("crb", "crb_score"), ("mobile", "mobile_score"), ("unified", "behavioral_score"))
 
+# The ridge regression of customers' balances on the 24 features, by its normal equations: features and label are
+# standardised by population moments, X'X/n gets the penalty over the label's deviation on its diagonal, and a
+# Gauss-Jordan elimination with one pivot a step solves it (positive definite, so pivots stay positive).
+FEATURES = len(VECTOR)
+WIDTH = FEATURES + 1
+REG = 0.1
+TABLES["labelled"] = (
+    f"select u.company_id, u.customer_id, [{', '.join(f'coalesce({c}::double,0)' for c in VECTOR)}, c_acctbal/10]::double[] xs"
+    " from unified u join customer on u.company_id='T'||c_nationkey and u.customer_id::varchar=c_custkey::varchar"
+)
+TABLES["moments"] = f"""
+select list(m order by j) m, list(case when s>1e-12*greatest(abs(m),1e-300) then s else 0 end order by j) s
+from (select j, avg(x) m, stddev_pop(x) s from (select generate_subscripts(xs,1) j, unnest(xs) x from labelled) group by j)"""
+TABLES["standardised"] = f"""
+select list_transform(range(1,{WIDTH + 1}), lambda j: case when s[j]=0 then 0 else (xs[j]-m[j])/s[j] end) z
+from labelled cross join moments"""
+TABLES["normal_equations"] = f"""
+select list(v order by i, j) a from (select i, j, avg(z[i]*z[j]) + case when i=j then {REG}/any_value(s[{WIDTH}]) else 0 end v
+ from standardised cross join moments, range(1,{FEATURES + 1}) r(i), range(1,{WIDTH + 1}) c(j) group by i, j)"""
+TABLES["solved"] = f"""
+with recursive step(k, a) as (select 0, a from normal_equations union all
+ select k+1, list_transform(range(0,{FEATURES * WIDTH}), lambda t: case when t//{WIDTH}=k then a[k*{WIDTH}+1+t%{WIDTH}]/a[k*{WIDTH}+1+k]
+  else a[t+1]-a[(t//{WIDTH})*{WIDTH}+1+k]*a[k*{WIDTH}+1+t%{WIDTH}]/a[k*{WIDTH}+1+k] end) from step where k<{FEATURES})
+select list_transform(range(1,{FEATURES + 1}), lambda j: case when s[j]=0 then 0 else a[j*{WIDTH}]*s[{WIDTH}]/s[j] end) w, m[{WIDTH}] y, m
+from step cross join moments where k={FEATURES}"""
+TABLES["fitted"] = f"""
+select w, y - list_sum(list_transform(range(1,{FEATURES + 1}), lambda j: w[j]*m[j])) b from solved"""
+TABLES["all_vectors"] = (
+    f"select {K}, [{', '.join(f'coalesce({c}::double,0)' for c in VECTOR)}]::double[] xs from unified"
+)
+TABLES["feature_means"] = """
+select list(m order by j) mean from (select j, avg(x) m from (select generate_subscripts(xs,1) j, unnest(xs) x from all_vectors) group by j)"""
+
 TENANT_CONFIG = """select company_id, "version", coalesce(language_preference,'en') language_preference, coalesce(currency_preference,'KES') currency_preference,
  'Africa/Nairobi' timezone, true is_active, coalesce(max_file_size_mb,20) max_file_size_mb, rules rules_raw,
  case when rules like '[%' or rules like '{%' then 3 end rule_count, case when rules like '[%' then 'savings' when rules like '{%' then 'income' end first_category,
@@ -816,6 +849,10 @@ from (select 'J' || o_orderkey job_id from orders union select 'E' || event_id f
     "q_feature_vector": f"select {K}, {', '.join(_vector_column(c) for c in VECTOR)} from unified",
     "q_scorecard_score": f"""select {K}, round(base_score,4) base_score, round(score,4) behavioral_score,
  {UNIFIED_TIER.format('score')} risk_level, {len(SCORECARD)} factors from carded_final""",
+    "q_model_score": f"""select {K}, round(b + list_sum(list_transform(range(1,{WIDTH}), lambda j: xs[j]*w[j])), 4) base_score from all_vectors cross join fitted""",
+    "q_score_explanation": f"""
+select {K}, row_number() over (partition by {K} order by abs(impact) desc, feature) as rank, feature, round(impact, 4)+0.0::double impact
+from (select {K}, {list(VECTOR)}[j] feature, (xs[j]-mean[j])*w[j] impact from all_vectors cross join fitted cross join feature_means, range(1,{WIDTH}) r(j))""",
     "q_unified_summary": f"select {K}, analysis_summary, language, currency from summaries",
     "q_narrative_context": f"""
 select {K}, 'metrics' block, section, position, '- ' || name || case when item is null then '' else ' / ' || item end || ': ' || coalesce({_fixed('value', 2)}, 'n/a') || ' ' || coalesce(unit,'') || ' (' || description || ')' line

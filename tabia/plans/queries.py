@@ -52,6 +52,10 @@ SCORECARD = {
 }
 
 
+#: Ridge penalty of the fitted model.
+REG = 0.1
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -660,7 +664,7 @@ def _fitted(spark, d):
         F.col("c_custkey").alias("customer_id"),
         (F.col("c_acctbal") / 10).alias("label"),
     )
-    return vectors, model.fit(vectors.join(label, list(KEY)), "label", reg=0.1)
+    return vectors, model.fit(vectors.join(label, list(KEY)), "label", reg=REG)
 
 
 @query
@@ -677,13 +681,16 @@ def q_scorecard_score(spark, d):
 @query
 def q_model_score(spark, d):
     vectors, scorer = _fitted(spark, d)
-    return vectors.select(*KEY, scorer.prediction().alias("base_score"))
+    return vectors.select(*KEY, F.round(scorer.prediction(), 4).alias("base_score"))
 
 
 @query
 def q_score_explanation(spark, d):
     vectors, scorer = _fitted(spark, d)
-    return model.explain(vectors, scorer)
+    # one rank for each feature; adding 0 makes a rounded -0 plain
+    return model.explain(vectors, scorer).select(
+        *KEY, F.col("rank").cast("bigint").alias("rank"), "feature", (F.round("impact", 4) + 0.0).alias("impact")
+    )
 
 
 # --- texts -------------------------------------------------------------------------------
