@@ -408,6 +408,54 @@ def test_latent_retrieval_equals_brute_force(spark):
     assert got == want
 
 
+def test_latent_cosine_decides(spark, monkeypatch):
+    """A space without the directions of the items proposes nothing; the true one proposes every planted place."""
+    items = [(k, prose(500 + k, (16, 17, 33, 90)[k % 4])) for k in range(20)]
+    docs = [(k, prose(700 + k, 5 * k + 3) + " " + items[k][1] + " " + prose(800 + k, 40)) for k in range(20)]
+    docs += [(100, ""), (101, items[0][1] + " " + items[0][1]), (102, items[3][1]), (103, None), (104, "x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, k) for k in range(20)} | {(101, 0), (102, 3)}
+    rows = latent_retrieval.contaminated(frame, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+    assert all(0.2 <= r["cosine"] <= 1 for r in rows)
+    exact = latent_retrieval.latent_space
+
+    def other(passages, n_terms, rank):
+        space = exact(passages, n_terms, rank)
+        noise = np.random.default_rng(0).standard_normal((n_terms, 8))
+        noise -= space @ (space.T @ noise)
+        return np.linalg.qr(noise)[0]
+
+    monkeypatch.setattr(latent_retrieval, "latent_space", other)
+    found = {(r["doc_id"], r["item_id"]) for r in latent_retrieval.contaminated(frame, benchmark).collect()}
+    assert len(found & want) < len(want) / 2
+
+
+def test_windows_of_the_latent_search_hold_every_place():
+    rng = np.random.default_rng(4)
+    products = np.vstack([np.eye(40), np.zeros((1, 40))]).astype(np.float32)
+    squares = np.r_[np.ones(40), 0].astype(np.float32)
+    items = [[i] * n for i, n in enumerate([1, 15, 16, 17, 31, 32, 33, 64, 65, 200])]
+    weight = np.sqrt([len(x) for x in items]).astype(np.float32)
+    sizes = latent_retrieval.sizes_of(items)
+    assert sorted(i for of in sizes.values() for i in of.tolist()) == list(range(10))
+    for texts in ([], [[]], [rng.integers(-1, 40, n).tolist() for n in (0, 1, 15, 16, 17, 300, 16500, 3, 40000)]):
+        starts, codes = latent_retrieval.side_by_side(texts, max(sizes))
+        model = (products, squares, weight, sizes)
+        seen = {(i, first): (last, near) for i, first, last, near in latent_retrieval.candidates(codes, model)}
+        for size, of in sizes.items():
+            for first in range(0, len(codes), size):
+                part = codes[first : first + 2 * size]
+                norm = np.sqrt((part >= 0).sum())
+                for i in of.tolist():
+                    spare = (part == i).sum() - latent_retrieval.least_product(max(norm, 1e-4), weight[i])
+                    assert abs(spare) < 1e-4 or ((i, first) in seen) == (spare > 0)
+                    if (i, first) in seen:
+                        last, near = seen[i, first]
+                        assert last == first + 2 * size and near == pytest.approx((part == i).sum() / norm, rel=1e-4)
+
+
 def test_lcs_equals_the_table():
     rng = np.random.default_rng(1)
     for _ in range(50):
