@@ -108,21 +108,31 @@ def failed_statements(statements: DataFrame, ids, text: str = "text") -> DataFra
     )
 
 
-def flatten_ocr_entities(documents: DataFrame, currency: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(transactions, malformed) from document entities of type transaction_line."""
+def ocr_entity_rows(documents: DataFrame, currency: Column | None = None) -> DataFrame:
+    """Document entities of type transaction_line as rows, each with the verdict ``kept`` or ``malformed``; one pass."""
+    # the function keeps the explosion out of the generated method, which with it is too long to be compiled
+    items = F.transform(
+        "entities",
+        lambda e: F.struct((e["type_"] == "transaction_line").alias("is_line"), e["properties"].alias("properties")),
+    )
     lines = documents.select(
-        "document_id", "company_id", "customer_id", F.posexplode("entities").alias("pos", "entity")
-    ).where(F.col("entity.type_") == "transaction_line")
+        "document_id", "company_id", "customer_id", F.posexplode(items).alias("pos", "entity")
+    ).where("entity.is_line")
     p = F.col("entity.properties")
-    rows = lines.select(
+    return lines.select(
         "document_id",
         "company_id",
         "customer_id",
         F.col("pos").cast("bigint").alias("seq"),
         *_named(entity_columns(p, currency if currency is not None else F.lit(None).cast("string"))),
-        malformed_entity(p).alias("_malformed"),
+        F.when(malformed_entity(p), "malformed").otherwise("kept").alias("verdict"),
     )
-    return rows.where("not _malformed").drop("_malformed"), rows.where("_malformed").drop("_malformed")
+
+
+def flatten_ocr_entities(documents: DataFrame, currency: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(transactions, malformed) from document entities of type transaction_line."""
+    rows = ocr_entity_rows(documents, currency)
+    return rows.where("verdict = 'kept'").drop("verdict"), rows.where("verdict = 'malformed'").drop("verdict")
 
 
 def ocr_blocks_to_text(blocks: Column) -> Column:
