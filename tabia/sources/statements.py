@@ -20,16 +20,17 @@ def _lines(text: str) -> Column:
 def parse_statements(statements: DataFrame, ids, text: str = "text") -> DataFrame:
     """Transactions in statement texts; ``seq`` is the line position.
 
-    One regular-expression pass per line: the groups are rewritten to a
-    separated string and split. Lines that do not match are left out.
+    One regular-expression pass per line, before the lines become rows, as a
+    filter on it would run it again: the groups are rewritten to a separated
+    string and split. Lines that do not match are left out.
     """
     has_currency = "currency_preference" in statements.columns
     lines = statements.select(
         *ids,
         *(["currency_preference"] if has_currency else []),
-        F.posexplode(_lines(text)).alias("pos", "line"),
+        F.posexplode(F.transform(_lines(text), line_groups)).alias("pos", "line"),
     )
-    fields = with_line_parts(lines).where(F.col("line").contains(UNIT))
+    fields = with_line_parts(lines.where(F.col("line").contains(UNIT)))
     currency = F.coalesce("currency_preference", F.lit("KES")) if has_currency else F.lit("KES")
     return fields.select(
         *ids,
@@ -38,12 +39,15 @@ def parse_statements(statements: DataFrame, ids, text: str = "text") -> DataFram
     )
 
 
-def with_line_parts(lines: DataFrame) -> DataFrame:
-    """``line`` rewritten to its matched groups, and the groups as ``part``."""
+def line_groups(line: Column) -> Column:
+    """A line rewritten to the separated groups of its transaction; without one it stays as it is."""
     groups = UNIT.join(f"${i}" for i in range(1, 6))
-    return lines.withColumn("line", F.regexp_replace("line", rf"(?s)^.*?{STATEMENT_LINE}.*$", groups)).withColumn(
-        "part", F.split("line", UNIT)
-    )
+    return F.regexp_replace(line, rf"(?s)^.*?{STATEMENT_LINE}.*$", groups)
+
+
+def with_line_parts(lines: DataFrame) -> DataFrame:
+    """The groups of a rewritten ``line`` as ``part``."""
+    return lines.withColumn("part", F.split("line", UNIT))
 
 
 def _named(columns: dict[str, Column]) -> list[Column]:
@@ -206,13 +210,15 @@ def document_transactions(documents: DataFrame, ids) -> DataFrame:
     items = F.when(
         F.col("form") == "entities",
         F.transform("entities", lambda e: F.struct(e.alias("entity"), F.lit(None).cast("string").alias("line"))),
-    ).otherwise(F.transform(_lines("text"), lambda x: F.struct(nothing.alias("entity"), x.alias("line"))))
+    ).otherwise(F.transform(_lines("text"), lambda x: F.struct(nothing.alias("entity"), line_groups(x).alias("line"))))
     rows = documents.select(
         *ids, "form", F.upper(currency).alias("_currency"), F.posexplode(items).alias("pos", "item")
     ).select(*ids, "form", "_currency", "pos", "item.entity", "item.line")
-    found = with_line_parts(rows).where(
-        F.when(F.col("form") == "entities", F.col("entity.type_") == "transaction_line").otherwise(
-            F.col("line").contains(UNIT)
+    found = with_line_parts(
+        rows.where(
+            F.when(F.col("form") == "entities", F.col("entity.type_") == "transaction_line").otherwise(
+                F.col("line").contains(UNIT)
+            )
         )
     )
     p, by_entity = F.col("entity.properties"), F.col("form") == "entities"

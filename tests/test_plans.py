@@ -2,6 +2,7 @@
 
 import re
 
+from tabia.functions.values import LINE_DATE
 from tabia.plans.queries import QUERIES
 from tabia.schemas import OCR_ENTITIES
 from tabia.sources import statements as stm
@@ -49,3 +50,13 @@ def test_the_entity_query_reads_its_source_once_in_compiled_code(spark):
     frame = QUERIES["q_ocr_entities"](spark, SMALL)
     assert frame._jdf.queryExecution().sparkPlan().toString().count("lineitem.parquet") == 1
     assert max(method_sizes(frame)) < COMPILED
+
+
+def test_a_statement_line_is_matched_once(spark):
+    texts = spark.createDataFrame(
+        [("s", "c", "1", "opening\n2023-01-02 Rent 1,500.00 DR 20.00\nnothing"), ("t", "c", "1", None)],
+        "statement_id string, company_id string, customer_id string, text string",
+    )
+    rows = stm.parse_statements(texts, ["statement_id"])
+    assert [(r["seq"], r["description"], r["type"]) for r in rows.collect()] == [(1, "Rent", "debit")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count(LINE_DATE) == 1
