@@ -54,3 +54,14 @@ def test_cents_give_the_features_of_decimals(spark, span, factor, cents):
     assert _all(features.bank_features(base)) == _all(features.bank_features(txn))
     columns = [*KEYS, "seq", "avg_daily_debit", F.col("debit").cast("decimal(38,2)")]
     assert _all(anomalies.large_debit_rows(base).select(*columns)) == _all(anomalies.large_debit_rows(txn).select(*columns))
+
+
+def test_bank_day_rows_flow_into_the_totals_unwritten(spark):
+    """Also the busy days do without them, and sorts start with the customer, who tells more rows apart."""
+    txn = prepared(spark, _rows(3), 7)
+    base = Base(txn)
+    features.bank_features(base).collect()
+    assert _all(anomalies.busy_days(base, "bank")) == _all(anomalies.busy_days(txn, "bank"))
+    anomalies.large_debit_rows(base).collect()
+    assert sorted(base._tables) == ["large", "rows", "totals"]
+    assert "Sort [customer_id" in base.daily()._jdf.queryExecution().executedPlan().toString()
