@@ -15,6 +15,8 @@ chunks with the smallest loss, which are the only ones searched with a queue.
 import heapq
 import math
 import re
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ BLANK = "▁"
 SHORT = 32
 LAST_RESORT = -1e8
 SLICE = 8 << 20
+#: Bits of a hash by which most runs of characters that are no piece are told without a search.
+MARK_BITS = 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +54,7 @@ class Vocabulary:
             raise ValueError("a piece crosses a word's start")
         line = "" if any("\n" in p for p in self.score) else "\n"
         self.chunk = re.compile(f"{BLANK}+[^{BLANK}{line}]*|[^{BLANK}{line}]+" + ("|\n" if line else ""))
-        self.by_length = {}
+        self.by_length, self.marks = {}, {}
         for length in range(1, self.longest + 1):
             own = [(t, s) for t, s in self.score.items() if len(t) == length]
             if own:
@@ -62,6 +66,8 @@ class Vocabulary:
                     np.array([s for _, s in own])[order],
                     np.array([self.ids[t] for t, _ in own])[order],
                 )
+                self.marks[length] = np.zeros(1 << MARK_BITS, bool)
+                self.marks[length][marked(h)] = True
 
     def edge(self, text: str) -> float | None:
         """Score of a piece, or of a single character spelled in bytes."""
@@ -106,6 +112,10 @@ def hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def marked(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
 def chunks_of(text: str, vocabulary: Vocabulary) -> list[str]:
     """The chunks of a text with its leading blank. An empty text has none."""
     if not text:
@@ -162,14 +172,15 @@ def n_best(chunk: str, vocabulary: Vocabulary, n: int = BEST) -> list[tuple[floa
 def short_segments(chunks: list[str], vocabulary: Vocabulary):
     """Best score, loss of the second best, and the pieces (chunk, end, start) of chunks of one length."""
     size = len(chunks[0])
-    codes = np.array([[ord(c) for c in chunk] for chunk in chunks], np.uint64)
-    prefix = hashes(codes)
+    codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, size).astype(np.uint64)
+    prefix = hashes(codes).T.copy()
     n = len(chunks)
-    best = np.full((n, size + 1), -np.inf)
-    best[:, 0] = 0
-    gap = np.full((n, size + 1), np.inf)
-    back = np.zeros((n, size + 1), np.int64)
-    ids = np.full((n, size + 1), -1, np.int64)
+    # a row for each position, so that a step reads whole rows
+    best = np.full((size + 1, n), -np.inf)
+    best[0] = 0
+    gap = np.full((size + 1, n), np.inf)
+    back = np.zeros((size + 1, n), np.int64)
+    ids = np.full((size + 1, n), -1, np.int64)
     power = np.uint64(1)
     powers = []
     with np.errstate(over="ignore"):
@@ -182,42 +193,46 @@ def short_segments(chunks: list[str], vocabulary: Vocabulary):
         second = np.full(n, -np.inf)
         for start in range(max(0, end - vocabulary.longest), end):
             length = end - start
-            score = np.full(n, -np.inf)
-            own = np.full(n, -1, np.int64)
+            # the chunks with an edge here, its score and its piece
+            at, score, own = rows[:0], np.zeros(0), rows[:0]
             if length in vocabulary.by_length:
                 names, scores, piece_ids = vocabulary.by_length[length]
                 with np.errstate(over="ignore"):
-                    h = prefix[:, end] - prefix[:, start] * powers[length]
-                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                hit = names[at] == h
-                score[hit] = scores[at[hit]]
-                own[hit] = piece_ids[at[hit]]
-            if length == 1:
-                missing = own < 0
-                if missing.any():
-                    c = codes[missing, start]
-                    width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-                    score[missing] = vocabulary.byte_score * width
-            total = best[:, start] + score
-            better = total > top
-            second = np.where(better, top, np.maximum(second, total))
-            top = np.where(better, total, top)
-            back[better, end] = start
-            ids[better, end] = own[better]
-        best[:, end] = top
-        gap[:, end] = top - second
+                    h = prefix[end] - prefix[start] * powers[length]
+                at = np.flatnonzero(vocabulary.marks[length][marked(h)])
+                place = np.minimum(np.searchsorted(names, h[at]), len(names) - 1)
+                hit = names[place] == h[at]
+                at, place = at[hit], place[hit]
+                score, own = scores[place], piece_ids[place]
+            if length == 1 and len(at) < n:
+                spelled = np.ones(n, bool)
+                spelled[at] = False
+                c = codes[spelled, start]
+                width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+                at = np.r_[at, rows[spelled]]
+                score = np.r_[score, vocabulary.byte_score * width]
+                own = np.r_[own, np.full(len(c), -1)]
+            total = best[start][at] + score
+            held = top[at]
+            better = total > held
+            second[at] = np.where(better, held, np.maximum(second[at], total))
+            top[at] = np.where(better, total, held)
+            back[end][at[better]] = start
+            ids[end][at[better]] = own[better]
+        best[end] = top
+        gap[end] = top - second
     loss = np.full(n, np.inf)
     ends = np.full(n, size)
     found = []
     live = rows
     while len(live):
         end = ends[live]
-        loss[live] = np.minimum(loss[live], gap[live, end])
-        start = back[live, end]
-        found.append((live, end, start, ids[live, end]))
+        loss[live] = np.minimum(loss[live], gap[end, live])
+        start = back[end, live]
+        found.append((live, end, start, ids[end, live]))
         ends[live] = start
         live = live[start > 0]
-    return best[:, size], loss, tuple(np.concatenate(x) for x in zip(*found))
+    return best[size], loss, tuple(np.concatenate(x) for x in zip(*found))
 
 
 def segmented(chunks: list[str], vocabulary: Vocabulary):
@@ -290,10 +305,8 @@ def listed(parts: list, kind) -> pa.ListArray:
 
 def encoded(texts: list[str], vocabulary: Vocabulary, n: int = BEST):
     """Best ids as an Arrow list array, for each text its n best scores, and the ids of these n as nested lists."""
-    names: dict = {}
-    lines = [
-        np.array([names.setdefault(c, len(names)) for c in chunks_of(x, vocabulary)], np.int64) for x in texts
-    ]
+    names: dict = defaultdict(count().__next__)
+    lines = [np.array(list(map(names.__getitem__, chunks_of(x, vocabulary))), np.int64) for x in texts]
     chunks = list(names)
     score = loss = np.zeros(0)
     flat, offsets = np.zeros(0, np.int64), np.zeros(1, np.int64)
@@ -301,8 +314,9 @@ def encoded(texts: list[str], vocabulary: Vocabulary, n: int = BEST):
         score, loss, flat, offsets = segmented(chunks, vocabulary)
     memo: dict = {}
     best, scores, every = [], [], []
+    pieces = np.diff(offsets)
     for codes in lines:
-        sizes = np.diff(offsets)[codes]
+        sizes = pieces[codes]
         ends = np.cumsum(sizes)
         at = np.repeat(offsets[codes] - (ends - sizes), sizes) + np.arange(sizes.sum())
         own = flat[at].astype(np.int32)
@@ -373,14 +387,19 @@ def decode(pieces: DataFrame, path: str = MODEL) -> DataFrame:
 
 def op3_nbest_pieces(spark, sf_dir):
     found = encode(table(spark, sf_dir, "documents"))
+
+    def digest(ids):
+        return F.sha2(F.concat_ws(" ", ids.cast("array<string>")).cast("binary"), 256)
+
+    # one expression a segmentation, not a function over the list: the cast is then compiled
+    every = [F.when(F.size("segmentations") > k, digest(F.get("segmentations", F.lit(k)))) for k in range(BEST)]
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.get("scores", F.lit(0)).alias("score"),
         "scores",
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        # the first segmentation is the best, whose ids are ``ids``
+        every[0].alias("ids_sha256"),
         "exact",
-        F.transform(
-            "segmentations", lambda x: F.sha2(F.concat_ws(" ", x.cast("array<string>")).cast("binary"), 256)
-        ).alias("segmentations_sha256"),
+        F.array_compact(F.array(*every)).alias("segmentations_sha256"),
     )
