@@ -35,7 +35,7 @@ HIGH_CONTEXT = (5, 3, 5)
 BROADCAST_CONTEXTS = 600_000
 FOLDS = 10
 BLOCK_BYTES = 16 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SCORE_BYTES = 1 << 20
 FLUSH_WORDS = 400_000
 FLUSH_KEYS = 2_000_000
@@ -84,6 +84,11 @@ def coded(size: int, starts: np.ndarray) -> np.ndarray:
     return mask
 
 
+def released() -> None:
+    """Gives back to the system what Arrow holds of freed arrays; workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def texts(batches):
     for batch in batches:
         yield from batch.column("text").to_pylist()
@@ -94,6 +99,13 @@ def packed(numbers: np.ndarray) -> list[bytes]:
     return [raw[i : i + 4] for i in range(0, len(raw), 4)]
 
 
+def packed_array(numbers: np.ndarray) -> pa.Array:
+    """``packed`` as an Arrow array, without an object for each number."""
+    raw = pa.py_buffer(numbers.astype(">u4").tobytes())
+    ends = pa.py_buffer(np.arange(0, 4 * len(numbers) + 1, 4, dtype=np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(numbers), [None, ends, raw])
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([p[0] for p in parts])
     order = np.argsort(at)
@@ -117,8 +129,8 @@ def count(batches):
             part = names[at : at + 50_000]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([kind] * len(part), pa.string()),
-                    pa.array(part, pa.binary()),
+                    pa.repeat(kind, len(part)),
+                    packed_array(part) if isinstance(part, np.ndarray) else pa.array(part, pa.binary()),
                     pa.array(numbers[at : at + 50_000], pa.int64()),
                 ],
                 names=["kind", "key", "n"],
@@ -142,7 +154,7 @@ def count(batches):
             low = [merged(low)]
             held = len(low[0][0])
             if held >= FLUSH_KEYS // 2:
-                yield from rows("l", packed(low[0][0]), low[0][1])
+                yield from rows("l", low[0][0], low[0][1])
                 low, held = [], 0
         if len(found) >= FLUSH_WORDS:
             yield from rows("w", list(found), list(found.values()))
@@ -151,9 +163,10 @@ def count(batches):
     yield from rows("e", [b""], [ends])
     if low:
         at, n = merged(low)
-        yield from rows("l", packed(at), n)
+        yield from rows("l", at, n)
     at = np.flatnonzero(high)
-    yield from rows("h", packed(at), high[at])
+    yield from rows("h", at, high[at])
+    released()
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -424,16 +437,19 @@ def block_asks(batches, with_contexts: bool):
         else:
             for row in rows:
                 own.update(stream(row[3])[0])
-        kinds, names = ["w"] * len(own), list(own)
+        kinds, names = [pa.repeat("w", len(own))], [pa.array(list(own), pa.binary())]
         deep = np.unique(np.concatenate(deep))
         for depth in range(DEPTH, 0, -1):
-            kinds += [str(depth)] * len(deep)
-            names += packed(deep)
-            deep = np.unique(deep >> LOW_BITS)
+            kinds.append(pa.repeat(str(depth), len(deep)))
+            names.append(packed_array(deep))
+            deep = deep >> LOW_BITS  # still sorted
+            deep = deep[np.r_[True, deep[1:] != deep[:-1]]] if len(deep) else deep
+        kinds, names = pa.concat_arrays(kinds), pa.concat_arrays(names)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * len(kinds), pa.int64()), pa.array(kinds, pa.string()), pa.array(names, pa.binary())],
-            names=["block", "kind", "key"],
+            [pa.repeat(pa.scalar(block, pa.int64()), len(kinds)), kinds, names], names=["block", "kind", "key"]
         )
+        del kinds, names, own, deep
+        released()
 
 
 def block_docs(batches):
@@ -526,6 +542,8 @@ def context_tree_scores(docs: DataFrame, broadcast_contexts: int = BROADCAST_CON
         del logs
         tree_of = Contexts(*shared) if shared else Contexts.read_arrow(known_table, root)
         score = code_logs(streams, tree_of, high)
+        del tree_of, streams
+        released()
         return pa.table(
             {
                 "doc_id": docs_table.column("doc_id"),
