@@ -35,7 +35,7 @@ HIGH_CONTEXT = (5, 3, 5)
 BROADCAST_CONTEXTS = 600_000
 FOLDS = 10
 BLOCK_BYTES = 16 << 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 SCORE_BYTES = 1 << 20
 FLUSH_WORDS = 400_000
 FLUSH_KEYS = 2_000_000
@@ -84,11 +84,6 @@ def coded(size: int, starts: np.ndarray) -> np.ndarray:
     return mask
 
 
-def released() -> None:
-    """Gives back to the system what Arrow holds of freed arrays; workers live on for later stages."""
-    pa.default_memory_pool().release_unused()
-
-
 def texts(batches):
     for batch in batches:
         yield from batch.column("text").to_pylist()
@@ -166,7 +161,6 @@ def count(batches):
         yield from rows("l", at, n)
     at = np.flatnonzero(high)
     yield from rows("h", at, high[at])
-    released()
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -448,8 +442,6 @@ def block_asks(batches, with_contexts: bool):
         yield pa.RecordBatch.from_arrays(
             [pa.repeat(pa.scalar(block, pa.int64()), len(kinds)), kinds, names], names=["block", "kind", "key"]
         )
-        del kinds, names, own, deep
-        released()
 
 
 def block_docs(batches):
@@ -543,7 +535,7 @@ def context_tree_scores(docs: DataFrame, broadcast_contexts: int = BROADCAST_CON
         tree_of = Contexts(*shared) if shared else Contexts.read_arrow(known_table, root)
         score = code_logs(streams, tree_of, high)
         del tree_of, streams
-        released()
+        pa.default_memory_pool().release_unused()  # what earlier blocks freed
         return pa.table(
             {
                 "doc_id": docs_table.column("doc_id"),
