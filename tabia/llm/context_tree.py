@@ -13,7 +13,8 @@ training document; the tree is built in Spark, one task for each class of the
 last byte, and is a table with a row for each context that occurs. A small table
 (counted first) is broadcast. A larger one is joined block by block to the
 contexts that a block of documents holds, as the word counts of the base score
-are; both ways give the same scores.
+are, and answers with the logs of the symbols that the block asks for; both ways
+give the same scores.
 """
 
 import math
@@ -39,6 +40,8 @@ CHUNK_BYTES = 4 << 20
 SCORE_BYTES = 1 << 20
 FLUSH_WORDS = 400_000
 FLUSH_KEYS = 2_000_000
+#: Rows whose texts are Python strings at once.
+TEXT_ROWS = 256
 PAD = b" " * DEPTH
 
 
@@ -86,7 +89,9 @@ def coded(size: int, starts: np.ndarray) -> np.ndarray:
 
 def texts(batches):
     for batch in batches:
-        yield from batch.column("text").to_pylist()
+        column = batch.column("text")
+        for at in range(0, len(column), TEXT_ROWS):
+            yield from column.slice(at, TEXT_ROWS).to_pylist()
 
 
 def packed(numbers: np.ndarray) -> list[bytes]:
@@ -286,14 +291,88 @@ def flat(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(c.buffers()[1], np.uint8, width * len(c), width * c.offset).view(kind)
 
 
+def logs_of(batches, root):
+    """Rows (kind, key, ones) of the tree with the logs of all symbols in place of ``ones``."""
+    weight, p, _ = root
+    width = (1 << LOW_BITS) - 1
+    for batch in batches:
+        deep = flat(batch.column("ones"), "<f4", 4 * width).reshape(-1, width)
+        logs = symbol_logs(weight * p + (1 - weight) * deep.astype(np.float64)).astype("<f4")
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("kind"), batch.column("key"), binary_array(logs, np.full(len(logs), logs.shape[1]))],
+            names=["kind", "key", "logs"],
+        )
+
+
+def binary_array(numbers: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Byte strings of ``sizes`` four-byte numbers each."""
+    ends = np.r_[0, 4 * np.cumsum(sizes)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def symbols_of(context: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted contexts once each, with the symbols of equal ones as a bit mask."""
+    if not len(context):
+        return context, masks
+    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    return context[starts], np.bitwise_or.reduceat(masks, starts)
+
+
+def chosen(batches):
+    """Of each context that is in the tree the logs of the symbols in its mask ``n``; rows of words stay as they are."""
+    width = 1 << LOW_BITS
+    for batch in batches:
+        words = batch.filter(pc.equal(batch.column("kind"), "w"))
+        if len(words):
+            yield words
+        deep = batch.filter(batch.column("logs").is_valid())
+        if len(deep):
+            masks = deep.column("n").to_numpy().astype(np.uint32)
+            asked = (masks[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1) == 1
+            logs = flat(deep.column("logs"), "<f4", 4 * width).reshape(-1, width)[asked]
+            yield pa.RecordBatch.from_arrays(
+                [*(deep.column(c) for c in ("block", "kind", "key", "n")), binary_array(logs, np.bitwise_count(masks))],
+                names=["block", "kind", "key", "n", "logs"],
+            )
+
+
 def answered(found: pa.Table, depth: int):
     """The contexts of one depth that are in the tree, in batches."""
     for batch in found.to_batches():
-        own = batch.filter(pc.and_(pc.equal(batch.column("kind"), str(depth)), batch.column("ones").is_valid()))
+        own = batch.filter(pc.equal(batch.column("kind"), str(depth)))
         if len(own):
             yield own
 
 
+def numbers_in(column: pa.Array) -> np.ndarray:
+    """All numbers in a column of byte strings, one after the other."""
+    _, ends, raw = column.buffers()
+    ends = np.frombuffer(ends, np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]].view("<f4") if raw is not None else np.zeros(0, "<f4")
+
+
+def asked_level(names: np.ndarray, masks: np.ndarray, logs: np.ndarray) -> tuple:
+    """Sorted contexts with the logs of their asked symbols, one after the other, the masks and where each starts."""
+    at = names.astype(np.int32)
+    order = np.argsort(at)
+    sizes = np.bitwise_count(masks).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    sizes = sizes[order]
+    starts = np.cumsum(sizes) - sizes
+    moved = logs[np.repeat(first[order] - starts, sizes) + np.arange(len(logs))]
+    # one more, for a symbol that was not asked and so counts for nothing
+    return at[order], np.r_[moved, np.float32(0)], masks[order], starts.astype(np.int32)
+
+
+def picked(found: tuple, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The logs of symbols in rows of a level, which holds those of all symbols or of the asked ones."""
+    if len(found) == 2:
+        return found[1][row, symbol]
+    _, logs, masks, starts = found
+    before = masks[row] & ((np.uint32(1) << symbol.astype(np.uint32)) - np.uint32(1))
+    return logs[starts[row] + np.bitwise_count(before)]
+
+
 def level(names: np.ndarray, parts, root) -> tuple[np.ndarray, np.ndarray]:
     """Sorted contexts and the logs of their symbols; ``parts`` hold P(bit = 1) in the order of ``names``."""
     weight, p, _ = root
@@ -335,14 +414,14 @@ class Contexts:
 
     @classmethod
     def read_arrow(cls, found: pa.Table, root):
-        """From an Arrow table with kind, key, ones; only the logs are held for the whole table."""
-        width = (1 << LOW_BITS) - 1
+        """From an Arrow table with kind, key, n and logs, the answers to what a block asked."""
         levels = {}
         for depth in range(1, DEPTH + 1):
-            names = [flat(own.column("key"), ">u4", 4) for own in answered(found, depth)]
-            if names:
-                deep = (flat(own.column("ones"), "<f4", 4 * width).reshape(-1, width) for own in answered(found, depth))
-                levels[depth] = level(np.concatenate(names), deep, root)
+            own = list(answered(found, depth))
+            if own:
+                names = np.concatenate([flat(x.column("key"), ">u4", 4) for x in own])
+                masks = np.concatenate([x.column("n").to_numpy().astype(np.uint32) for x in own])
+                levels[depth] = asked_level(names, masks, np.concatenate([numbers_in(x.column("logs")) for x in own]))
         return cls(symbol_logs(root[2]).astype(np.float32), levels)
 
     def index(self) -> None:
@@ -363,16 +442,16 @@ class Contexts:
         before = np.bitwise_count(word & ((np.uint32(1) << bit) - np.uint32(1)))
         if found.any():
             row = self.base[context >> LOW_BITS] + before
-            out[found] = self.levels[DEPTH][1][row[found], symbol[found]]
+            out[found] = picked(self.levels[DEPTH], row[found], symbol[found])
         left = np.flatnonzero(~found)
         for depth in range(DEPTH - 1, 0, -1):
             if not len(left) or depth not in self.levels:
                 continue
-            names, logs = self.levels[depth]
+            names = self.levels[depth][0]
             own = context[left] >> (LOW_BITS * (DEPTH - depth))
             row = np.minimum(np.searchsorted(names, own), len(names) - 1)
             hit = names[row] == own
-            out[left[hit]] = logs[row[hit], symbol[left[hit]]]
+            out[left[hit]] = picked(self.levels[depth], row[hit], symbol[left[hit]])
             left = left[~hit]
         out[left] = self.alone[symbol[left]]
         return out
@@ -415,7 +494,10 @@ def in_blocks(batches, limit=BLOCK_BYTES):
 
 
 def block_asks(batches, with_contexts: bool):
-    """The distinct words of every block and, where the tree is not broadcast, its contexts of every depth."""
+    """The distinct words of every block and, where the tree is not broadcast, its contexts of every depth.
+
+    ``mask`` has a bit for each symbol that follows a context in the block.
+    """
     for block, rows in in_blocks(batches):
         own = set()
         deep = [np.zeros(0, np.int32)]
@@ -427,20 +509,23 @@ def block_asks(batches, with_contexts: bool):
                 yield data
 
         if with_contexts:
-            deep += [np.unique(keys(data)[0] >> LOW_BITS) for data, _ in chunks(streams())]
+            deep += [np.unique(keys(data)[0]) for data, _ in chunks(streams())]
         else:
             for row in rows:
                 own.update(stream(row[3])[0])
         kinds, names = [pa.repeat("w", len(own))], [pa.array(list(own), pa.binary())]
         deep = np.unique(np.concatenate(deep))
+        deep, masks = symbols_of(deep >> LOW_BITS, np.uint32(1) << (deep & 31).astype(np.uint32))
+        asked = [pa.nulls(len(own), pa.int64())]
         for depth in range(DEPTH, 0, -1):
             kinds.append(pa.repeat(str(depth), len(deep)))
             names.append(packed_array(deep))
-            deep = deep >> LOW_BITS  # still sorted
-            deep = deep[np.r_[True, deep[1:] != deep[:-1]]] if len(deep) else deep
+            asked.append(pa.array(masks.astype(np.int64)))
+            deep, masks = symbols_of(deep >> LOW_BITS, masks)
         kinds, names = pa.concat_arrays(kinds), pa.concat_arrays(names)
         yield pa.RecordBatch.from_arrays(
-            [pa.repeat(pa.scalar(block, pa.int64()), len(kinds)), kinds, names], names=["block", "kind", "key"]
+            [pa.repeat(pa.scalar(block, pa.int64()), len(kinds)), kinds, names, pa.concat_arrays(asked)],
+            names=["block", "kind", "key", "mask"],
         )
 
 
@@ -503,15 +588,21 @@ def context_tree_scores(docs: DataFrame, broadcast_contexts: int = BROADCAST_CON
     model = spark.sparkContext.broadcast((shared and (shared.alone, shared.levels), root, high))
     del shared
 
-    answers = counts.where("kind = 'w'").select("kind", "key", "n", F.lit(None).cast("binary").alias("ones"))
+    answers = counts.where("kind = 'w'").select("kind", "key", "n", F.lit(None).cast("binary").alias("logs"))
     if not small:
-        deep = contexts.where("kind <> '0'").select("kind", "key", F.lit(None).cast("long").alias("n"), "ones")
-        answers = answers.unionByName(deep)
+        deep = contexts.where("kind <> '0'").select("kind", "key", "ones").mapInArrow(
+            lambda batches: logs_of(batches, model.value[1]), "kind string, key binary, logs binary"
+        )
+        answers = answers.unionByName(deep.withColumn("n", F.lit(None).cast("long")))
     known = (
-        rows.mapInArrow(lambda batches: block_asks(batches, not small), "block long, kind string, key binary")
+        rows.mapInArrow(lambda batches: block_asks(batches, not small), "block long, kind string, key binary, mask long")
         .join(answers, ["kind", "key"], "left")
-        .select("block", "kind", "key", "n", "ones")
+        .select("block", "kind", "key", F.coalesce("n", "mask").alias("n"), "logs")
     )
+    if not small:
+        known = known.mapInArrow(
+            lambda batches: chosen(batches), "block long, kind string, key binary, n long, logs binary"
+        )
 
     def scored(docs_table: pa.Table, known_table: pa.Table) -> pa.Table:
         shared, root, high = model.value
