@@ -65,3 +65,29 @@ def test_bank_day_rows_flow_into_the_totals_unwritten(spark):
     anomalies.large_debit_rows(base).collect()
     assert sorted(base._tables) == ["large", "rows", "totals"]
     assert "Sort [customer_id" in base.daily()._jdf.queryExecution().executedPlan().toString()
+
+
+def _odd(seed):
+    """Rows of which some have no position and so no split, some come twice, and some share a day and a position."""
+    rows = _rows(seed)
+    rows += [(*r[:1], None, *r[2:]) for r in rows[::9]] + rows[::7] + [(*r[:4], r[4] + 1, *r[5:]) for r in rows[::11]]
+    return rows
+
+
+@pytest.mark.parametrize("span", [7, 1 << 20])
+@pytest.mark.parametrize("make", [_rows, _odd])
+def test_customers_that_fit_a_task_are_dealt_once(spark, monkeypatch, make, span):
+    """The rows are exchanged by customer alone, and the results are those of splits, which larger customers still get."""
+    from tabia.operators import base as module
+
+    rows = prepared(spark, [*make(4), ("c0", 1000, "2023-01-02", "Rent", 1e6, "debit", None)], span)
+    whole, cut = Base(rows), Base(rows)
+    assert whole.narrow and whole.cents
+    plan = whole.daily()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    found = [_all(features.customer_totals(whole)), _all(anomalies.large_debit_rows(whole))]
+    monkeypatch.setattr(module, "CUSTOMER_ROWS", 20)
+    assert not cut.narrow
+    assert cut.daily()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    assert [_all(features.customer_totals(cut)), _all(anomalies.large_debit_rows(cut))] == found
+    assert found[1]
