@@ -493,35 +493,44 @@ def in_blocks(batches, limit=BLOCK_BYTES):
         yield (rows[0][0] << 32) + number, rows
 
 
-def block_asks(batches, with_contexts: bool):
+def block_asks(batches, with_contexts: bool, trained_known: bool = False):
     """The distinct words of every block and, where the tree is not broadcast, its contexts of every depth.
 
-    ``mask`` has a bit for each symbol that follows a context in the block.
+    ``mask`` has a bit for each symbol that follows a context in the block. With
+    ``trained_known`` only rows that are not trained on ask for the shorter
+    contexts: the longest ones of a training row are all in the tree.
     """
     for block, rows in in_blocks(batches):
         own = set()
-        deep = [np.zeros(0, np.int32)]
 
-        def streams(rows=rows, own=own):
+        def streams(rows, own=own):
             for row in rows:
                 found, data = stream(row[3])
                 own.update(found)
                 yield data
 
+        def found_keys(rows):
+            parts = [np.unique(keys(data)[0]) for data, _ in chunks(streams(rows))]
+            return np.unique(np.concatenate([np.zeros(0, np.int32), *parts]))
+
+        deep = short = np.zeros(0, np.int32)
         if with_contexts:
-            deep += [np.unique(keys(data)[0]) for data, _ in chunks(streams())]
+            known = [trained_known and row[2] is False for row in rows]
+            short = found_keys(row for row, k in zip(rows, known) if not k)
+            deep = np.union1d(short, found_keys(row for row, k in zip(rows, known) if k)) if any(known) else short
         else:
             for row in rows:
                 own.update(stream(row[3])[0])
         kinds, names = [pa.repeat("w", len(own))], [pa.array(list(own), pa.binary())]
-        deep = np.unique(np.concatenate(deep))
-        deep, masks = symbols_of(deep >> LOW_BITS, np.uint32(1) << (deep & 31).astype(np.uint32))
         asked = [pa.nulls(len(own), pa.int64())]
         for depth in range(DEPTH, 0, -1):
-            kinds.append(pa.repeat(str(depth), len(deep)))
-            names.append(packed_array(deep))
+            at = deep if depth == DEPTH else short
+            context, masks = symbols_of(
+                at >> LOW_BITS * (DEPTH - depth + 1), np.uint32(1) << (at & 31).astype(np.uint32)
+            )
+            kinds.append(pa.repeat(str(depth), len(context)))
+            names.append(packed_array(context))
             asked.append(pa.array(masks.astype(np.int64)))
-            deep, masks = symbols_of(deep >> LOW_BITS, masks)
         kinds, names = pa.concat_arrays(kinds), pa.concat_arrays(names)
         yield pa.RecordBatch.from_arrays(
             [pa.repeat(pa.scalar(block, pa.int64()), len(kinds)), kinds, names, pa.concat_arrays(asked)],
@@ -595,7 +604,7 @@ def context_tree_scores(docs: DataFrame, broadcast_contexts: int = BROADCAST_CON
         )
         answers = answers.unionByName(deep.withColumn("n", F.lit(None).cast("long")))
     known = (
-        rows.mapInArrow(lambda batches: block_asks(batches, not small), "block long, kind string, key binary, mask long")
+        rows.mapInArrow(lambda batches: block_asks(batches, not small, True), "block long, kind string, key binary, mask long")
         .join(answers, ["kind", "key"], "left")
         .select("block", "kind", "key", F.coalesce("n", "mask").alias("n"), "logs")
     )

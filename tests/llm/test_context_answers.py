@@ -53,3 +53,30 @@ def test_an_answer_holds_only_the_asked_symbols_and_gives_the_same_logs():
     for data, starts in ctw.chunks(streams, 500):
         keys, mask = ctw.keys(data)[0], ctw.coded(len(data), starts)
         assert np.array_equal(dense.logs(keys)[mask], picked.logs(keys)[mask])
+
+
+def test_rows_trained_on_ask_for_the_longest_contexts_only():
+    texts = {"rent zz9": False, "ab ab": True, "é": None}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7] * 3, pa.int64()), pa.array(range(3), pa.int64()), pa.array(list(texts.values())), pa.array(list(texts))],
+        names=["part", "doc_id", "held_out", "text"],
+    )
+    (asks,) = ctw.block_asks([batch], True, True)
+    found = {(r["kind"], r["key"]) for r in asks.to_pylist()}
+    assert len(found) == len(asks)
+    wanted = {("w", w) for t in texts for w in ctw.stream(t)[0]}
+    for text, held in texts.items():
+        for data, _ in ctw.chunks([ctw.stream(text)[1]]):
+            for c in (ctw.keys(data)[0][ctw.DEPTH :] >> ctw.LOW_BITS).tolist():
+                for depth in [ctw.DEPTH] if held is False else range(1, ctw.DEPTH + 1):
+                    wanted.add((str(depth), (c >> ctw.LOW_BITS * (ctw.DEPTH - depth)).to_bytes(4, "big")))
+    # what is left are contexts at the padding
+    assert wanted <= found
+    assert ("3", wanted_key(b"ent")) not in found and ("3", wanted_key(b"ab ")) in found
+
+
+def wanted_key(text: bytes) -> bytes:
+    number = 0
+    for byte in reversed(text):  # the last byte on top
+        number = number << ctw.LOW_BITS | byte & 31
+    return number.to_bytes(4, "big")
