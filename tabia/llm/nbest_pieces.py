@@ -31,6 +31,10 @@ BLANK = "▁"
 SHORT = 32
 LAST_RESORT = -1e8
 SLICE = 8 << 20
+#: Characters of the texts whose ids leave in one batch; a text has about ten times as many bytes of ids.
+OUT = 1 << 20
+#: Chunks of one length that are cut at once, which bounds the arrays of the vectorised pass.
+GROUP = 1 << 13
 #: Bits of a hash by which most runs of characters that are no piece are told without a search.
 MARK_BITS = 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -242,7 +246,8 @@ def segmented(chunks: list[str], vocabulary: Vocabulary):
     for k, chunk in enumerate(chunks):
         by_size.setdefault(len(chunk) if len(chunk) <= SHORT else 0, []).append(k)
     parts = []
-    for size, members in by_size.items():
+    runs = ((size, own[low : low + GROUP]) for size, own in by_size.items() for low in range(0, len(own), GROUP))
+    for size, members in runs:
         at = np.array(members)
         if size:
             score[at], loss[at], (row, end, start, ids) = short_segments([chunks[k] for k in members], vocabulary)
@@ -303,16 +308,20 @@ def listed(parts: list, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
-def encoded(texts: list[str], vocabulary: Vocabulary, n: int = BEST):
-    """Best ids as an Arrow list array, for each text its n best scores, and the ids of these n as nested lists."""
+def cut(texts: list[str], vocabulary: Vocabulary) -> tuple[list, tuple]:
+    """The numbers of each text's chunks, and the distinct chunks with what ``segmented`` tells of them."""
     names: dict = defaultdict(count().__next__)
-    lines = [np.array(list(map(names.__getitem__, chunks_of(x, vocabulary))), np.int64) for x in texts]
+    lines = [np.array(list(map(names.__getitem__, chunks_of(x, vocabulary))), np.int32) for x in texts]
     chunks = list(names)
-    score = loss = np.zeros(0)
-    flat, offsets = np.zeros(0, np.int64), np.zeros(1, np.int64)
-    if chunks:
-        score, loss, flat, offsets = segmented(chunks, vocabulary)
-    memo: dict = {}
+    del names
+    if not chunks:
+        return lines, (chunks, np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros(1, np.int64))
+    return lines, (chunks, *segmented(chunks, vocabulary))
+
+
+def spelled_out(lines: list, found: tuple, vocabulary: Vocabulary, n: int, memo: dict):
+    """Best ids as an Arrow list array, for each text its n best scores, and the ids of these n as nested lists."""
+    chunks, score, loss, flat, offsets = found
     best, scores, every = [], [], []
     pieces = np.diff(offsets)
     for codes in lines:
@@ -329,6 +338,12 @@ def encoded(texts: list[str], vocabulary: Vocabulary, n: int = BEST):
     return listed(best, pa.int32()), scores, nested
 
 
+def encoded(texts: list[str], vocabulary: Vocabulary, n: int = BEST):
+    """``spelled_out`` for texts."""
+    lines, found = cut(texts, vocabulary)
+    return spelled_out(lines, found, vocabulary, n, {})
+
+
 def id_lists(ids: pa.ListArray):
     """The lists of an Arrow array, by way of numpy; a null list counts as empty."""
     flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
@@ -344,30 +359,37 @@ def decoded(ids: list[int], raw: dict) -> str:
 ENCODED = "doc_id long, ids array<int>, scores array<double>, exact boolean, segmentations array<array<int>>"
 
 
-def encode_batches(batches, vocabulary: Vocabulary, n: int):
+def encode_batches(batches, vocabulary: Vocabulary, n: int, slice_chars: int = SLICE):
+    """The chunks of a slice are cut together; its rows leave in smaller batches, as their ids are many times the text."""
     for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            texts = part.column("text").to_pylist()
-            ids, scores, every = encoded(texts, vocabulary, n)
-            exact = [decoded(own, vocabulary.raw) == x for own, x in zip(id_lists(ids), texts)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), ids, pa.array(scores, pa.list_(pa.float64())), pa.array(exact), every],
-                names=["doc_id", "ids", "scores", "exact", "segmentations"],
-            )
+        for part in slices(batch, "text", slice_chars):
+            lines, found = cut(part.column("text").to_pylist(), vocabulary)
+            memo: dict = {}
+            done = 0
+            for rows in slices(part, "text", OUT):
+                ids, scores, every = spelled_out(lines[done : done + len(rows)], found, vocabulary, n, memo)
+                done += len(rows)
+                texts = rows.column("text").to_pylist()
+                exact = [decoded(own, vocabulary.raw) == x for own, x in zip(id_lists(ids), texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), ids, pa.array(scores, pa.list_(pa.float64())), pa.array(exact), every],
+                    names=["doc_id", "ids", "scores", "exact", "segmentations"],
+                )
 
 
-def encode(docs: DataFrame, path: str = MODEL, n: int = BEST) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, n: int = BEST, slice_chars: int = SLICE) -> DataFrame:
     """doc_id, ids of the best segmentation, the n best scores in falling order, whether decoding gives the text,
     and the ids of all n segmentations.
 
     A null text counts as empty and has no ids and the score 0. Fewer than n
     scores mean that the lattice has no more paths. Repeated rows are encoded
     each. Extra columns are not read. The vocabulary (its size is that of the
-    model file) is read on the driver and sent to the executors.
+    model file) is read on the driver and sent to the executors. Texts of about
+    ``slice_chars`` characters are cut together: fewer need less memory and more time.
     """
     vocabulary = load(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
-    return rows.mapInArrow(lambda batches: encode_batches(batches, vocabulary, n), ENCODED)
+    return rows.mapInArrow(lambda batches: encode_batches(batches, vocabulary, n, slice_chars), ENCODED)
 
 
 def decode(pieces: DataFrame, path: str = MODEL) -> DataFrame:

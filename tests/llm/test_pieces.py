@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
 
 from tabia.llm import nbest_pieces as pieces
@@ -41,3 +42,24 @@ def test_the_vectorised_pass_equals_the_queue():
         for k, chunk in enumerate(chunks):
             best = pieces.n_best(chunk, vocabulary, 1)[0][1]
             assert flat[offsets[k] : offsets[k + 1]].tolist() == [i for p in best for i in vocabulary.spelled(p)]
+
+
+def test_a_slice_leaves_in_small_batches_and_is_cut_in_groups(monkeypatch):
+    vocabulary = pieces.load()
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("etaoinshrd", k=6)) for _ in range(60)) for _ in range(60)] + [""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    whole = pieces.encoded(texts, vocabulary)
+    sizes = []
+    short_segments = pieces.short_segments
+    monkeypatch.setattr(pieces, "short_segments", lambda chunks, v: sizes.append(len(chunks)) or short_segments(chunks, v))
+    monkeypatch.setattr(pieces, "GROUP", 100)
+    monkeypatch.setattr(pieces, "OUT", 2000)
+    found = list(pieces.encode_batches(iter([batch]), vocabulary, pieces.BEST))
+    # a row has about 420 characters
+    assert max(x.num_rows for x in found) <= 5 and max(sizes) == 100
+    rows = pa.Table.from_batches(found).to_pydict()
+    assert rows["doc_id"] == list(range(len(texts))) and all(rows["exact"])
+    assert rows["ids"] == whole[0].to_pylist()
+    assert rows["scores"] == whole[1]
+    assert rows["segmentations"] == whole[2].to_pylist()
