@@ -31,3 +31,18 @@ def test_a_block_asks_for_its_words_and_its_contexts_of_every_depth():
                         name = (c >> ctw.LOW_BITS * (ctw.DEPTH - depth)).to_bytes(4, "big")
                         wanted.add((7 << 32, str(depth), name))
         assert len(rows) == len(set(rows)) and set(rows) == wanted
+
+
+def test_asking_sorts_contexts_instead_of_hashing_them(monkeypatch):
+    for numbers in (np.zeros(0, np.int32), np.array([5, 1, 5, (1 << 30) - 1, 0, 1], np.int32)):
+        assert ctw.distinct(numbers).tolist() == sorted(set(numbers.tolist()))
+    texts = ["rent paid", "rent due", "zz"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 3, pa.int64()), pa.array(range(3), pa.int64()), pa.array([True, False, None]), pa.array(texts)],
+        names=["part", "doc_id", "held_out", "text"],
+    )
+    for name in ("unique", "union1d"):
+        monkeypatch.setattr(np, name, lambda *_, **__: 1 / 0)
+    (found,) = ctw.block_asks([batch], True, True)
+    rows = list(zip(found.column("kind").to_pylist(), found.column("key").to_pylist()))
+    assert len(rows) == len(set(rows)) and {k for k, _ in rows} == {"w", "1", "2", "3", "4", "5"}
