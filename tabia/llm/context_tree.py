@@ -612,7 +612,8 @@ def context_tree_scores(docs: DataFrame, broadcast_contexts: int = BROADCAST_CON
         answers = answers.unionByName(deep.withColumn("n", F.lit(None).cast("long")))
     known = (
         rows.mapInArrow(lambda batches: block_asks(batches, not small, True), "block long, kind string, key binary, mask long")
-        .join(answers, ["kind", "key"], "left")
+        # a hashed side saves sorting the asks, which are many times the answers; a key has one answer
+        .join(answers.hint("shuffle_hash"), ["kind", "key"], "left")
         .select("block", "kind", "key", F.coalesce("n", "mask").alias("n"), "logs")
     )
     if not small:

@@ -46,3 +46,12 @@ def test_asking_sorts_contexts_instead_of_hashing_them(monkeypatch):
     (found,) = ctw.block_asks([batch], True, True)
     rows = list(zip(found.column("kind").to_pylist(), found.column("key").to_pylist()))
     assert len(rows) == len(set(rows)) and {k for k, _ in rows} == {"w", "1", "2", "3", "4", "5"}
+
+
+def test_the_asks_are_not_sorted_for_their_answers(spark):
+    rows = [(k, f"rent paid {k % 5}", k % 7 == 0) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    found = ctw.context_tree_scores(docs, broadcast_contexts=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert found.count() == len(rows)
