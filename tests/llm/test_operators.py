@@ -475,6 +475,64 @@ def test_latent_space_is_the_svd(spark):
     assert np.allclose(np.abs(np.sum(space * vt[:3].T, axis=0)), 1, atol=1e-3)
 
 
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """All words of all documents, also of more than 2000, of long ones and of those without an id."""
+    items = [(1, prose(40, 30)), (2, prose(41, 90))]
+    texts = [prose(100 + k, 3 + k % 70) for k in range(2100)] + [prose(98, 64), prose(99, 900), "x y", "", None]
+    docs = [(k if k % 3 else None, t) for k, t in enumerate(texts)]
+    seen, fit = [], latent_retrieval.latent_space
+
+    def spy(passages, n_terms, rank):
+        seen.extend(passages.collect())
+        return fit(passages, n_terms, rank)
+
+    monkeypatch.setattr(latent_retrieval, "latent_space", spy)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    latent_retrieval.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).count()
+    words = [(t or "").lower().split() for t in texts]
+    terms = {w: k for k, w in enumerate(sorted({w for _, t in items for w in t.split()}))}
+    held = collections.Counter(w for t in words for w in set(t))
+    weights = np.array([math.log((len(docs) + 1) / (held[w] + 1)) + 0.05 for w in terms])
+
+    def rows(windows):
+        out = np.zeros((len(windows), len(terms)))
+        for row, window in zip(out, windows):
+            for w in window:
+                if w in terms:
+                    row[terms[w]] += weights[terms[w]]
+            strange = sum(w not in terms for w in window)
+            row /= math.sqrt((row**2).sum() + strange * weights.max() ** 2)
+        return out
+
+    own = rows([t.split()[low : low + 64] for _, t in items for low in range(0, max(1, len(t.split()) - 48), 16)])
+    corpus = rows([t[low : low + 64] for t in words for low in range(0, len(t), 64)])
+    assert len(corpus) > 2000 and len(seen) == len(own) + len(corpus)
+    want = own.T @ own + corpus.T @ corpus * (2000 / len(corpus))
+    got = np.zeros_like(want)
+    for r in seen:
+        got[np.ix_(r["at"], r["at"])] += np.outer(r["value"], r["value"])
+    assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_products_of_terms_in_bands(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    dense = rng.random((50, 20)) * (rng.random((50, 20)) > 0.4)
+    dense[7] = 0
+    rows = [(np.flatnonzero(x).tolist(), [float(v) for v in x[x > 0]]) for x in dense]
+    passages = spark.createDataFrame(rows, "at array<int>, value array<float>")
+    q = rng.standard_normal((20, 3))
+    for band, part, pairs in ((1 << 23, 1 << 15, 1 << 17), (30, 10, 5), (1, 1, 1)):
+        for name, value in (("BAND", band), ("PART", part), ("PAIRS", pairs)):
+            monkeypatch.setattr(latent_retrieval, name, value)
+        matrix = latent_retrieval.gram(passages, 20)
+        out = latent_retrieval.gram_products(matrix.toArrow().to_batches(), q)
+        assert np.allclose(sum(np.frombuffer(b["part"][0].as_py()).reshape(20, 3) for b in out), dense.T @ dense @ q, atol=1e-3)
+        batches = [x for x in passages.toArrow().to_batches()]
+        parts = list(latent_retrieval.gram_part(batches, 4, 20))
+        cells = np.concatenate([np.frombuffer(b["part"][0].as_py(), "<f4") for b in parts])
+        assert np.allclose(cells, (dense.T @ dense)[np.tri(20, dtype=bool)][10:], atol=1e-3)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     net = {k: v.astype(np.float64) for k, v in gru_toxicity.initial(rng).items()}
